@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.ordering import GROUP_ROWS
-from fleetlens.operators.views import Catalog, metadata_view
+from fleetlens.operators.views import Catalog, directory_rules, metadata_view
 
 
 def _same(left: DataFrame, right: DataFrame, on: dict[str, str], mark: str) -> Column:
@@ -136,8 +136,6 @@ def metadata_lookup(
 
 
 def _known_types(instances: DataFrame) -> DataFrame:
-    from fleetlens.operators.views import directory_rules
-
     # Fixed table of five rows.
     return F.broadcast(directory_rules(instances.sparkSession).select("db_type"))
 
@@ -155,7 +153,11 @@ def next_free(aliases: DataFrame, n: int = 1) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key, the greatest by ``order``."""
+    """One row per key, the greatest by ``order``; equal ones are told apart by the rest."""
     rest = [c for c in df.columns if c != key]
-    row = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(key).agg(row).select(key, *[f"_row.{c}" for c in rest])
+    ranked = order + [c for c in rest if c not in order]
+    return (
+        df.groupBy(key)
+        .agg(F.max(F.struct(*ranked)).alias("_row"))
+        .select(key, *[f"_row.{c}" for c in rest])
+    )
