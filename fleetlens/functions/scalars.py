@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
@@ -91,6 +91,16 @@ def map_text(mapping: Column) -> Column:
     )
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column], keep: list[str]) -> DataFrame:
+    """``keep`` and the new columns, each computed one time per row.
+
+    A later filter or projection on a new column would otherwise take the whole
+    expression with it, and parse the same text again per mention.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def xml_attribute(name: str, value: Column) -> Column:
     """`` name="value"`` with the value escaped; nothing for NULL."""
     escaped = value

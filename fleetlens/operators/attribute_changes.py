@@ -98,10 +98,11 @@ def _addressed(catalog: Catalog, requests: DataFrame) -> DataFrame:
         .groupBy(F.col("instance_id").alias("_instance_id"), F.col("name").alias("_name"))
         .agg(F.lit(True).alias("_present"))
     )
+    # Requests for unknown instances match nothing; a key of their own each
+    # keeps them from meeting in one partition.
+    address = F.coalesce("instance_id", -1 - F.col("request_id"))
     return resolved.join(
-        present,
-        (F.col("instance_id") == F.col("_instance_id")) & (F.col("name") == F.col("_name")),
-        "left",
+        present, (address == F.col("_instance_id")) & (F.col("name") == F.col("_name")), "left"
     ).drop("_instance_id", "_name")
 
 

@@ -11,9 +11,6 @@ from fleetlens.operators.ordering import prefix_sums
 from fleetlens.operators.outcomes import Change, greatest_id, outcome
 from fleetlens.operators.views import Catalog
 from fleetlens.sources.documents import (
-    PLAIN_FIELDS,
-    bad_children,
-    bad_fields,
     has_key,
     parse_documents,
     stored_host,
@@ -70,15 +67,14 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
     child. Of several valid documents for a name the lowest request id wins.
     """
     instances, attribute, volume = (catalog[t] for t in ("instances", "attribute", "volume"))
-    parsed = parse_documents(requests.select("request_id", "body"))
-    refused = ~F.col("well_formed") | bad_fields(creating=True)
+    parsed = parse_documents(requests.select("request_id", "body"), creating=True)
     judged = parsed.select(
         "request_id",
         "db_name",
         _list_size("volumes").alias("n_volumes"),
         _list_size("attribute_list").alias("n_attributes"),
-        refused.alias("bad"),
-        bad_children().alias("bad_child"),
+        F.col("bad_field").alias("bad"),
+        "bad_child",
     )
     in_use = instances.select(F.col("db_name").alias("_used")).distinct()
     candidates = judged.where(~F.col("bad")).join(
@@ -158,34 +154,33 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
     asked = resolve_instance_id(
         requests.select("request_id", F.col("db_name"), "body"), instances
     ).withColumnRenamed("db_name", "_of")
-    parsed = parse_documents(asked)
+    parsed = parse_documents(asked, creating=False)
     renames = has_key("db_name") & (F.col("db_name") != F.col("_of"))
     judged = parsed.withColumn(
-        "status",
+        "_verdict",
         F.when(~F.col("well_formed"), S.BAD_REQUEST)
         .when(F.col("instance_id").isNull(), S.NOT_FOUND)
-        .when(bad_fields(creating=False) | bad_children(), S.BAD_REQUEST),
-    ).withColumn("new_name", F.when(F.coalesce(renames, F.lit(False)), F.col("db_name")))
+        .when(F.col("bad_field") | F.col("bad_child"), S.BAD_REQUEST),
+    ).withColumn("_new_name", F.when(F.coalesce(renames, F.lit(False)), F.col("db_name")))
 
+    # Only renames are joined by name; most patches have none.
+    renamed = judged.where(F.col("_verdict").isNull() & F.col("_new_name").isNotNull()).select(
+        "request_id", "instance_id", "_new_name"
+    )
     in_use = instances.select(F.col("db_name").alias("_used")).distinct()
-    claims = (
-        judged.where(F.col("status").isNull() & F.col("new_name").isNotNull())
-        .groupBy(F.col("new_name").alias("_claimed"))
-        .agg(F.min_by("instance_id", "request_id").alias("_claimant"))
-    )
-    decided = (
-        judged.join(in_use, F.col("new_name") == F.col("_used"), "left")
-        .join(claims, F.col("new_name") == F.col("_claimed"), "left")
-        .withColumn(
-            "status",
-            F.when(F.col("status").isNotNull(), F.col("status"))
-            .when(F.col("new_name").isNull(), S.NO_CONTENT)
-            .when(F.col("_used").isNotNull(), S.CONFLICT)
-            .when(F.col("_claimant") != F.col("instance_id"), S.CONFLICT)
-            .otherwise(S.NO_CONTENT),
-        )
+    claims = renamed.groupBy(F.col("_new_name").alias("_claimed")).agg(
+        F.min_by("instance_id", "request_id").alias("_claimant")
+    )
+    clashing = (
+        renamed.join(in_use, F.col("_new_name") == F.col("_used"), "left")
+        .join(claims, F.col("_new_name") == F.col("_claimed"), "left")
+        .where(F.col("_used").isNotNull() | (F.col("_claimant") != F.col("instance_id")))
+        .select("request_id", F.lit(S.CONFLICT).alias("_clash"))
+    )
+    decided = judged.join(clashing, "request_id", "left").withColumn(
+        "_verdict", F.coalesce("_verdict", "_clash", F.lit(S.NO_CONTENT))
     )
-    valid = decided.where(F.col("status") == S.NO_CONTENT)
+    valid = decided.where(F.col("_verdict") == S.NO_CONTENT)
 
     def last_list(name: str, source: str) -> Column:
         named = has_key(name)
@@ -222,7 +217,7 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
         kept = current.join(sized.select("instance_id"), "instance_id", "left_anti")
         tables[table] = kept.select(*current.columns).unionByName(added)
         changed[table] = added
-    return Change(tables, outcome(decided, F.col("status")), changed)
+    return Change(tables, outcome(decided, F.col("_verdict")), changed)
 
 
 def delete_instances(catalog: Catalog, requests: DataFrame) -> Change:

@@ -56,7 +56,8 @@ def resolve_instance_id(
 
 def attribute_value(requests: DataFrame, instances: DataFrame, attribute: DataFrame) -> DataFrame:
     """The value of one attribute of a named instance; no row where there is none."""
-    resolved = resolve_instance_id(requests, instances)
+    asked = requests.select("request_id", "db_name", "name")
+    resolved = resolve_instance_id(asked, instances).where(F.col("instance_id").isNotNull())
     values = attribute.select(
         F.col("instance_id").alias("_instance_id"), F.col("name").alias("_name"), "value"
     )
@@ -67,7 +68,7 @@ def attribute_value(requests: DataFrame, instances: DataFrame, attribute: DataFr
 
 
 def _wanted_hosts(name: Column) -> Column:
-    return F.array_distinct(F.transform(F.split(name, ","), F.trim))
+    return F.array_distinct(F.transform(F.split(name, ","), lambda host: F.trim(host)))
 
 
 def match_hosts(requests: DataFrame, instances: DataFrame) -> DataFrame:

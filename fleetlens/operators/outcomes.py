@@ -38,14 +38,13 @@ class Change:
 
 def outcome(df: DataFrame, status: Column, affected: Column | None = None) -> DataFrame:
     """``request_id, status, affected``; a failed request affects nothing."""
-    done = F.col("status").isin(*SUCCESS)
     count = F.lit(1) if affected is None else affected
-    return df.select(
+    judged = df.select(
         "request_id", status.cast("int").alias("status"), count.cast("bigint").alias("_affected")
-    ).select(
-        "request_id",
-        "status",
-        F.when(done, F.col("_affected")).otherwise(F.lit(0)).cast("bigint").alias("affected"),
+    )
+    done = F.col("status").isin(*SUCCESS)
+    return judged.select(
+        "request_id", "status", F.when(done, F.col("_affected")).otherwise(F.lit(0)).alias("affected")
     )
 
 

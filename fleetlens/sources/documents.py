@@ -84,32 +84,47 @@ def bad_fields(creating: bool) -> Column:
     return _any(*checks)
 
 
-def parse_documents(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """Add the document's fields, ``doc_keys`` and ``well_formed`` to each row."""
+def parse_documents(
+    df: DataFrame, creating: bool, body_col: str = "body", keep_body: bool = False
+) -> DataFrame:
+    """Replace the document text by its fields and the verdicts on them.
+
+    ``doc_keys`` lists the named fields, ``well_formed``, ``bad_field`` and
+    ``bad_child`` tell what the tables would say to the document.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    doc = F.from_json(body_col, DOCUMENT_SCHEMA, options)
-    kept = [c for c in df.columns if c != body_col]
-    parsed = df.select(
-        *kept,
-        E.is_object_text(F.col(body_col)).alias("_is_object"),
-        F.coalesce(F.json_object_keys(body_col), F.array().cast("array<string>")).alias("doc_keys"),
-        doc.alias("doc"),
+    kept = [c for c in df.columns if c != body_col or keep_body]
+    keys = F.json_object_keys(body_col)
+    read = E.computed_once(
+        df,
+        {
+            "_is_object": E.is_object_text(F.col(body_col)),
+            "doc_keys": F.coalesce(keys, F.array().cast("array<string>")),
+            "_doc": F.from_json(body_col, DOCUMENT_SCHEMA, options),
+        },
+        kept,
     )
-    typed = {
-        f"_text_{name}": F.col(f"doc.{name}")
-        for name, field in PLAIN_FIELDS.items()
-        if field.type.simpleString() != "string"
-    }
-    return parsed.select(
-        *kept,
-        "doc_keys",
-        (F.col("_is_object") & F.col("doc._corrupt").isNull()).alias("well_formed"),
-        *[_typed(name, F.col(f"doc.{name}")).alias(name) for name in PLAIN_FIELDS],
-        *[text.alias(name) for name, text in typed.items()],
-        "doc.hosts",
-        "doc.volumes",
-        "doc.attributes",
-        E.last_entries(F.col("doc.attributes")).alias("attribute_list"),
+    untyped = [n for n, f in PLAIN_FIELDS.items() if f.type.simpleString() != "string"]
+    typed = E.computed_once(
+        read,
+        {
+            "well_formed": F.col("_is_object") & F.col("_doc._corrupt").isNull(),
+            **{name: _typed(name, F.col(f"_doc.{name}")) for name in PLAIN_FIELDS},
+            **{f"_text_{name}": F.col(f"_doc.{name}") for name in untyped},
+            "hosts": F.col("_doc.hosts"),
+            "volumes": F.col("_doc.volumes"),
+            "attributes": F.col("_doc.attributes"),
+            "attribute_list": E.last_entries(F.col("_doc.attributes")),
+        },
+        [*kept, "doc_keys"],
+    )
+    return E.computed_once(
+        typed,
+        {
+            "bad_field": ~F.col("well_formed") | bad_fields(creating),
+            "bad_child": bad_children(),
+        },
+        [c for c in typed.columns if not c.startswith("_text_") and c != "attributes"],
     )
 
 
@@ -120,14 +135,13 @@ def stored_host() -> Column:
 
 def parse_instance_docs(df: DataFrame, body_col: str = "body") -> tuple[DataFrame, DataFrame]:
     """Split documents into parsed instances and rejected texts with a reason."""
-    whole = df.withColumn("_body", F.col(body_col))
-    parsed = parse_documents(whole, body_col)
+    parsed = parse_documents(df, True, body_col, keep_body=True)
     kept = [c for c in df.columns if c != body_col]
     reason = (
-        F.when(F.col("_body").isNull(), "no body")
+        F.when(F.col(body_col).isNull(), "no body")
         .when(~F.col("well_formed"), "malformed")
-        .when(bad_fields(creating=True), "bad field")
-        .when(bad_children(), "bad child")
+        .when(F.col("bad_field"), "bad field")
+        .when(F.col("bad_child"), "bad child")
     )
     judged = parsed.withColumn("reason", reason)
     plain = [c for c in PLAIN_FIELDS if c != "host"]
@@ -141,6 +155,6 @@ def parse_instance_docs(df: DataFrame, body_col: str = "body") -> tuple[DataFram
         F.coalesce("volumes", F.array().cast(f"array<{_VOLUME_TYPE}>")).alias("volumes"),
     )
     rejected = judged.where(F.col("reason").isNotNull()).select(
-        *kept, F.col("_body").alias(body_col), "reason"
+        *kept, body_col, "reason"
     )
     return good, rejected

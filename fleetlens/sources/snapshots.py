@@ -17,17 +17,20 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame | None:
+def read_if_present(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """A parquet table, empty where its folder does not exist yet."""
     try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/log")
-    except AnalysisException:
-        return None
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The greatest committed version, None before the first commit."""
-    log = _log(spark, root)
-    return None if log is None else log.agg(F.max("version")).first()[0]
+    log = read_if_present(spark, LOG_SCHEMA, f"{root}/log")
+    return log.agg(F.max("version")).first()[0]
 
 
 def commit_snapshot(tables: Catalog, root: str) -> int:
