@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.lookup import free_pool
+from fleetlens.operators.lookup import asked_rows, free_pool
 from fleetlens.operators.ordering import row_numbers
 from fleetlens.operators.outcomes import Change, outcome
 from fleetlens.operators.views import Catalog
@@ -83,7 +83,7 @@ def release_aliases(catalog: Catalog, requests: DataFrame) -> Change:
     """Free the DNS name of each db_name; of several the smallest."""
     aliases = catalog[ALIASES]
     smallest = (
-        aliases.where(F.col("db_name").isNotNull())
+        asked_rows(aliases, requests, ["db_name"])
         .groupBy(F.col("db_name").alias("_db_name"))
         .agg(F.min("dns_name").alias("_dns_name"))
     )

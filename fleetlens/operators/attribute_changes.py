@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.lookup import resolve_instance_id
+from fleetlens.operators.lookup import asked_rows, resolve_instance_id
 from fleetlens.operators.ordering import row_numbers
 from fleetlens.operators.outcomes import Change, greatest_id, missing_text, outcome
 from fleetlens.operators.views import Catalog
+from fleetlens.session import stored
 
 KEY = ["instance_id", "name"]
 NAME_LIMIT = S.ATTRIBUTE.field("name").limit
@@ -29,20 +30,23 @@ def insert_attributes(catalog: Catalog, requests: DataFrame) -> Change:
         E.is_object_text(F.col("body")),
         E.last_entries(F.from_json("body", "map<string,string>")),
     )
-    parsed = resolve_instance_id(
-        requests.select("request_id", "db_name", attributes.alias("pairs")), catalog["instances"]
-    ).withColumn("n_pairs", F.coalesce(F.size("pairs"), F.lit(0)))
+    read = E.computed_once(requests, {"pairs": attributes}, ["request_id", "db_name"])
+    parsed = resolve_instance_id(read, catalog["instances"]).withColumn(
+        "n_pairs", F.coalesce(F.size("pairs"), F.lit(0))
+    )
     refused = F.exists(
         "pairs",
         lambda p: p["value"].isNull()
         | E.too_long(p["key"], NAME_LIMIT)
         | E.too_long(p["value"], VALUE_LIMIT),
     )
-    judged = parsed.withColumn(
-        "status",
-        F.when(F.col("n_pairs") <= 0, S.BAD_REQUEST)
-        .when(F.col("instance_id").isNull(), S.NOT_FOUND)
-        .when(refused, S.BAD_REQUEST),
+    judged = stored(
+        parsed.withColumn(
+            "status",
+            F.when(F.col("n_pairs") <= 0, S.BAD_REQUEST)
+            .when(F.col("instance_id").isNull(), S.NOT_FOUND)
+            .when(refused, S.BAD_REQUEST),
+        )
     )
     rows = judged.where(F.col("status").isNull()).select(
         "request_id", "instance_id", "n_pairs", F.posexplode("pairs").alias("pos", "pair")
@@ -55,10 +59,7 @@ def insert_attributes(catalog: Catalog, requests: DataFrame) -> Change:
         F.col("pair.key").alias("name"),
         F.col("pair.value").alias("value"),
     )
-    present = attribute.select(*KEY, F.lit(True).alias("_present"))
-    clashing = (
-        rows.join(present, KEY, "left_semi").select("request_id").distinct()
-    )
+    clashing = rows.join(attribute, KEY, "left_semi").select("request_id").distinct()
     claims = (
         rows.join(clashing, "request_id", "left_anti")
         .groupBy(*KEY)
@@ -94,7 +95,7 @@ def _addressed(catalog: Catalog, requests: DataFrame) -> DataFrame:
     """Requests with the instance id, and whether the named attribute is there."""
     resolved = resolve_instance_id(requests, catalog["instances"])
     present = (
-        catalog["attribute"]
+        asked_rows(catalog["attribute"], resolved, KEY)
         .groupBy(F.col("instance_id").alias("_instance_id"), F.col("name").alias("_name"))
         .agg(F.lit(True).alias("_present"))
     )

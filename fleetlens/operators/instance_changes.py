@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
-from fleetlens.operators.lookup import resolve_instance_id
+from fleetlens.operators.lookup import asked_rows, resolve_instance_id
 from fleetlens.operators.ordering import prefix_sums
 from fleetlens.operators.outcomes import Change, greatest_id, outcome
 from fleetlens.operators.views import Catalog
+from fleetlens.session import stored
 from fleetlens.sources.documents import (
     has_key,
     parse_documents,
@@ -23,6 +24,13 @@ def _list_size(name: str) -> Column:
     return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
 
 
+def _names_in_use(instances: DataFrame, requests: DataFrame, column: str) -> DataFrame:
+    """Of the names that the requests ask for those that an instance has."""
+    asked = requests.select(F.col(column).alias("db_name"))
+    used = asked_rows(instances.select("db_name"), asked, ["db_name"])
+    return used.select(F.col("db_name").alias("_used")).distinct()
+
+
 def _as_instance(df: DataFrame, id_col: Column) -> DataFrame:
     """Document columns as rows of the instances table."""
     return df.select(
@@ -67,7 +75,7 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
     child. Of several valid documents for a name the lowest request id wins.
     """
     instances, attribute, volume = (catalog[t] for t in ("instances", "attribute", "volume"))
-    parsed = parse_documents(requests.select("request_id", "body"), creating=True)
+    parsed = stored(parse_documents(requests.select("request_id", "body"), creating=True))
     judged = parsed.select(
         "request_id",
         "db_name",
@@ -76,7 +84,7 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
         F.col("bad_field").alias("bad"),
         "bad_child",
     )
-    in_use = instances.select(F.col("db_name").alias("_used")).distinct()
+    in_use = _names_in_use(instances, judged, "db_name")
     candidates = judged.where(~F.col("bad")).join(
         in_use, F.col("db_name") == F.col("_used"), "left"
     )
@@ -154,7 +162,7 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
     asked = resolve_instance_id(
         requests.select("request_id", F.col("db_name"), "body"), instances
     ).withColumnRenamed("db_name", "_of")
-    parsed = parse_documents(asked, creating=False)
+    parsed = stored(parse_documents(asked, creating=False))
     renames = has_key("db_name") & (F.col("db_name") != F.col("_of"))
     judged = parsed.withColumn(
         "_verdict",
@@ -167,7 +175,7 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
     renamed = judged.where(F.col("_verdict").isNull() & F.col("_new_name").isNotNull()).select(
         "request_id", "instance_id", "_new_name"
     )
-    in_use = instances.select(F.col("db_name").alias("_used")).distinct()
+    in_use = _names_in_use(instances, renamed, "_new_name")
     claims = renamed.groupBy(F.col("_new_name").alias("_claimed")).agg(
         F.min_by("instance_id", "request_id").alias("_claimant")
     )
@@ -186,10 +194,21 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
         named = has_key(name)
         return F.max_by(F.when(named, F.col(source)), F.when(named, F.col("request_id")))
 
-    latest = valid.groupBy("instance_id").agg(
-        *_patched_columns(),
-        last_list("volumes", "volumes").alias("volumes"),
-        last_list("attributes", "attribute_list").alias("attribute_list"),
+    latest = stored(
+        valid.groupBy("instance_id").agg(
+            *_patched_columns(),
+            last_list("volumes", "volumes").alias("volumes"),
+            last_list("attributes", "attribute_list").alias("attribute_list"),
+        )
+    )
+    numbered = prefix_sums(
+        latest.select(
+            "instance_id",
+            _list_size("volumes").alias("n_volumes"),
+            _list_size("attribute_list").alias("n_attributes"),
+        ),
+        ["instance_id"],
+        {"_before_volume": F.col("n_volumes"), "_before_attribute": F.col("n_attributes")},
     )
     fields = [f.name for f in S.INSTANCES.fields if f.name != "id"]
     new = latest.select("instance_id", *[f"_new_{c}" for c in fields])
@@ -210,11 +229,9 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
     ):
         current = catalog[table]
         given = latest.where(F.col(source).isNotNull()).select("instance_id", source)
-        sized = given.select("instance_id", F.size(source).alias("n"))
-        numbered = prefix_sums(sized, ["instance_id"], {"_first": F.col("n")}).drop("n")
-        first_id = F.col("_first") + greatest_id(current) + 1
+        first_id = F.col(f"_before_{table}") + greatest_id(current) + 1
         added = build(given.join(numbered, "instance_id"), first_id)
-        kept = current.join(sized.select("instance_id"), "instance_id", "left_anti")
+        kept = current.join(given.select("instance_id"), "instance_id", "left_anti")
         tables[table] = kept.select(*current.columns).unionByName(added)
         changed[table] = added
     return Change(tables, outcome(decided, F.col("_verdict")), changed)

@@ -11,6 +11,7 @@ from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.ordering import GROUP_ROWS
 from fleetlens.operators.views import Catalog, directory_rules, metadata_view
+from fleetlens.session import stored
 
 
 def _same(left: DataFrame, right: DataFrame, on: dict[str, str], mark: str) -> Column:
@@ -46,11 +47,21 @@ def missing(requests: DataFrame, table: DataFrame, on: dict[str, str]) -> DataFr
     )
 
 
+def asked_rows(table: DataFrame, requests: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a table that a batch asks for.
+
+    A short batch is sent to the table's scan; only a long one shuffles the
+    table, and then by the key that the next step needs.
+    """
+    return table.join(requests.select(*on).distinct(), on, "left_semi")
+
+
 def resolve_instance_id(
     requests: DataFrame, instances: DataFrame, out: str = "instance_id"
 ) -> DataFrame:
     """Add the id of the named instance, NULL where there is none."""
-    ids = instances.groupBy(F.col("db_name").alias("_db_name")).agg(F.min("id").alias(out))
+    asked = asked_rows(instances.select("id", "db_name"), requests, ["db_name"])
+    ids = asked.groupBy(F.col("db_name").alias("_db_name")).agg(F.min("id").alias(out))
     return requests.join(ids, requests["db_name"] == ids["_db_name"], "left").drop("_db_name")
 
 
@@ -89,6 +100,7 @@ def match_hosts(requests: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 def _metadata_of(matches: DataFrame, catalog: Catalog, group_rows: int) -> DataFrame:
+    matches = stored(matches)
     view = metadata_view(catalog, only=matches.select("id").distinct(), group_rows=group_rows)
     return matches.join(view, "id").select("request_id", *view.columns)
 

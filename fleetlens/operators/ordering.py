@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.session import checkpoint_ready
+from fleetlens.session import stored
 
 # Rows one group may bring together in one output row or one window.
 GROUP_ROWS = 100_000
@@ -18,17 +18,15 @@ HOT_KEYS = 10_000
 def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """Add, for each named sum, its total over all rows strictly before a row.
 
-    ``order`` has to be a total order. Rows are range-partitioned and written
-    to the checkpoint directory once, so that the partition number is a fact of
-    the data and not of one run. The totals per partition are one row per
-    partition; they carry the sum over the partition boundaries.
+    ``order`` has to be a total order. Rows are range-partitioned and stored
+    once, so that the partition number is a fact of the data and not of one run.
+    The totals are one row per partition; they carry the sum over the partition
+    borders, and only they meet in one window.
     """
-    checkpoint_ready(df.sparkSession)
-    staged = (
+    staged = stored(
         df.repartitionByRange(*order)
         .withColumns({name: value.cast("bigint") for name, value in sums.items()})
         .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
     )
     before_part = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -113,6 +111,5 @@ def chunked(
     """
     if not has_hot_groups(df, keys, group_rows):
         return df.withColumn("_chunk", F.lit(0)), False
-    checkpoint_ready(df.sparkSession)
     parts = df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id())
-    return parts.checkpoint(), True
+    return stored(parts), True

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -25,7 +24,7 @@ from fleetlens.operators.instance_changes import (
     patch_instances,
 )
 from fleetlens.operators.outcomes import Change
-from fleetlens.session import checkpoint_ready
+from fleetlens.session import scratch_folder
 from fleetlens.sources import binding, catalog, documents, export, snapshots
 from fleetlens.streaming import feed, jobs
 
@@ -44,12 +43,6 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder on the storage that all executors share."""
-    checkpoint_ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/fleetlens-{uuid.uuid4().hex}"
-
-
 # -- arrays and maps as text, for comparison ---------------------------------------
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
@@ -25,6 +26,23 @@ def checkpoint_ready(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder on the storage that all executors share."""
+    checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/fleetlens-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to shared storage once and read from there.
+
+    For a step that several results build on: it is computed one time, survives
+    the loss of executors, and is read back by column.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = 8, app: str = "fleetlens") -> SparkSession:
     """A local session for tests and the bench."""
     spark = (

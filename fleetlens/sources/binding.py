@@ -321,10 +321,11 @@ def create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     cut = F.col("o_orderkey") % 23 == 0
+    # One small file is one task; the documents are spread as a stored table would be.
     return asked.select(
         (key * 2 + F.col("copy")).alias("request_id"),
         F.when(cut, F.substring(document, 1, 20)).otherwise(document).alias("body"),
-    )
+    ).repartition("request_id")
 
 
 def patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
