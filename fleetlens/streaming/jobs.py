@@ -53,13 +53,13 @@ def _decide(limit_us: int, retention_us: int):
             state.remove()
             return
         for rows in batches:
-            if reported:
+            if reported or rows.empty:
                 continue
             first = int(rows["us"].min())
             start = first if start is None else min(start, first)
             ended = rows[rows["exec_completed"]].sort_values(["us", "exec_state"])
             if len(ended) and (done is None or ended["us"].iloc[0] < done):
-                done, exec_state = int(ended["us"].iloc[0]), ended["exec_state"].iloc[0]
+                done, exec_state = int(ended["us"].iloc[0]), str(ended["exec_state"].iloc[0])
         deadline = start + limit_us
         watermark = state.getCurrentWatermarkMs()
         report = not reported and deadline // 1000 <= watermark
