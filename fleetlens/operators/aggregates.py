@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.ordering import GROUP_ROWS, paged
+from fleetlens.operators.ordering import GROUP_ROWS, paged_groups
 
 
 def _durations(jobs: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,8 +46,9 @@ def host_aliases(
         alias = F.concat(F.lit(prefix), F.col("db_name"), F.lit(text_suffix))
     else:
         alias = E.host_alias(F.col("db_name"), prefix, domain)
-    rows, _ = paged(instances.select("id", "host", "db_name"), ["host"], ["id"], group_rows)
     aliases = F.array_sort(F.collect_list(alias))
     if as_text:
         aliases = F.array_join(aliases, ",")
-    return rows.groupBy("host", "page").agg(aliases.alias("aliases"))
+    rows = instances.select("id", "host", "db_name")
+    groups, _ = paged_groups(rows, ["host"], ["id"], group_rows, aliases.alias("aliases"))
+    return groups.select("host", "page", "aliases")

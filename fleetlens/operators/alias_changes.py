@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.lookup import asked_rows, free_pool
-from fleetlens.operators.ordering import row_numbers
+from fleetlens.operators.ordering import join_unique, row_numbers
 from fleetlens.operators.outcomes import Change, outcome
 from fleetlens.operators.views import Catalog
 
@@ -82,17 +82,11 @@ def allocate_aliases(
 def release_aliases(catalog: Catalog, requests: DataFrame) -> Change:
     """Free the DNS name of each db_name; of several the smallest."""
     aliases = catalog[ALIASES]
-    smallest = (
-        asked_rows(aliases, requests, ["db_name"])
-        .groupBy(F.col("db_name").alias("_db_name"))
-        .agg(F.min("dns_name").alias("_dns_name"))
-    )
-    judged = requests.join(smallest, F.col("db_name") == F.col("_db_name"), "left")
-    released = (
-        requests.select("db_name")
-        .distinct()
-        .join(smallest, F.col("db_name") == F.col("_db_name"))
-        .select(F.col("_dns_name").alias("dns_name"), F.lit(True).alias("_released"))
+    asked = asked_rows(aliases, requests, ["db_name"])
+    smallest = asked.groupBy("db_name").agg(F.min("dns_name").alias("_dns_name"))
+    judged = join_unique(requests.select("request_id", "db_name"), smallest, ["db_name"])
+    released = smallest.select(
+        F.col("_dns_name").alias("dns_name"), F.lit(True).alias("_released")
     )
     kept = F.col("_released").isNull()
     updated = aliases.join(released, "dns_name", "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.lookup import asked_rows, resolve_instance_id
-from fleetlens.operators.ordering import row_numbers
+from fleetlens.operators.ordering import join_unique, row_numbers
 from fleetlens.operators.outcomes import Change, greatest_id, missing_text, outcome
 from fleetlens.operators.views import Catalog
 from fleetlens.session import stored
@@ -94,17 +94,9 @@ def insert_attributes(catalog: Catalog, requests: DataFrame) -> Change:
 def _addressed(catalog: Catalog, requests: DataFrame) -> DataFrame:
     """Requests with the instance id, and whether the named attribute is there."""
     resolved = resolve_instance_id(requests, catalog["instances"])
-    present = (
-        asked_rows(catalog["attribute"], resolved, KEY)
-        .groupBy(F.col("instance_id").alias("_instance_id"), F.col("name").alias("_name"))
-        .agg(F.lit(True).alias("_present"))
-    )
-    # Requests for unknown instances match nothing; a key of their own each
-    # keeps them from meeting in one partition.
-    address = F.coalesce("instance_id", -1 - F.col("request_id"))
-    return resolved.join(
-        present, (address == F.col("_instance_id")) & (F.col("name") == F.col("_name")), "left"
-    ).drop("_instance_id", "_name")
+    asked = asked_rows(catalog["attribute"], resolved, KEY)
+    present = asked.select(*KEY).distinct().withColumn("_present", F.lit(True))
+    return join_unique(resolved, present, KEY)
 
 
 def update_attributes(catalog: Catalog, requests: DataFrame) -> Change:

@@ -7,29 +7,21 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.ordering import row_numbers
+from fleetlens.operators.lookup import asked_rows
+from fleetlens.operators.ordering import join_unique, row_numbers
 from fleetlens.operators.outcomes import Change, greatest_id, outcome
 from fleetlens.operators.views import Catalog
 
 
 def _judged(catalog: Catalog, requests: DataFrame) -> DataFrame:
     """Requests with the parsed memory, whether it is usable, and whether the host is known."""
-    known = catalog["host"].select(F.col("name").alias("_known")).distinct()
     memory = E.strict_int(F.col("memory"))
     limit = S.HOST.field("name").limit
-    return (
-        requests.select(
-            "request_id",
-            "name",
-            memory.alias("memory"),
-            (
-                memory.isNull() | F.col("name").isNull() | E.too_long(F.col("name"), limit)
-            ).alias("bad"),
-        )
-        .join(known, F.col("name") == F.col("_known"), "left")
-        .withColumn("known", F.col("_known").isNotNull())
-        .drop("_known")
-    )
+    bad = memory.isNull() | F.col("name").isNull() | E.too_long(F.col("name"), limit)
+    read = requests.select("request_id", "name", memory.alias("memory"), bad.alias("bad"))
+    known = asked_rows(catalog["host"], requests, ["name"]).select("name").distinct()
+    judged = join_unique(read, known.withColumn("known", F.lit(True)), ["name"])
+    return judged.withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def insert_hosts(catalog: Catalog, requests: DataFrame) -> Change:

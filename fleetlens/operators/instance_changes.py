@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.operators.lookup import asked_rows, resolve_instance_id
-from fleetlens.operators.ordering import prefix_sums
+from fleetlens.operators.ordering import join_unique, prefix_sums
 from fleetlens.operators.outcomes import Change, greatest_id, outcome
 from fleetlens.operators.views import Catalog
 from fleetlens.session import stored
@@ -85,13 +85,11 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
         "bad_child",
     )
     in_use = _names_in_use(instances, judged, "db_name")
-    candidates = judged.where(~F.col("bad")).join(
-        in_use, F.col("db_name") == F.col("_used"), "left"
-    )
     firsts = (
-        candidates.where(F.col("_used").isNull() & ~F.col("bad_child"))
+        judged.where(~F.col("bad") & ~F.col("bad_child"))
         .groupBy("db_name")
         .agg(F.min(F.struct("request_id", "n_volumes", "n_attributes")).alias("first"))
+        .join(in_use, F.col("db_name") == F.col("_used"), "left_anti")
     )
     winners = firsts.select("first.*")
     numbered = prefix_sums(
@@ -111,15 +109,18 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
         "attribute": _attribute_rows(created, F.col("_attribute_id")),
     }
 
-    name_of_winner = firsts.select(
-        F.col("db_name").alias("_won_name"), F.col("first.request_id").alias("_winner")
-    )
-    decided = judged.join(in_use, F.col("db_name") == F.col("_used"), "left").join(
-        name_of_winner, F.col("db_name") == F.col("_won_name"), "left"
+    # Per asked name either that it is in use, or the request that gets it.
+    no_winner = F.lit(None).cast("bigint").alias("_winner")
+    names = in_use.select(F.col("_used").alias("db_name"), F.lit(True).alias("_in_use"), no_winner)
+    names = names.unionByName(
+        firsts.select(
+            "db_name", F.lit(False).alias("_in_use"), F.col("first.request_id").alias("_winner")
+        )
     )
+    decided = join_unique(judged, names, ["db_name"])
     status = (
         F.when(F.col("bad"), S.BAD_REQUEST)
-        .when(F.col("_used").isNotNull(), S.CONFLICT)
+        .when(F.col("_in_use"), S.CONFLICT)
         .when(F.col("_winner") == F.col("request_id"), S.CREATED)
         .when(F.col("_winner") < F.col("request_id"), S.CONFLICT)
         .otherwise(S.BAD_REQUEST)

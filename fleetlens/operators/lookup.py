@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.ordering import GROUP_ROWS
+from fleetlens.operators.ordering import GROUP_ROWS, join_unique
 from fleetlens.operators.views import Catalog, directory_rules, metadata_view
 from fleetlens.session import stored
 
@@ -61,8 +61,8 @@ def resolve_instance_id(
 ) -> DataFrame:
     """Add the id of the named instance, NULL where there is none."""
     asked = asked_rows(instances.select("id", "db_name"), requests, ["db_name"])
-    ids = asked.groupBy(F.col("db_name").alias("_db_name")).agg(F.min("id").alias(out))
-    return requests.join(ids, requests["db_name"] == ids["_db_name"], "left").drop("_db_name")
+    ids = asked.groupBy("db_name").agg(F.min("id").alias(out))
+    return join_unique(requests, ids, ["db_name"]).select(*requests.columns, out)
 
 
 def attribute_value(requests: DataFrame, instances: DataFrame, attribute: DataFrame) -> DataFrame:

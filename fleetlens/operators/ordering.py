@@ -1,7 +1,8 @@
-"""Whole-table order and oversized groups, without one task holding all rows."""
+"""Whole-table order, oversized groups and hot keys, without one task holding all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,8 +57,14 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
     return prefix_sums(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) + 1)
 
 
-def _hot_groups(df: DataFrame, keys: list[str], group_rows: int):
-    """Groups above the row limit: the lazy table, and a local copy if it is short."""
+def _hot_groups(
+    df: DataFrame, keys: list[str], group_rows: int
+) -> tuple[DataFrame, bool, bool]:
+    """Keys (as ``_hot_<key>``) with more rows than the limit, and their ``_rows``.
+
+    Returns the table, whether it has rows at all, and whether it is short. A
+    short one is a local copy that may be broadcast: at most ``HOT_KEYS`` rows.
+    """
     groups = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -65,38 +72,68 @@ def _hot_groups(df: DataFrame, keys: list[str], group_rows: int):
         .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_rows")
     )
     found = groups.limit(HOT_KEYS + 1).collect()
-    return groups, found
+    if len(found) > HOT_KEYS:
+        return groups, True, False
+    return df.sparkSession.createDataFrame(found, groups.schema), bool(found), True
 
 
 def has_hot_groups(df: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS) -> bool:
     """Whether any group has more rows than one task should hold."""
-    return bool(_hot_groups(df, keys, group_rows)[1])
+    return _hot_groups(df, keys, group_rows)[1]
 
 
-def paged(
-    df: DataFrame, keys: list[str], spread_by: list[str], group_rows: int = GROUP_ROWS
-) -> tuple[DataFrame, bool]:
-    """Add ``page``, so that ``(keys, page)`` groups stay near ``group_rows``.
+def _is_hot(df: DataFrame, groups: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [df[k].eqNullSafe(groups[f"_hot_{k}"]) for k in keys])
 
-    Almost every group has one page, number 0. A larger one is spread by the
-    hash of ``spread_by`` over as many pages as it needs; no row is lost.
-    Returns the table and whether any group has more than one page.
+
+def paged_groups(
+    df: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    group_rows: int,
+    *aggregates: Column,
+    merge: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+) -> tuple[DataFrame, bool]:
+    """Group by ``keys``, in pages of about ``group_rows`` rows.
+
+    Almost every group is one page, number 0, and the result keeps the
+    partitioning by ``keys``. If there are larger groups they are spread by the
+    hash of ``spread_by`` over as many pages as they need, so no task gets a
+    whole one; no row is lost. ``merge`` may shorten the rows of a page before
+    they are brought together. Returns the groups with ``page``, and whether
+    any has more than one.
     """
-    groups, found = _hot_groups(df, keys, group_rows)
-    if not found:
-        return df.withColumn("page", F.lit(0)), False
-    if len(found) <= HOT_KEYS:
-        groups = F.broadcast(df.sparkSession.createDataFrame(found, groups.schema))
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(groups[f"_hot_{k}"]) for k in keys])
+    groups, some, short = _hot_groups(df, keys, group_rows)
+    if not some:
+        return df.groupBy(*keys).agg(*aggregates).withColumn("page", F.lit(0)), False
     pages = F.ceil(F.col("_rows") / F.lit(group_rows)).cast("bigint")
     page = F.coalesce(F.pmod(F.xxhash64(*spread_by), pages), F.lit(0)).cast("int")
     spread = (
-        df.join(groups, same, "left")
+        df.join(F.broadcast(groups) if short else groups, _is_hot(df, groups, keys), "left")
         .withColumn("page", page)
         .drop("_rows", *[f"_hot_{k}" for k in keys])
     )
-    # An own shuffle on the page key: a skewed join before it can be split.
-    return spread.repartition(*keys, "page"), True
+    by_page = [*keys, "page"]
+    rows = spread if merge is None else merge(spread, by_page)
+    return rows.groupBy(*by_page).agg(*aggregates), True
+
+
+def join_unique(
+    df: DataFrame, table: DataFrame, on: list[str], group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """Left join to a table that has at most one row per key.
+
+    Rows of a key that has more than ``group_rows`` of them stay where they are:
+    the one row they match is sent to them. The other rows are shuffled.
+    """
+    groups, some, short = _hot_groups(df, on, group_rows)
+    if not some or not short:
+        return df.join(table, on, "left")
+    hot = F.broadcast(groups)
+    few = F.broadcast(table.join(hot, _is_hot(table, groups, on), "left_semi"))
+    rest = df.join(hot, _is_hot(df, groups, on), "left_anti")
+    of_hot = df.join(hot, _is_hot(df, groups, on), "left_semi")
+    return rest.join(table, on, "left").unionByName(of_hot.join(few, on, "left"))
 
 
 def chunked(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.ordering import GROUP_ROWS, paged
+from fleetlens.operators.ordering import GROUP_ROWS, paged_groups
 
 Catalog = dict[str, DataFrame]
 
@@ -71,32 +71,36 @@ def attribute_map(
     An instance with more than ``group_rows`` rows is spread over several pages
     by attribute name; its repeated names are merged before the shuffle.
     """
-    rows = attribute.where(F.col("name").isNotNull())
-    rows, several = paged(rows, ["instance_id"], ["name"], group_rows)
-    if several:
-        rows = rows.groupBy("instance_id", "page", "name").agg(
+
+    def merge_repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys, "name").agg(
             F.min_by("value", "id").alias("value"), F.min("id").alias("id")
         )
+
+    nested, several = paged_groups(
+        attribute.where(F.col("name").isNotNull()),
+        ["instance_id"],
+        ["name"],
+        group_rows,
+        F.array_sort(F.collect_list(F.struct("name", "id", "value"))).alias("pairs"),
+        merge=merge_repeated,
+    )
     first_of_name = F.filter(
         F.col("pairs"),
         lambda pair, i: (i == 0) | (pair["name"] != F.get(F.col("pairs"), i - 1)["name"]),
     )
     entries = F.transform(first_of_name, lambda pair: F.struct(pair["name"], pair["value"]))
-    nested = (
-        rows.groupBy("instance_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("name", "id", "value"))).alias("pairs"))
-        .select("instance_id", "page", F.map_from_entries(entries).alias("attributes"))
+    return (
+        nested.select("instance_id", "page", F.map_from_entries(entries).alias("attributes")),
+        several,
     )
-    return nested, several
 
 
 def volume_array(volume: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, bool]:
-    """One array of volume rows per instance, in id order."""
-    rows, several = paged(volume, ["instance_id"], ["id"], group_rows)
-    nested = rows.groupBy("instance_id", "page").agg(
-        F.array_sort(F.collect_list(F.struct(*S.VOLUME.columns))).alias("volumes")
-    )
-    return nested, several
+    """One array of volume rows per instance, in id order; several pages as above."""
+    listed = F.array_sort(F.collect_list(F.struct(*S.VOLUME.columns))).alias("volumes")
+    nested, several = paged_groups(volume, ["instance_id"], ["id"], group_rows, listed)
+    return nested.select("instance_id", "page", "volumes"), several
 
 
 def no_volumes():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as E
 from fleetlens.operators.lookup import latest_per_key
-from fleetlens.operators.ordering import GROUP_ROWS, paged
+from fleetlens.operators.ordering import GROUP_ROWS, paged_groups
 
 # The attributes of a node and the column each one shows.
 NODE_ATTRIBUTES = [
@@ -69,14 +69,15 @@ def to_documents(
     """
     columns = [c for c in df.columns if c not in (key, "page")]
     order = order or [c for c, kind in df.dtypes if c in columns and "map<" not in kind]
-    rows, _ = paged(df.drop("page"), [key], order, group_rows)
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     listed = F.array_sort(F.collect_list(F.struct(*order, text.alias("_text"))))
     texts = F.array_join(F.transform(listed, lambda row: row["_text"]), ",")
-    document = F.concat(F.lit(f'{{"{envelope}":['), texts, F.lit("]}"))
-    return rows.groupBy(key, "page").agg(
-        F.count(F.lit(1)).alias("n_rows"), document.alias("document")
+    groups, _ = paged_groups(
+        df.drop("page"), [key], order, group_rows,
+        F.count(F.lit(1)).alias("n_rows"), texts.alias("_texts"),
     )
+    document = F.concat(F.lit(f'{{"{envelope}":['), F.col("_texts"), F.lit("]}"))
+    return groups.select(key, "page", "n_rows", document.alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

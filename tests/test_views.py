@@ -248,3 +248,29 @@ def test_plans_have_no_cross_join_and_push_filters(spark, tmp_path):
     view = views.instance_view(stored["instances"]).where("db_name = 'dbod01'").select("id")
     scan = view._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(db_name,dbod01)" in scan and "e_group" not in scan
+
+
+def test_join_unique_with_a_hot_key(spark):
+    left = [(n, "hot" if n % 3 else f"k{n}") for n in range(60)] + [(n, None) for n in range(60, 75)]
+    df = spark.createDataFrame(left, "id long, k string")
+    table_ = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
+    wanted = sorted((i, k or "", v) for i, k, v in map(tuple, df.join(table_, "k", "left").select(
+        "id", F.coalesce("k", F.lit("")), F.coalesce("v", F.lit(0))).collect()))
+    got = ordering.join_unique(df, table_, ["k"], group_rows=10)
+    assert rows(got, "id", F.coalesce("k", F.lit("")), F.coalesce("v", F.lit(0))) == wanted
+    assert len(wanted) == 75
+
+
+def test_metadata_shuffles_each_table_once(spark, tmp_path):
+    path = str(tmp_path)
+    for name, df in catalog(spark).items():
+        df.write.parquet(f"{path}/{name}")
+    from fleetlens.sources.catalog import read_catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.metadata_view(read_catalog(spark, path, list(catalog(spark))))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 3
