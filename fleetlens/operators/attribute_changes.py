@@ -30,10 +30,13 @@ def insert_attributes(catalog: Catalog, requests: DataFrame) -> Change:
         E.is_object_text(F.col("body")),
         E.last_entries(F.from_json("body", "map<string,string>")),
     )
-    read = E.computed_once(requests, {"pairs": attributes}, ["request_id", "db_name"])
-    parsed = resolve_instance_id(read, catalog["instances"]).withColumn(
-        "n_pairs", F.coalesce(F.size("pairs"), F.lit(0))
+    # Names first: the check of the names then reads no body.
+    named = resolve_instance_id(
+        requests.select("request_id", "db_name", "body"), catalog["instances"]
     )
+    parsed = E.computed_once(
+        named, {"pairs": attributes}, ["request_id", "instance_id"]
+    ).withColumn("n_pairs", F.coalesce(F.size("pairs"), F.lit(0)))
     refused = F.exists(
         "pairs",
         lambda p: p["value"].isNull()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,34 +24,34 @@ def duplicates(df: DataFrame, key: list[str], rule: str | None = None) -> DataFr
     )
 
 
-def _count_per_column(
-    df: DataFrame, columns: list[str], rule: str, broken: Callable[[str], Column]
-) -> DataFrame:
-    """One pass over the table: how many rows break the rule, per column."""
-    counts = df.agg(*[F.count_if(broken(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+def _counted(df: DataFrame, broken: list[tuple[str, str, Column]]) -> DataFrame:
+    """One pass over the table: how many rows break each (rule, key, condition)."""
+    counts = df.agg(*[F.count_if(c).alias(f"_{i}") for i, (_, _, c) in enumerate(broken)])
     listed = F.array(
         *[
-            F.struct(F.lit(c).alias("key"), F.col(f"_{i}").alias("n"))
-            for i, c in enumerate(columns)
+            F.struct(F.lit(rule).alias("rule"), F.lit(key).alias("key"), F.col(f"_{i}").alias("n"))
+            for i, (rule, key, _) in enumerate(broken)
         ]
     )
-    return (
-        counts.select(F.explode(listed).alias("e"))
-        .where(F.col("e.n") > 0)
-        .select(F.lit(rule).alias("rule"), "e.key", "e.n")
-    )
+    return counts.select(F.inline(listed)).where(F.col("n") > 0)
+
+
+def _null(columns: list[str]) -> list[tuple[str, str, Column]]:
+    return [("not_null", c, F.col(c).isNull()) for c in columns]
+
+
+def _over(limits: dict[str, int]) -> list[tuple[str, str, Column]]:
+    return [("length", c, F.char_length(F.col(c)) > n) for c, n in limits.items()]
 
 
 def nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     """Required columns that hold NULL, with the number of rows."""
-    return _count_per_column(df, columns, "not_null", lambda c: F.col(c).isNull())
+    return _counted(df, _null(columns))
 
 
 def overlong(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Text columns with values over their limit, with the number of rows."""
-    return _count_per_column(
-        df, list(limits), "length", lambda c: F.char_length(F.col(c)) > limits[c]
-    )
+    return _counted(df, _over(limits))
 
 
 def orphans(
@@ -72,9 +71,7 @@ def check(
 ) -> DataFrame:
     """All violations of a table's declared rules. ``unique`` overrides its keys."""
     reports = [duplicates(df, list(key)) for key in (table.unique if unique is None else unique)]
-    reports.append(nulls(df, table.required))
-    if table.limits:
-        reports.append(overlong(df, table.limits))
+    reports.append(_counted(df, _null(table.required) + _over(table.limits)))
     return reduce(DataFrame.unionByName, reports).withColumn("table", F.lit(table.name))
 
 

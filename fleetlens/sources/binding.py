@@ -349,7 +349,7 @@ def patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("request_id"),
         db_name("o_orderkey", F.when(key % 11 == 0, "_gone").otherwise("_x")).alias("db_name"),
         cleared.alias("body"),
-    )
+    ).repartition("request_id")
 
 
 def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,6 +380,7 @@ def attribute_insert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             db_name("o_orderkey", F.when(key % 9 == 0, "_gone").otherwise("_x")).alias("db_name"),
             F.when(key % 21 == 0, null_value).otherwise(body).alias("body"),
         )
+        .repartition("request_id")
     )
 
 

@@ -34,54 +34,54 @@ def has_key(name: str) -> Column:
     return F.array_contains("doc_keys", name)
 
 
-def _any(*conditions: Column) -> Column:
-    found = F.lit(False)
-    for condition in conditions:
-        found = found | F.coalesce(condition, F.lit(False))
-    return found
+def _any(conditions: list[str]) -> Column:
+    """True where one condition is; an unknown one does not count."""
+    return F.expr(f"coalesce({' OR '.join(f'({c})' for c in conditions)}, false)")
 
 
-def bad_children() -> Column:
-    """A volume or attribute that its table would refuse."""
+def _refused_text(column: str, limit: int | None) -> list[str]:
+    """Conditions under which a required text column refuses a value."""
+    return [f"{column} IS NULL", f"char_length({column}) > {limit}"]
 
-    def bad_volume(v: Column) -> Column:
-        checks = [v.isNull()]
-        for name in S.VOLUME_DOC_FIELDS:
-            checks += [v[name].isNull(), E.too_long(v[name], S.VOLUME.field(name).limit)]
-        return _any(*checks)
-
-    def bad_attribute(e: Column) -> Column:
-        return _any(
-            e["value"].isNull(),
-            E.too_long(e["key"], S.ATTRIBUTE.field("name").limit),
-            E.too_long(e["value"], S.ATTRIBUTE.field("value").limit),
-        )
 
+def bad_children() -> Column:
+    """A volume or attribute that its table would refuse."""
+    volume = ["v IS NULL"]
+    for name in S.VOLUME_DOC_FIELDS:
+        volume += _refused_text(f"v.`{name}`", S.VOLUME.field(name).limit)
+    entry = [f"char_length(e.key) > {S.ATTRIBUTE.field('name').limit}"]
+    entry += _refused_text("e.value", S.ATTRIBUTE.field("value").limit)
     return _any(
-        F.exists("volumes", bad_volume), F.exists("attribute_list", bad_attribute)
+        [
+            f"exists(volumes, v -> {' OR '.join(volume)})",
+            f"exists(attribute_list, e -> {' OR '.join(entry)})",
+        ]
     )
 
 
 def bad_fields(creating: bool) -> Column:
     """A field of the instance itself that its table would refuse."""
-    checks = [F.size(F.array_except("doc_keys", F.array(*map(F.lit, [*PLAIN_FIELDS, *NESTED_FIELDS])))) > 0]
+
+    def named(name: str) -> str:
+        return f"array_contains(doc_keys, '{name}')"
+
+    known = ", ".join(f"'{name}'" for name in [*PLAIN_FIELDS, *NESTED_FIELDS])
+    checks = [f"size(array_except(doc_keys, array({known}))) > 0"]
     for name, field in PLAIN_FIELDS.items():
         if field.required:
-            absent = F.col(name).isNull()
-            checks.append(absent if creating else has_key(name) & absent)
+            checks.append(f"`{name}` IS NULL" if creating else f"{named(name)} AND `{name}` IS NULL")
         if field.limit is not None:
-            checks.append(E.too_long(F.col(name), field.limit))
+            checks.append(f"char_length(`{name}`) > {field.limit}")
         if field.type.simpleString() != "string":
-            checks.append(F.col(f"_text_{name}").isNotNull() & F.col(name).isNull())
-    hosts_limit = S.INSTANCES.field("host").limit
+            checks.append(f"`_text_{name}` IS NOT NULL AND `{name}` IS NULL")
     checks += [
-        has_key("hosts") & (F.col("hosts").isNull() | (F.size("hosts") == 0)),
-        F.exists("hosts", lambda h: h.isNull()),
-        E.too_long(E.join_hosts(F.col("hosts")), hosts_limit),
+        f"{named('hosts')} AND (hosts IS NULL OR size(hosts) = 0)",
+        "exists(hosts, h -> h IS NULL)",
+        f"char_length(array_join(hosts, ',')) > {S.INSTANCES.field('host').limit}",
     ]
     if not creating:
-        checks += [has_key(n) & F.col(n).isNull() for n in ("volumes", "attributes")]
-    return _any(*checks)
+        checks += [f"{named(n)} AND {n} IS NULL" for n in ("volumes", "attributes")]
+    return _any(checks)
 
 
 def parse_documents(
