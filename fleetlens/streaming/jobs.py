@@ -77,6 +77,24 @@ def _decide(limit_us: int, retention_us: int):
     return step
 
 
+def _deciding_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each Arrow batch only the rows that can decide an execution.
+
+    These are the first observation and the first completed one per execution;
+    the last row in time goes on too, so that the watermark is the same. An
+    execution with very many observations is short before it is shuffled.
+    """
+    for rows in batches:
+        if rows.empty:
+            continue
+        ordered = rows.sort_values(["ts", "exec_state"])
+        first = ~ordered.duplicated("exec_id")
+        completed = ordered[ordered["exec_completed"]]
+        first_completed = completed.index[~completed.duplicated("exec_id")]
+        kept = ordered.index[first].union(first_completed).union(ordered.index[-1:])
+        yield rows.loc[kept]
+
+
 def stream_job_outcomes(
     observations: DataFrame,
     timeout: timedelta = DEFAULT_TIMEOUT,
@@ -89,10 +107,12 @@ def stream_job_outcomes(
     is kept for ``retention`` after the report, so that further observations of
     the execution do not start it anew.
     """
-    ts = F.col("ts").cast("timestamp")
     microsecond = timedelta(microseconds=1)
+    read = observations.select(
+        "exec_id", F.col("ts").cast("timestamp").alias("ts"), "exec_completed", "exec_state"
+    )
     return (
-        observations.withColumn("ts", ts)
+        read.mapInPandas(_deciding_rows, read.schema)
         .withColumn("us", F.unix_micros("ts"))
         .withWatermark("ts", lateness)
         .groupBy("exec_id")
