@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.ordering import GROUP_ROWS, join_unique
-from fleetlens.operators.views import Catalog, directory_rules, metadata_view
+from fleetlens.operators.views import Catalog, attribute_map, directory_rules, metadata_view
 from fleetlens.session import stored
 
 
@@ -78,6 +78,21 @@ def attribute_value(requests: DataFrame, instances: DataFrame, attribute: DataFr
     return resolved.join(values, same).select("request_id", "db_name", "name", "value")
 
 
+def instance_attributes(
+    requests: DataFrame,
+    instances: DataFrame,
+    attribute: DataFrame,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """All attributes of a named instance as a map; no row where it has none."""
+    asked = requests.select("request_id", "db_name")
+    resolved = stored(
+        resolve_instance_id(asked, instances).where(F.col("instance_id").isNotNull())
+    )
+    maps, _ = attribute_map(asked_rows(attribute, resolved, ["instance_id"]), group_rows)
+    return resolved.join(maps, "instance_id").select("request_id", "page", "attributes")
+
+
 def _wanted_hosts(name: Column) -> Column:
     return F.array_distinct(F.transform(F.split(name, ","), lambda host: F.trim(host)))
 

@@ -140,17 +140,19 @@ CTES: dict[str, str] = {
         LEFT JOIN attribute_maps m ON m.instance_id = i.id
         LEFT JOIN volume_lists v ON v.instance_id = i.id
         WHERE i.db_type IN ('MYSQL', 'PG', 'InfluxDB', 'ORACLE', 'ORA')""",
-    "nodes": """
-        SELECT i.db_name, a.alias AS hostname, p.port, 'dbod' AS username, i.db_type,
+    "nodes": f"""
+        SELECT i.db_name, a.alias AS hostname, p.port, '{S.NODE_USERNAME}' AS username, i.db_type,
                i.category, i.db_type || ',' || i.category AS tags
         FROM instances i JOIN functional_aliases a ON a.db_name = i.db_name
         LEFT JOIN ports p ON p.instance_id = i.id""",
+    "host_alias": f"""
+        SELECT host, '{S.HOST_ALIAS_PREFIX}' || regexp_replace(db_name, '_', '-', 'g')
+                     || '{S.HOST_ALIAS_DOMAIN}' AS alias,
+               '{S.HOST_ALIAS_PREFIX}' || db_name || '{S.HOST_ALIAS_TEXT_SUFFIX}' AS plain
+        FROM instances""",
     "host_lists": """
-        SELECT host, 0 AS page,
-               string_agg('dbod-' || regexp_replace(db_name, '_', '-', 'g') || '.cern.ch', ','
-                          ORDER BY 'dbod-' || regexp_replace(db_name, '_', '-', 'g') || '.cern.ch')
-                   AS aliases
-        FROM instances GROUP BY host""",
+        SELECT host, 0 AS page, string_agg(alias, ',' ORDER BY alias) AS aliases
+        FROM host_alias GROUP BY host""",
     "last_nodes": """
         SELECT * FROM (
             SELECT *, row_number() OVER (PARTITION BY db_name ORDER BY hostname DESC) AS nth
@@ -576,6 +578,9 @@ _BODIES: dict[str, str] = {
         SELECT r.request_id, r.db_name, r.name, a.value FROM write_requests r
         JOIN instances i ON i.db_name = r.db_name
         JOIN attribute a ON a.instance_id = i.id AND a.name = r.name""",
+    "f2_all_attributes": """
+        SELECT request_id, 0 AS page, attributes FROM name_requests r
+        JOIN instances i ON i.db_name = r.db_name JOIN attribute_maps ON instance_id = i.id""",
     "f3_instances_on_hosts": f"""
         SELECT request_id, {", ".join("m." + c.strip() for c in _METADATA.split(","))}
         FROM host_matches h JOIN metadata m ON m.id = h.id""",
@@ -620,9 +625,8 @@ _BODIES: dict[str, str] = {
     "a2_command_stats": f"SELECT command_name, {DURATIONS} FROM jobs GROUP BY command_name",
     "a3_host_aliases": "SELECT host, page, aliases FROM host_lists",
     "a4_host_aliases_text": """
-        SELECT host, 0 AS page, string_agg('dbod-' || db_name || 'domain', ','
-               ORDER BY 'dbod-' || db_name || 'domain') AS aliases
-        FROM instances GROUP BY host""",
+        SELECT host, 0 AS page, string_agg(plain, ',' ORDER BY plain) AS aliases
+        FROM host_alias GROUP BY host""",
     "a5_attribute_map": "SELECT instance_id, 0 AS page, attributes FROM attribute_maps",
     "a6_volume_array": "SELECT instance_id, 0 AS page, n_volumes, volumes FROM volume_lists",
     "l1_next_free": "SELECT dns_name FROM free_names WHERE nth = 1",
@@ -776,6 +780,7 @@ _BODIES: dict[str, str] = {
                     FROM events GROUP BY user_id))""",
 }
 _BODIES["t1_stream_state"] = _BODIES["t1_feed_state"]
+_BODIES["t2_stream_outcomes"] = _BODIES["t2_job_outcomes"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -293,6 +293,15 @@ def f2_attribute_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.attribute_value(requests, bound["instances"], bound["attribute"])
 
 
+@query("f2_all_attributes")
+def f2_all_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = _view_tables(spark, sf_dir)
+    found = lookup.instance_attributes(
+        binding.name_requests(spark, sf_dir), bound["instances"], bound["attribute"]
+    )
+    return found.withColumn("attributes", E.map_text(F.col("attributes")))
+
+
 @query("f3_instances_on_hosts")
 def f3_instances_on_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lookup.instances_on_hosts(
@@ -655,3 +664,22 @@ def t1_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t2_job_outcomes")
 def t2_job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.job_outcomes(binding.job_observations(spark, sf_dir), OBSERVATION_LIMIT)
+
+
+@query("t2_stream_outcomes")
+def t2_stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    binding.job_observations(spark, sf_dir).write.parquet(f"{folder}/in")
+    observed = spark.readStream.schema(S.JOB_OBSERVATIONS).parquet(f"{folder}/in")
+    # The users behind the events go on for years after their first day.
+    decided = jobs.stream_job_outcomes(
+        observed, OBSERVATION_LIMIT, retention=timedelta(days=10_000)
+    )
+    (
+        decided.writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{folder}/out")
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{folder}/out")

@@ -8,13 +8,13 @@ from fleetlens import schemas as S
 
 DAY = datetime.date(2016, 7, 20)
 
-# The five instances of the reference data and their children.
+# Five instances with their children, as the test facts need them.
 BASE_INSTANCES = [
-    (1, "user01", "dbod01", "TEST", "MYSQL", "5.6.17", "host01"),
-    (2, "user01", "dbod02", "PROD", "PG", "9.4.4", "host03"),
-    (3, "user02", "dbod03", "TEST", "MYSQL", "5.5", "host01"),
-    (4, "user03", "dbod04", "PROD", "PG", "9.4.5", "host01"),
-    (5, "user04", "dbod05", "TEST", "MYSQL", "5.6.17", "host01"),
+    (1, "user01", "db01", "TEST", "MYSQL", "5.6.17", "host01"),
+    (2, "user01", "db02", "PROD", "PG", "9.4.4", "host03"),
+    (3, "user02", "db03", "TEST", "MYSQL", "5.5", "host01"),
+    (4, "user03", "db04", "PROD", "PG", "9.4.5", "host01"),
+    (5, "user04", "db05", "TEST", "MYSQL", "5.6.17", "host01"),
 ]
 BASE_PORTS = {1: "5501", 2: "6603", 3: "5510", 4: "6601", 5: "5500"}
 BASE_VOLUMES = [
@@ -27,11 +27,11 @@ BASE_VOLUMES = [
 ]
 BASE_HOSTS = [("host01", 12), ("host02", 24), ("host03", 64), ("host04", 256)]
 BASE_ALIASES = [
-    ("db-dbod-dns01", "dbod01", "dbod-dbod-01.cern.ch"),
-    ("db-dbod-dns02", "dbod02", "dbod-dbod-02.cern.ch"),
-    ("db-dbod-dns03", "dbod03", "dbod-dbod-03.cern.ch"),
-    ("db-dbod-dns04", "dbod04", "dbod-dbod-04.cern.ch"),
-    ("db-dbod-dns05", None, None),
+    ("dns01", "db01", "alias-01.example.org"),
+    ("dns02", "db02", "alias-02.example.org"),
+    ("dns03", "db03", "alias-03.example.org"),
+    ("dns04", "db04", "alias-04.example.org"),
+    ("dns05", None, None),
 ]
 
 # Edge rows of our own.

@@ -88,7 +88,7 @@ def test_create_read_delete(spark, fleet):
 
 def test_create_verdicts(spark, fleet):
     docs = [
-        document(db_name="dbod01"),  # 0 in use
+        document(db_name="db01"),  # 0 in use
         document(db_type=...),  # 1 required field absent
         "{broken",  # 2
         None,  # 3
@@ -97,7 +97,7 @@ def test_create_verdicts(spark, fleet):
         document(db_name="new"),  # 6 wins
         document(db_name="new", attributes={}),  # 7 repeated
         document(db_name="new", attributes={"a": None}),  # 8 repeated before bad child
-        document(db_name="dbod02", volumes=[{}]),  # 9 in use before bad child
+        document(db_name="db02", volumes=[{}]),  # 9 in use before bad child
         document(db_name="x" * 129),  # 10 too long
         document(db_name="other", unknown=1),  # 11 no such column
         document(db_name="sized", db_size="100"),  # 12
@@ -144,12 +144,12 @@ def test_patch_columns_and_children(spark, fleet):
         fleet,
         patches(
             spark,
-            ("dbod01", {"version": "9", "description": "x", "status": "3"}),
-            ("dbod01", {"version": "10", "master": None}),
-            ("dbod02", {"volumes": [], "hosts": ["p", "q"]}),
-            ("dbod03", {"volumes": [VOLUME], "attributes": {"a": "1", "b": "2"}}),
-            ("dbod04", {"db_name": "renamed"}),
-            ("dbod05", {}),
+            ("db01", {"version": "9", "description": "x", "status": "3"}),
+            ("db01", {"version": "10", "master": None}),
+            ("db02", {"volumes": [], "hosts": ["p", "q"]}),
+            ("db03", {"volumes": [VOLUME], "attributes": {"a": "1", "b": "2"}}),
+            ("db04", {"db_name": "renamed"}),
+            ("db05", {}),
             ("nobody", {"version": "1"}),
         ),
     )
@@ -171,17 +171,17 @@ def test_patch_refusals(spark, fleet):
         fleet,
         patches(
             spark,
-            ("dbod01", "not json"),
-            ("dbod01", {"hosts": []}),
-            ("dbod01", {"volumes": None}),
-            ("dbod01", {"username": None}),
-            ("dbod01", {"db_name": "dbod02"}),
-            ("dbod01", {"db_name": "dbod01"}),
-            ("dbod02", {"db_name": "fresh"}),
-            ("dbod03", {"db_name": "fresh"}),
-            ("dbod02", {"db_name": "fresh", "state": "S"}),
-            ("dbod04", {"attributes": {"a": None}}),
-            ("dbod04", {"nothing": 1}),
+            ("db01", "not json"),
+            ("db01", {"hosts": []}),
+            ("db01", {"volumes": None}),
+            ("db01", {"username": None}),
+            ("db01", {"db_name": "db02"}),
+            ("db01", {"db_name": "db01"}),
+            ("db02", {"db_name": "fresh"}),
+            ("db03", {"db_name": "fresh"}),
+            ("db02", {"db_name": "fresh", "state": "S"}),
+            ("db04", {"attributes": {"a": None}}),
+            ("db04", {"nothing": 1}),
             ("nobody", {"nothing": 1}),
             ("nobody", "[]"),
         ),
@@ -191,7 +191,7 @@ def test_patch_refusals(spark, fleet):
         9: 400, 10: 400, 11: 404, 12: 400,
     }
     got = {r["id"]: r for r in change.tables["instances"].collect()}
-    assert got[2]["db_name"] == "fresh" and got[2]["state"] == "S" and got[3]["db_name"] == "dbod03"
+    assert got[2]["db_name"] == "fresh" and got[2]["state"] == "S" and got[3]["db_name"] == "db03"
     assert rows(change.tables["volume"], "id") == rows(fleet["volume"], "id")
 
 
@@ -203,17 +203,17 @@ def test_insert_attributes(spark, fleet):
         fleet,
         patches(
             spark,
-            ("dbod01", {"a": "1", "b": "2"}),  # 0
-            ("dbod01", {"port": "1", "c": "3"}),  # 1 port is there: nothing added
-            ("dbod01", {}),  # 2
-            ("dbod01", None),  # 3
+            ("db01", {"a": "1", "b": "2"}),  # 0
+            ("db01", {"port": "1", "c": "3"}),  # 1 port is there: nothing added
+            ("db01", {}),  # 2
+            ("db01", None),  # 3
             ("nobody", {"a": "1"}),  # 4
-            ("dbod02", {"a": None}),  # 5
-            ("dbod02", {"a": "x", "n": 5}),  # 6
-            ("dbod02", {"a": "y"}),  # 7 later than 6
+            ("db02", {"a": None}),  # 5
+            ("db02", {"a": "x", "n": 5}),  # 6
+            ("db02", {"a": "y"}),  # 7 later than 6
             ("nobody", {}),  # 8
-            ("dbod03", {"a": "x" * 251}),  # 9
-            ("dbod03", "[1]"),  # 10
+            ("db03", {"a": "x" * 251}),  # 9
+            ("db03", "[1]"),  # 10
         ),
     )
     assert statuses(change) == {
@@ -232,13 +232,13 @@ def test_update_attributes(spark, fleet):
     asked = requests(
         spark,
         [
-            (1, "dbod01", "port", "6611"),
-            (2, "dbod01", "port", "6612"),
-            (3, "dbod01", "none", "1"),
+            (1, "db01", "port", "6611"),
+            (2, "db01", "port", "6612"),
+            (3, "db01", "none", "1"),
             (4, "nobody", "port", "1"),
-            (5, "dbod02", "port", ""),
-            (6, "dbod02", "port", None),
-            (7, "dbod03", "port", 'a "quoted" one'),
+            (5, "db02", "port", ""),
+            (6, "db02", "port", None),
+            (7, "db03", "port", 'a "quoted" one'),
             (8, "nobody", "port", None),
         ],
         WRITES,
@@ -254,11 +254,11 @@ def test_delete_attributes(spark, fleet):
     asked = requests(
         spark,
         [
-            (1, "dbod01", "port", None),
-            (2, "dbod01", "port", None),
-            (3, "dbod01", "none", None),
+            (1, "db01", "port", None),
+            (2, "db01", "port", None),
+            (3, "db01", "none", None),
             (4, "nobody", "port", None),
-            (5, "dbod02", None, None),
+            (5, "db02", None, None),
             (6, None, "port", None),
         ],
         WRITES,
@@ -317,10 +317,10 @@ def test_allocate_and_release(spark, fleet):
     asked = requests(
         spark,
         [
-            (1, "dbod01", "a"),  # has one
+            (1, "db01", "a"),  # has one
             (2, "testdb", None),  # no alias
             (3, "testdb", "t"),  # takes the last free name
-            (4, "dbod02", "b"),  # the pool is empty by now
+            (4, "db02", "b"),  # the pool is empty by now
             (5, "late", "l"),
         ],
         ALIAS_WRITES,
@@ -328,7 +328,7 @@ def test_allocate_and_release(spark, fleet):
     change = allocate_aliases(fleet, asked)
     assert statuses(change) == {1: 409, 2: 400, 3: 201, 4: 503, 5: 503}
     assert rows(change.representation("functional_aliases"), "dns_name", "db_name", "alias") == [
-        ("db-dbod-dns05", "testdb", "t")
+        ("dns05", "testdb", "t")
     ]
     state = change.state(fleet)
     assert statuses(allocate_aliases(state, asked)) == {1: 503, 2: 400, 3: 503, 4: 503, 5: 503}
@@ -338,7 +338,7 @@ def test_allocate_and_release(spark, fleet):
     )
     assert statuses(released) == {1: 204, 2: 400, 3: 204}
     assert rows(lookup.free_pool(released.tables["functional_aliases"]), "dns_name") == [
-        ("db-dbod-dns05",)
+        ("dns05",)
     ]
 
 

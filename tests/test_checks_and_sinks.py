@@ -66,7 +66,8 @@ def test_node_lines_escape_and_leave_out_null(spark, fleet):
     )
     got = export.node_lines(views.node_inventory(fleet["instances"], odd, fleet["attribute"]))
     assert got.first()["line"] == (
-        '<node name="no_port" description="" hostname="a&lt;b&amp;&quot;c&apos;" username="dbod"'
+        '<node name="no_port" description="" hostname="a&lt;b&amp;&quot;c&apos;"'
+        f' username="{S.NODE_USERNAME}"'
         ' type="TEST" subcategory="MYSQL" tags="MYSQL,TEST"/>'
     )
 
@@ -79,14 +80,14 @@ def test_xml_node_list(spark, fleet, tmp_path, single):
     text = "".join(f.read_text() for f in files)
     assert "<project>" in text and (len(files) == 1 or not single)
     names = re.findall(r'<node name="([^"]+)" description="" hostname="([^"]+)"', text)
-    assert [n for n, _ in names] == ["dbod01", "dbod02", "dbod03", "dbod04"]
+    assert [n for n, _ in names] == ["db01", "db02", "db03", "db04"]
 
 
 def test_json_documents(spark, fleet):
     requests = spark.createDataFrame([(0, "host01"), (1, "host03")], "request_id long, name string")
     found = lookup.instances_on_hosts(requests, fleet)
     docs = {r["request_id"]: json.loads(r["document"]) for r in export.to_documents(found, "request_id").collect()}
-    assert [i["db_name"] for i in docs[0]["response"]] == ["dbod01", "dbod03", "dbod04", "dbod05"]
+    assert [i["db_name"] for i in docs[0]["response"]] == ["db01", "db03", "db04", "db05"]
     first = docs[0]["response"][0]
     assert first["attributes"] == {"port": "5501"} and len(first["volumes"]) == 2
     assert docs[1]["response"][0]["hosts"] == ["host03"]
@@ -97,7 +98,7 @@ def test_json_documents(spark, fleet):
 
 
 def test_null_fields_are_in_the_document(spark, fleet, tmp_path):
-    requests = spark.createDataFrame([(1, "dbod01")], "request_id long, db_name string")
+    requests = spark.createDataFrame([(1, "db01")], "request_id long, db_name string")
     found = lookup.lookup(requests, views.instance_view(fleet["instances"]), {"db_name": "db_name"})
     docs = export.to_documents(found, "request_id")
     body = json.loads(docs.first()["document"])["response"][0]
@@ -130,7 +131,7 @@ def test_catalog_views(spark, fleet, tmp_path):
     stored = sources.read_catalog(spark, str(tmp_path), list(fleet))
     names = sources.register_views(stored, "v_")
     assert {"v_instances", "v_instance", "v_metadata", "v_node_inventory"} <= set(names)
-    got = spark.sql("SELECT class, port FROM v_metadata WHERE db_name = 'dbod02'").first()
+    got = spark.sql("SELECT class, port FROM v_metadata WHERE db_name = 'db02'").first()
     assert tuple(got) == ("PROD", "6603")
 
 

@@ -8,6 +8,10 @@ from fleetlens import schemas as S
 from fleetlens.operators import aggregates, lookup, ordering, views
 
 
+def alias(name):
+    return S.HOST_ALIAS_PREFIX + name + S.HOST_ALIAS_DOMAIN
+
+
 @pytest.fixture(scope="module")
 def fleet(spark):
     return catalog(spark, edge=True)
@@ -27,11 +31,11 @@ def test_unknown_type_is_only_missing_in_metadata(fleet, metadata):
 
 
 def test_children_of_an_instance(metadata):
-    one = metadata["dbod01"]
+    one = metadata["db01"]
     assert [v["mounting_path"] for v in one["volumes"]] == ["/MNT/data1", "/MNT/bin"]
     assert one["attributes"] == {"port": "5501"} and one["port"] == "5501"
-    assert one["socket"] == "/var/lib/mysql/mysql.sock.dbod01.5501"
-    assert one["datadir"] == "/ORA/dbs03/DBOD01/mysql"
+    assert one["socket"] == "/var/lib/mysql/mysql.sock.db01.5501"
+    assert one["datadir"] == "/ORA/dbs03/DB01/mysql"
 
 
 def test_no_attributes_is_null_and_no_volumes_is_empty(metadata):
@@ -74,19 +78,19 @@ def test_node_inventory(fleet):
         "db_name", "hostname", "port", "username", "tags",
     )
     assert len(got) == 4
-    assert got[0] == ("dbod01", "dbod-dbod-01.cern.ch", "5501", "dbod", "MYSQL,TEST")
+    assert got[0] == ("db01", "alias-01.example.org", "5501", S.NODE_USERNAME, "MYSQL,TEST")
 
 
 def test_host_aliases_group_by_the_stored_text(fleet):
     got = {r["host"]: r["aliases"] for r in aggregates.host_aliases(fleet["instances"]).collect()}
-    assert got["host08,host09"] == ["dbod-two-hosts.cern.ch"]
-    assert got[None] == ["dbod-ora-two.cern.ch"]
-    assert got["host09"] == ["dbod-Influx-One.cern.ch", "dbod-odd-one.cern.ch", "dbod-ora-one.cern.ch"]
+    assert got["host08,host09"] == [alias("two-hosts")]
+    assert got[None] == [alias("ora-two")]
+    assert got["host09"] == [alias("Influx-One"), alias("odd-one"), alias("ora-one")]
     text = {
         r["host"]: r["aliases"]
         for r in aggregates.host_aliases(fleet["instances"], as_text=True).collect()
     }
-    assert text["host08,host09"] == "dbod-two_hostsdomain"
+    assert text["host08,host09"] == f"{S.HOST_ALIAS_PREFIX}two_hosts{S.HOST_ALIAS_TEXT_SUFFIX}"
 
 
 def test_job_statistics(spark):
@@ -158,7 +162,7 @@ def test_pages_of_an_oversized_host(spark):
         pages = [r for r in got if r["host"] == host]
         assert len(pages) > 1
         names = sorted(a for r in pages for a in r["aliases"])
-        assert names == sorted(f"dbod-db-{n}.cern.ch" for n in wanted)
+        assert names == sorted(alias(f"db-{n}") for n in wanted)
 
 
 def test_prefix_sums_over_many_partitions(spark):
@@ -194,14 +198,14 @@ def test_instances_on_hosts(spark, fleet):
 def test_metadata_lookup(spark, fleet):
     requests = spark.createDataFrame(
         [
-            (1, "instance", "dbod01"),
+            (1, "instance", "db01"),
             (2, "host", "host01"),
             (3, "cluster", "host01"),
             (4, "instance", None),
             (5, "instance", "nobody"),
             (6, "instance", "odd_one"),
             (7, "host", "host09,"),
-            (8, None, "dbod01"),
+            (8, None, "db01"),
         ],
         "request_id long, class string, name string",
     )
@@ -215,7 +219,7 @@ def test_metadata_lookup(spark, fleet):
 
 def test_lookup_missing_and_attribute_value(spark, fleet):
     requests = spark.createDataFrame(
-        [(1, "dbod01", "port"), (2, "nobody", "port"), (3, "dbod02", "none")],
+        [(1, "db01", "port"), (2, "nobody", "port"), (3, "db02", "none")],
         "request_id long, db_name string, name string",
     )
     found = lookup.lookup(requests, fleet["instances"], {"db_name": "db_name"}, ["id", "host"])
@@ -228,7 +232,7 @@ def test_lookup_missing_and_attribute_value(spark, fleet):
 
 
 def test_pool_and_latest(spark, fleet):
-    assert rows(lookup.next_free(fleet["functional_aliases"]), "dns_name") == [("db-dbod-dns05",)]
+    assert rows(lookup.next_free(fleet["functional_aliases"]), "dns_name") == [("dns05",)]
     df = spark.createDataFrame(
         [("a", "x", 1), ("a", "y", 2), ("b", None, 3)], "k string, o string, v int"
     )
@@ -245,9 +249,9 @@ def test_plans_have_no_cross_join_and_push_filters(spark, tmp_path):
     stored = read_catalog(spark, path, list(catalog(spark)))
     plan = views.metadata_view(stored)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    view = views.instance_view(stored["instances"]).where("db_name = 'dbod01'").select("id")
+    view = views.instance_view(stored["instances"]).where("db_name = 'db01'").select("id")
     scan = view._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(db_name,dbod01)" in scan and "e_group" not in scan
+    assert "EqualTo(db_name,db01)" in scan and "e_group" not in scan
 
 
 def test_join_unique_with_a_hot_key(spark):
