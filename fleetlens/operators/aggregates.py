@@ -35,7 +35,7 @@ def host_aliases(
     domain: str = S.HOST_ALIAS_DOMAIN,
     as_text: bool = False,
     text_suffix: str = S.HOST_ALIAS_TEXT_SUFFIX,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """The aliases on each host, sorted; the key is the host text as stored.
 

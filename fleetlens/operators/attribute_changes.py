@@ -9,7 +9,7 @@ from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.lookup import asked_rows, resolve_instance_id
 from fleetlens.operators.ordering import join_unique, row_numbers
-from fleetlens.operators.outcomes import Change, greatest_id, missing_text, outcome
+from fleetlens.operators.outcomes import Change, greatest_ids, missing_text, outcome
 from fleetlens.operators.views import Catalog
 from fleetlens.session import stored
 
@@ -75,7 +75,7 @@ def insert_attributes(catalog: Catalog, requests: DataFrame) -> Change:
         .where(F.col("n_won") == F.col("n_all"))
         .select("request_id", F.lit(True).alias("_won"))
     )
-    top = greatest_id(attribute)
+    (top,) = greatest_ids(attribute)
     winning = claims.join(won, "request_id", "left_semi")
     added = row_numbers(
         winning.select("request_id", "pos", *KEY, "value"), ["request_id", "pos"]

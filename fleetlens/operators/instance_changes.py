@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.operators.lookup import asked_rows, resolve_instance_id
 from fleetlens.operators.ordering import join_unique, prefix_sums
-from fleetlens.operators.outcomes import Change, greatest_id, outcome
+from fleetlens.operators.outcomes import Change, greatest_ids, outcome
 from fleetlens.operators.views import Catalog
 from fleetlens.session import stored
 from fleetlens.sources.documents import (
@@ -92,15 +92,16 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
         .join(in_use, F.col("db_name") == F.col("_used"), "left_anti")
     )
     winners = firsts.select("first.*")
+    last_instance, last_volume, last_attribute = greatest_ids(instances, volume, attribute)
     numbered = prefix_sums(
         winners,
         ["request_id"],
         {"_nth": F.lit(1), "_volumes": F.col("n_volumes"), "_attributes": F.col("n_attributes")},
     ).select(
         "request_id",
-        (F.col("_nth") + greatest_id(instances) + 1).alias("instance_id"),
-        (F.col("_volumes") + greatest_id(volume) + 1).alias("_volume_id"),
-        (F.col("_attributes") + greatest_id(attribute) + 1).alias("_attribute_id"),
+        (F.col("_nth") + last_instance + 1).alias("instance_id"),
+        (F.col("_volumes") + last_volume + 1).alias("_volume_id"),
+        (F.col("_attributes") + last_attribute + 1).alias("_attribute_id"),
     )
     created = parsed.join(numbered, "request_id")
     added = {
@@ -224,13 +225,14 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
 
     tables = {"instances": merged.select("id", *values)}
     changed = {"instances": merged.where(touched).select("id", *values)}
-    for table, source, build in (
-        ("volume", "volumes", _volume_rows),
-        ("attribute", "attribute_list", _attribute_rows),
+    last_volume, last_attribute = greatest_ids(volume, attribute)
+    for table, source, build, last_id in (
+        ("volume", "volumes", _volume_rows, last_volume),
+        ("attribute", "attribute_list", _attribute_rows, last_attribute),
     ):
         current = catalog[table]
         given = latest.where(F.col(source).isNotNull()).select("instance_id", source)
-        first_id = F.col(f"_before_{table}") + greatest_id(current) + 1
+        first_id = F.col(f"_before_{table}") + last_id + 1
         added = build(given.join(numbered, "instance_id"), first_id)
         kept = current.join(given.select("instance_id"), "instance_id", "left_anti")
         tables[table] = kept.select(*current.columns).unionByName(added)

@@ -82,7 +82,7 @@ def instance_attributes(
     requests: DataFrame,
     instances: DataFrame,
     attribute: DataFrame,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """All attributes of a named instance as a map; no row where it has none."""
     asked = requests.select("request_id", "db_name")
@@ -121,14 +121,14 @@ def _metadata_of(matches: DataFrame, catalog: Catalog, group_rows: int) -> DataF
 
 
 def instances_on_hosts(
-    requests: DataFrame, catalog: Catalog, group_rows: int = GROUP_ROWS
+    requests: DataFrame, catalog: Catalog, group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
     """Metadata of all instances on a host; ``a,b`` asks for both hosts."""
     return _metadata_of(match_hosts(requests, catalog["instances"]), catalog, group_rows)
 
 
 def metadata_lookup(
-    requests: DataFrame, catalog: Catalog, group_rows: int = GROUP_ROWS
+    requests: DataFrame, catalog: Catalog, group_rows: int | None = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """Answer ``request_id, class, name`` requests: the rows, and a status per request.
 

@@ -58,13 +58,17 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
 
 
 def _hot_groups(
-    df: DataFrame, keys: list[str], group_rows: int
-) -> tuple[DataFrame, bool, bool]:
+    df: DataFrame, keys: list[str], group_rows: int | None
+) -> tuple[DataFrame | None, bool, bool]:
     """Keys (as ``_hot_<key>``) with more rows than the limit, and their ``_rows``.
 
     Returns the table, whether it has rows at all, and whether it is short. A
     short one is a local copy that may be broadcast: at most ``HOT_KEYS`` rows.
+    The count reads the key columns only. ``group_rows=None`` leaves it out, for
+    a caller who knows that there is no large group.
     """
+    if group_rows is None:
+        return None, False, True
     groups = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -77,7 +81,9 @@ def _hot_groups(
     return df.sparkSession.createDataFrame(found, groups.schema), bool(found), True
 
 
-def has_hot_groups(df: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS) -> bool:
+def has_hot_groups(
+    df: DataFrame, keys: list[str], group_rows: int | None = GROUP_ROWS
+) -> bool:
     """Whether any group has more rows than one task should hold."""
     return _hot_groups(df, keys, group_rows)[1]
 
@@ -90,7 +96,7 @@ def paged_groups(
     df: DataFrame,
     keys: list[str],
     spread_by: list[str],
-    group_rows: int,
+    group_rows: int | None,
     *aggregates: Column,
     merge: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> tuple[DataFrame, bool]:
@@ -119,7 +125,7 @@ def paged_groups(
 
 
 def join_unique(
-    df: DataFrame, table: DataFrame, on: list[str], group_rows: int = GROUP_ROWS
+    df: DataFrame, table: DataFrame, on: list[str], group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
     """Left join to a table that has at most one row per key.
 
@@ -137,7 +143,7 @@ def join_unique(
 
 
 def chunked(
-    df: DataFrame, keys: list[str], order: list[str], group_rows: int = GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], group_rows: int | None = GROUP_ROWS
 ) -> tuple[DataFrame, bool]:
     """Add ``_chunk``, which cuts the ordered rows of a key into runs in order.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +49,14 @@ def outcome(df: DataFrame, status: Column, affected: Column | None = None) -> Da
     )
 
 
-def greatest_id(df: DataFrame) -> int:
-    """The greatest id in use, 0 for an empty table."""
-    return df.agg(F.max("id")).first()[0] or 0
+def greatest_ids(*tables: DataFrame) -> list[int]:
+    """The greatest id in use per table, 0 for an empty one."""
+    tops = [
+        df.agg(F.max("id").alias("top")).select(F.lit(i).alias("nth"), "top")
+        for i, df in enumerate(tables)
+    ]
+    found = reduce(DataFrame.unionByName, tops).collect()
+    return [row["top"] or 0 for row in sorted(found, key=lambda row: row["nth"])]
 
 
 def missing_text(text: Column) -> Column:

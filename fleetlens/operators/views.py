@@ -64,7 +64,7 @@ def owner_view(owners: DataFrame) -> DataFrame:
 
 
 def attribute_map(
-    attribute: DataFrame, group_rows: int = GROUP_ROWS
+    attribute: DataFrame, group_rows: int | None = GROUP_ROWS
 ) -> tuple[DataFrame, bool]:
     """One map of attributes per instance; of a repeated name the smallest id counts.
 
@@ -96,7 +96,7 @@ def attribute_map(
     )
 
 
-def volume_array(volume: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, bool]:
+def volume_array(volume: DataFrame, group_rows: int | None = GROUP_ROWS) -> tuple[DataFrame, bool]:
     """One array of volume rows per instance, in id order; several pages as above."""
     listed = F.array_sort(F.collect_list(F.struct(*S.VOLUME.columns))).alias("volumes")
     nested, several = paged_groups(volume, ["instance_id"], ["id"], group_rows, listed)
@@ -124,7 +124,7 @@ def with_attribute(
 
 
 def with_attributes(
-    df: DataFrame, attribute: DataFrame, id_col: str = "id", group_rows: int = GROUP_ROWS
+    df: DataFrame, attribute: DataFrame, id_col: str = "id", group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
     """Add the attribute map (and its page); NULL where the instance has none."""
     maps, _ = attribute_map(attribute, group_rows)
@@ -137,7 +137,7 @@ def with_attributes(
 
 
 def with_volumes(
-    df: DataFrame, volume: DataFrame, id_col: str = "id", group_rows: int = GROUP_ROWS
+    df: DataFrame, volume: DataFrame, id_col: str = "id", group_rows: int | None = GROUP_ROWS
 ) -> DataFrame:
     """Add the volume array (and its page); an empty array where there is none."""
     arrays, _ = volume_array(volume, group_rows)
@@ -194,7 +194,7 @@ def metadata_view(
     catalog: Catalog,
     only: DataFrame | None = None,
     keep_unknown: bool = False,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """Every instance with its hosts, attributes, port, volumes and directories.
 

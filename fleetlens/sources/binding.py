@@ -20,9 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _as_table(df: DataFrame, table: S.Table) -> DataFrame:
     """The table's columns in order and type, NULL where the binding has none."""
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.type).alias(f.name)
+            f"cast({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.type.simpleString()})"
+            f" AS `{f.name}`"
             for f in table.fields
         ]
     )

@@ -60,7 +60,7 @@ def to_documents(
     key: str,
     envelope: str = "response",
     order: list[str] | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """One JSON document per key with its rows in a list under ``envelope``.
 

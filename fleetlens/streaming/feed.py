@@ -75,7 +75,7 @@ def _with_existed(state: DataFrame, writes: DataFrame, group_rows: int) -> DataF
     return rows.withColumn("existed", F.coalesce(last_left, F.col("_start")))
 
 
-def judge_feed(state: DataFrame, feed: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def judge_feed(state: DataFrame, feed: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFrame:
     """The writes of a feed with their status, as if they came one by one."""
     columns = ["request_id", "ts", "instance_id", "op", "name", "value"]
     known = feed.where(F.col("op").isin(*OPS)).select(*columns)
@@ -103,7 +103,7 @@ def final_writes(judged: DataFrame) -> DataFrame:
 
 
 def apply_feed(
-    state: DataFrame, feed: DataFrame, group_rows: int = GROUP_ROWS
+    state: DataFrame, feed: DataFrame, group_rows: int | None = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """Apply creates, updates and deletes of single attributes in feed order.
 
@@ -188,7 +188,7 @@ def stream_feed(
     state_path: str,
     checkpoint: str,
     files_per_batch: int | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = GROUP_ROWS,
 ) -> StreamingQuery:
     """Apply all waiting feed files to the stored state, batch by batch.
 
