@@ -67,11 +67,14 @@ def last_entries(mapping: Column) -> Column:
     return F.when(repeated, last).otherwise(entries)
 
 
+def ends_object(body: Column) -> Column:
+    """Whether nothing follows the last brace; the JSON readers ignore what does."""
+    return F.rtrim(body).endswith("}")
+
+
 def is_object_text(body: Column) -> Column:
     """True where the text is one JSON object and nothing follows it."""
-    return F.coalesce(
-        F.json_object_keys(body).isNotNull() & F.rtrim(body).endswith("}"), F.lit(False)
-    )
+    return F.coalesce(F.json_object_keys(body).isNotNull() & ends_object(body), F.lit(False))
 
 
 def too_long(text: Column, limit: int | None) -> Column:

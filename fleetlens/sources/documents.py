@@ -94,21 +94,22 @@ def parse_documents(
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     kept = [c for c in df.columns if c != body_col or keep_body]
-    keys = F.json_object_keys(body_col)
     read = E.computed_once(
         df,
         {
-            "_is_object": E.is_object_text(F.col(body_col)),
-            "doc_keys": F.coalesce(keys, F.array().cast("array<string>")),
+            "_keys": F.json_object_keys(body_col),
+            "_closed": E.ends_object(F.col(body_col)),
             "_doc": F.from_json(body_col, DOCUMENT_SCHEMA, options),
         },
         kept,
     )
+    is_object = F.col("_keys").isNotNull() & F.col("_closed")
     untyped = [n for n, f in PLAIN_FIELDS.items() if f.type.simpleString() != "string"]
     typed = E.computed_once(
         read,
         {
-            "well_formed": F.col("_is_object") & F.col("_doc._corrupt").isNull(),
+            "doc_keys": F.coalesce("_keys", F.array().cast("array<string>")),
+            "well_formed": F.coalesce(is_object, F.lit(False)) & F.col("_doc._corrupt").isNull(),
             **{name: _typed(name, F.col(f"_doc.{name}")) for name in PLAIN_FIELDS},
             **{f"_text_{name}": F.col(f"_doc.{name}") for name in untyped},
             "hosts": F.col("_doc.hosts"),
@@ -116,7 +117,7 @@ def parse_documents(
             "attributes": F.col("_doc.attributes"),
             "attribute_list": E.last_entries(F.col("_doc.attributes")),
         },
-        [*kept, "doc_keys"],
+        kept,
     )
     return E.computed_once(
         typed,

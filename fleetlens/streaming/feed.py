@@ -102,6 +102,14 @@ def final_writes(judged: DataFrame) -> DataFrame:
     return done.groupBy(*KEY).agg(last.alias("_last")).select(*KEY, "_last.present", "_last.value")
 
 
+def _outcomes(judged: DataFrame) -> DataFrame:
+    return judged.select(
+        "request_id",
+        F.col("status").cast("int").alias("status"),
+        F.col("status").isin(*SUCCESS).cast("bigint").alias("affected"),
+    )
+
+
 def apply_feed(
     state: DataFrame, feed: DataFrame, group_rows: int | None = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -111,12 +119,7 @@ def apply_feed(
     new state and ``request_id, status, affected`` of every known operation.
     """
     judged = judge_feed(state, feed, group_rows)
-    outcomes = judged.select(
-        "request_id",
-        F.col("status").cast("int").alias("status"),
-        F.col("status").isin(*SUCCESS).cast("bigint").alias("affected"),
-    )
-    return merge_state(state, final_writes(judged)), outcomes
+    return merge_state(state, final_writes(judged)), _outcomes(judged)
 
 
 def merge_state(state: DataFrame, writes: DataFrame) -> DataFrame:
@@ -155,7 +158,8 @@ def read_state(spark: SparkSession, state_path: str, before: int | None = None)
 
 
 def read_outcomes(spark: SparkSession, state_path: str) -> DataFrame:
-    return spark.read.parquet(f"{state_path}/outcomes").select("request_id", "status", "affected")
+    """The status of every request the stream has seen."""
+    return _outcomes(spark.read.parquet(f"{state_path}/outcomes"))
 
 
 def write_base(state: DataFrame, state_path: str) -> None:
@@ -171,15 +175,12 @@ def _apply_batch(feed: DataFrame, batch_id: int, state_path: str, group_rows: in
         _base(spark, state_path).join(keys, KEY, "left_semi"),
         _deltas(spark, state_path, batch_id).join(keys, KEY, "left_semi"),
     )
+    # The judged writes are stored first, so the state is searched one time only.
+    judged_path = f"{state_path}/outcomes/batch_id={batch_id}"
     judged = judge_feed(before, feed, group_rows)
-    delta = final_writes(judged)
+    judged.write.mode("overwrite").parquet(judged_path)
+    delta = final_writes(spark.read.schema(judged.schema).parquet(judged_path))
     delta.write.mode("overwrite").parquet(f"{state_path}/delta/batch_id={batch_id}")
-    outcomes = judged.select(
-        "request_id",
-        F.col("status").cast("int").alias("status"),
-        F.col("status").isin(*SUCCESS).cast("bigint").alias("affected"),
-    )
-    outcomes.write.mode("overwrite").parquet(f"{state_path}/outcomes/batch_id={batch_id}")
 
 
 def stream_feed(
