@@ -15,6 +15,7 @@ An empty table gives no block and no row.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import PIECE
 from fleetlens.llm.tokenizer import CACHE_ENTRIES, CACHED_CHARS, Splitter, Tables, default_path
+from fleetlens.llm.workers import share
+from fleetlens.session import ship_package
 
 BLOCK = 1 << 16
 BLOCK_SCHEMA = (
@@ -66,7 +69,7 @@ def unpack(payload: bytes, ends: list[int], n: int, plane_bits: int = 8) -> np.n
 
 
 class LibraryIds(dict):
-    """Ids of pre-tokens from the tokenizers library, little-endian, as many as fit."""
+    """Ids of pieces between white space, by the tokenizers library, as many as fit."""
 
     def __init__(self, tables: Tables):
         from tokenizers import Tokenizer
@@ -78,9 +81,11 @@ class LibraryIds(dict):
         self.signs = [tables.tokens[i] for i in alone]
 
     def __missing__(self, word: str) -> bytes:
-        signs = self.signs
-        said = self.library.model.tokenize("".join([signs[b] for b in self.tables.word_bytes(word)]))
-        out = np.array([t.id for t in said], dtype="<u4").tobytes()
+        signs, ids = self.signs, array("I")
+        for part in self.tables.words(word):
+            own = "".join([signs[b] for b in self.tables.word_bytes(part)])
+            ids.extend([t.id for t in self.library.model.tokenize(own)])
+        out = ids.tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -93,7 +98,10 @@ def text_ids(words: LibraryIds, text: str) -> bytes:
     splitter, out = Splitter(words.tables, limit=len(text) + 1), []
     for start in range(0, len(text), PIECE):
         items = splitter.feed(text[start : start + PIECE], start + PIECE >= len(text))
-        out += [words[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in items]
+        try:
+            out.append(b"".join(map(words.__getitem__, items)))
+        except AttributeError:  # special strings in the text
+            out += [words[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in items]
     return b"".join(out)
 
 
@@ -120,7 +128,7 @@ def write_ids(
 ) -> None:
     """Encode every text, append ``end_id`` and write the blocks to ``folder``."""
     with open(path or default_path(), "rb") as file:
-        shared = df.sparkSession.sparkContext.broadcast(Tables(file.read()))
+        shared = share(df.sparkSession, Tables(file.read()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = _worker_words(shared), TaskContext.get().partitionId()
@@ -204,6 +212,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                     ["part", "row", "doc_id", "at", "n", "ids"],
                 )
 
+    ship_package(spark)
     return read_blocks(spark, folder).mapInArrow(
         work, "part int, row bigint, doc_id bigint, at bigint, n bigint, ids binary"
     )

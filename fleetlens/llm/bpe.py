@@ -13,6 +13,7 @@ columns of any name don't matter.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,22 +27,22 @@ from fleetlens.llm.tokenizer import (
     Tables,
     WordTransducer,
     load_tables,
-    whole_word,
 )
+from fleetlens.llm.workers import share
 
 # Characters given to the transducer at once, and ids decoded at once.
 PIECE = 1 << 15
 
 
 class WordIds(dict):
-    """Ids of short pre-tokens as little-endian bytes, for as many words as fit."""
+    """Ids of short pieces between white space as little-endian bytes, as many as fit."""
 
     def __init__(self, tables: Tables):
         super().__init__()
         self.tables = tables
 
     def __missing__(self, word: str) -> bytes:
-        out = _packed(whole_word(self.tables, word))
+        out = _packed(self.tables.chunk_ids(word))
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -50,7 +51,7 @@ class WordIds(dict):
 
 
 def _packed(ids: Iterable[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return array("I", ids).tobytes()
 
 
 class Encoder:
@@ -180,7 +181,7 @@ def round_trip(
     return _mapped(rows, path, "ids binary, decoded string")
 
 
-_WORKER: dict[int, tuple[Tables, WordIds]] = {}
+_WORKER: dict[bytes, tuple[Tables, WordIds]] = {}
 
 
 def worker_words(shared) -> tuple[Tables, WordIds]:
@@ -199,7 +200,7 @@ def _mapped(
     joined: bool = True,
 ) -> DataFrame:
     """Run the transducers over the second column (t: text, i: ids) of ``rows``."""
-    shared = rows.sparkSession.sparkContext.broadcast(load_tables(path))
+    shared = share(rows.sparkSession, load_tables(path))
     key, given = rows.columns
     wants_ids, wants_text = "ids " in outputs, "decoded " in outputs
 

@@ -34,8 +34,8 @@ REACH = 4.0
 MEASURES = {
     "word_length": (400, True),
     "symbol_share": (8, False),
-    "line_repeats": (60, False),
-    "word_repeats": (40, False),
+    "line_repeats": (120, False),
+    "word_repeats": (70, False),
 }
 
 

@@ -27,6 +27,7 @@ from fleetlens.llm.tokenizer import (
     load_tables,
     whole_word,
 )
+from fleetlens.llm.workers import share
 
 
 def prove_whole_tokens(tables: Tables) -> frozenset[str]:
@@ -48,9 +49,10 @@ def prove_whole_tokens(tables: Tables) -> frozenset[str]:
 
 
 class Counts(dict):
-    """Tokens of a pre-token: one for the proven, merged for the rest.
+    """Tokens of a piece between white space.
 
-    The proven ones always stay; of the rest as many short ones as fit.
+    Each of its pre-tokens counts one if proven and is merged if not. Proven
+    words always stay; of the rest as many short pieces as fit.
     """
 
     def __init__(self, tables: Tables, proven: frozenset[str]):
@@ -58,7 +60,9 @@ class Counts(dict):
         self.tables, self.proven = tables, proven
 
     def __missing__(self, word: str) -> int:
-        n = len(whole_word(self.tables, word))
+        n = 0
+        for part in self.tables.words(word):
+            n += 1 if part in self.proven else len(whole_word(self.tables, part))
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES + len(self.proven):
                 self.clear()
@@ -111,7 +115,7 @@ def token_counts(
     """``key``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit``)."""
     tables = load_tables(path)
     # both are as large as one vocabulary
-    shared = df.sparkSession.sparkContext.broadcast((tables, prove_whole_tokens(tables)))
+    shared = share(df.sparkSession, (tables, prove_whole_tokens(tables)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = _worker_counts(shared)

@@ -16,10 +16,10 @@ from functools import cached_property
 import regex
 
 MODEL_FILE = "word_bpe_49k.json"
-# Words up to this many characters are kept in the cache of a worker.
+# Pieces up to this many characters are kept in the cache of a worker.
 CACHED_CHARS = 64
 # Entries of the cache of a worker; when it is full it starts again.
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 19
 
 
 def default_path() -> str:
@@ -119,6 +119,7 @@ class Tables:
         parts = r"'s|'t|'re|'ve|'m|'ll|'d|"
         return {
             "rare": re.compile(f"[{''.join(own.values())}]" if any(own.values()) else r"\b\B"),
+            "newer": re.compile(f"[{''.join(self.lower)}]" if self.lower else r"\b\B"),
             "plain": regex.compile(parts + r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
             "words": regex.compile(f"{parts}{letter}+|{number}|{other}+", regex.V1),
             "letters": regex.compile(f"{letter}+", regex.V1),
@@ -133,6 +134,22 @@ class Tables:
         rare = not text.isascii() and self.patterns["rare"].search(text)
         return self.patterns["words" if rare else "plain"].findall(text)
 
+    def chunks(self, text: str) -> list[str]:
+        """Normal text cut at white space, which no pre-token spans.
+
+        The information separators, at which Python cuts too, are no white space here.
+        """
+        if any(s in text for s in "\x1c\x1d\x1e\x1f"):
+            return self.words(text)
+        return text.split()
+
+    def chunk_ids(self, chunk: str) -> list[int]:
+        """Ids of a piece between white space."""
+        words = self.words(chunk)
+        if len(words) == 1:
+            return whole_word(self, words[0])
+        return [i for w in words for i in whole_word(self, w)]
+
     @cached_property
     def tokens(self) -> list[str | None]:
         """The text of each id as the file has it."""
@@ -165,8 +182,8 @@ class Tables:
         return text.lower()
 
     def word_bytes(self, word: str) -> bytes:
-        if self.lower and not word.isascii():
-            word = "".join(self.lower.get(s, s) for s in word)
+        if not word.isascii() and self.patterns["newer"].search(word):
+            word = "".join([self.lower.get(s, s) for s in word])
         return word.encode("utf-8", "replace")
 
     def symbols(self, data: bytes, ends: bool) -> list[int]:
@@ -177,23 +194,19 @@ class Tables:
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids after all merges, lowest rank first and leftmost of equal ones."""
-        return self._merge_short(ids) if len(ids) <= 24 else self._merge_long(ids)
+        return self._merge_short(ids) if len(ids) <= 64 else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get, none = self.ranks.get, len(self.joined)
-        while len(ids) > 1:
-            rank = min([get(a << 32 | b, none) for a, b in zip(ids, ids[1:])])
-            if rank == none:
-                break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and get(ids[i] << 32 | ids[i + 1]) == rank:
-                    out.append(self.joined[rank])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        get, joined, none = self.ranks.get, self.joined, len(self.joined)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i : i + 2] = [joined[rank]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -310,7 +323,8 @@ def _may_join_left(sign: str) -> bool:
 class Splitter:
     """Pre-tokens of a text given in pieces.
 
-    ``feed`` returns a list of str (a whole pre-token), int (the id of a special
+    ``feed`` returns a list of str (one or more whole pre-tokens without white
+    space between them), int (the id of a special
     string in the text) and (part, ends) pairs, the parts of a pre-token that
     is too long to be held. Held between calls: less than ``limit`` characters
     and a piece, as long as the text has a place where composition can't join.
@@ -359,12 +373,12 @@ class Splitter:
                 return out
             self.open, text = None, text[end:]
         if closed:
-            out += self.tables.words(text)
+            out += self.tables.chunks(text)
             return out
         keep = max(text.rfind(" "), text.rfind("\n")) + 1
         if len(text) - keep < self.limit:
             self.text = text[keep:]
-            out += self.tables.words(text[:keep])
+            out += self.tables.chunks(text[:keep])
             return out
         found = list(patterns["words"].finditer(text))
         hold = len(found)
