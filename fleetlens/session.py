@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,23 @@ def local_session(cpus: int | str = 8, app: str = "fleetlens") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, for functions that run in their Python workers.
+
+    The package is zipped once per context and distributed by Spark, so that
+    nothing has to be installed on the executors.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_fleetlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # Spark's file server reads it as long as the context lives
+    folder = Path(tempfile.mkdtemp(prefix="fleetlens-code-")).resolve()
+    path = folder / f"fleetlens-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._fleetlens_shipped = True
