@@ -39,7 +39,7 @@ QUALITY = rf"""
 WITH split AS MATERIALIZED (
     SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w,
            list_filter(string_split(coalesce(text, ''), chr(10)),
-                       x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+                       lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
     FROM documents),
 windows AS MATERIALIZED (
     SELECT doc_id, i, md5(array_to_string(w[i:i + 7], ' ')) AS h
@@ -92,13 +92,13 @@ FROM measured m LEFT JOIN failed f ON m.doc_id = f.doc_id"""
 
 TOP_K = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
     FROM embeddings
     WHERE embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
     SELECT q.vec_id AS query_id, c.vec_id,
-           list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+           list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
        vec_id, score
