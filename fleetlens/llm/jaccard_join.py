@@ -404,7 +404,8 @@ def _with_shingles(df: DataFrame, members: DataFrame) -> DataFrame:
 
     names = ["component", "size", "set_id", "copies", "shingles"]
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(members, "doc_id").select(*names[:-1], "text")
+    # the same plan at every size: members grow with the documents
+    joined = rows.join(members.hint("merge"), "doc_id").select(*names[:-1], "text")
     found = joined.mapInArrow(
         work, "component bigint, size bigint, set_id bigint, copies bigint, shingles binary"
     )
