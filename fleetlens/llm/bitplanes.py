@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.bpe import PIECE
 from fleetlens.llm.tokenizer import CACHE_ENTRIES, CACHED_CHARS, Splitter, Tables, default_path
-from fleetlens.llm.workers import share
+from fleetlens.llm.workers import kept, share
 from fleetlens.session import ship_package
 
 BLOCK = 1 << 16
@@ -105,15 +105,9 @@ def text_ids(words: LibraryIds, text: str) -> bytes:
     return b"".join(out)
 
 
-_WORKER: dict[bytes, LibraryIds] = {}
-
-
 def _worker_words(shared) -> LibraryIds:
     tables = shared.value
-    if tables.content not in _WORKER:
-        _WORKER.clear()
-        _WORKER[tables.content] = LibraryIds(tables)
-    return _WORKER[tables.content]
+    return kept(("planes", tables.content), lambda: LibraryIds(tables))
 
 
 def write_ids(

@@ -28,7 +28,7 @@ from fleetlens.llm.tokenizer import (
     WordTransducer,
     load_tables,
 )
-from fleetlens.llm.workers import share
+from fleetlens.llm.workers import kept, share
 
 # Characters given to the transducer at once, and ids decoded at once.
 PIECE = 1 << 15
@@ -181,15 +181,10 @@ def round_trip(
     return _mapped(rows, path, "ids binary, decoded string")
 
 
-_WORKER: dict[bytes, tuple[Tables, WordIds]] = {}
-
-
 def worker_words(shared) -> tuple[Tables, WordIds]:
     """The tables and the word cache of this worker process for one broadcast."""
-    if shared.value.content not in _WORKER:
-        _WORKER.clear()
-        _WORKER[shared.value.content] = (shared.value, WordIds(shared.value))
-    return _WORKER[shared.value.content]
+    tables = shared.value
+    return tables, kept(("bpe", tables.content), lambda: WordIds(tables))
 
 
 def _mapped(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.workers import share
+from fleetlens.llm.workers import kept, share
 from fleetlens.session import ship_package
 
 FOLDS, HELD_OUT = 4, 2
@@ -296,9 +296,6 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Model | None:
     return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
-_WORKER: dict[str, Tagger] = {}
-
-
 def predict(df: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every document."""
     if model is None:
@@ -309,10 +306,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if own.name not in _WORKER:
-            _WORKER.clear()
-            _WORKER[own.name] = Tagger(own)
-        tagger = _WORKER[own.name]
+        tagger = kept(("language", own.name), lambda: Tagger(own))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

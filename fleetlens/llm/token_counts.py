@@ -27,7 +27,7 @@ from fleetlens.llm.tokenizer import (
     load_tables,
     whole_word,
 )
-from fleetlens.llm.workers import share
+from fleetlens.llm.workers import kept, share
 
 
 def prove_whole_tokens(tables: Tables) -> frozenset[str]:
@@ -94,15 +94,9 @@ def count_text(tables: Tables, counts: Counts, text: str) -> int:
     return total
 
 
-_WORKER: dict[bytes, tuple[Tables, Counts]] = {}
-
-
 def _worker_counts(shared) -> tuple[Tables, Counts]:
     tables, proven = shared.value
-    if tables.content not in _WORKER:
-        _WORKER.clear()
-        _WORKER[tables.content] = (tables, Counts(tables, proven))
-    return _WORKER[tables.content]
+    return tables, kept(("counts", tables.content), lambda: Counts(tables, proven))
 
 
 def token_counts(

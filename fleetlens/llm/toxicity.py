@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.workers import share
+from fleetlens.llm.workers import kept, share
 from fleetlens.session import ship_package
 
 FOLDS, HELD_OUT = 5, 0
@@ -41,7 +42,7 @@ SAMPLE = 1500
 # by how much a word beginning must exceed what it continues to.
 MIN_SUPPORT, MIN_EVIDENCE, DOUBT, MORE_THAN_LONGER = 4, 2.5, 8.0, 1.3
 BEGINNINGS = (4, 5, 6)
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 17
 
 # What signs commonly stand for (fixed values).
 LEET = {
@@ -227,21 +228,30 @@ def fit(rows: list[tuple[str, int]], model: np.ndarray) -> tuple[dict[str, float
     the words and longer beginnings that start with it. Its weight is the share
     of toxic support, smoothed.
     """
-    sets = [(text_keys(text, model), label) for text, label in rows]
-    toxic = [s for s, label in sets if label]
-    n_clean = len(sets) - len(toxic)
+    toxic = [text for text, label in rows if label]
+    n_clean = len(rows) - len(toxic)
     if not toxic:
         return {}, 0.0
-    of_toxic = Counter(k for s in toxic for k in s)
-    of_clean = Counter(k for s, label in sets if not label for k in s)
-    wanted = {
-        k for k, n in of_toxic.items() if n >= MIN_SUPPORT and of_clean[k] * 200 <= n_clean
-    }
+    of_toxic: Counter[str] = Counter()
+    for text in toxic:
+        of_toxic.update(text_keys(text, model))
+    often = {k for k, n in of_toxic.items() if n >= MIN_SUPPORT}
+    del of_toxic
+    of_clean: Counter[str] = Counter()
+    for text, label in rows:
+        if not label:
+            of_clean.update(often & text_keys(text, model))
+    wanted = {k for k in often if of_clean[k] * 200 <= n_clean}
     places: dict[str, tuple[set, set]] = {k: (set(), set()) for k in wanted}
+    found_in: list[set[str]] = []
     for text, label in rows:
+        own = set()
         for key, place in _contexts(text, model, wanted):
             places[key][0 if label else 1].add(place)
-    evidence = math.log(len(sets) / len(toxic)) if n_clean else 1.0
+            own.add(key)
+        if label:
+            found_in.append(own)
+    evidence = math.log(len(rows) / len(toxic)) if n_clean else 1.0
     needed = MIN_EVIDENCE + math.log(max(len(wanted), 1))
     strong = {
         k: len(yes)
@@ -261,7 +271,7 @@ def fit(rows: list[tuple[str, int]], model: np.ndarray) -> tuple[dict[str, float
         k: (len(places[k][0]) + 0.5) / (len(places[k][0]) + len(places[k][1]) + 1.0)
         for k in sorted(chosen)
     }
-    missed = sum(1 for s in toxic if not any(k in weights for k in s))
+    missed = sum(1 for own in found_in if not any(k in weights for k in own))
     return weights, (missed + 0.1) / (missed + n_clean + 1.0)
 
 
@@ -332,23 +342,15 @@ def train(df: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.ndar
     return model, weights, next((r["weight"] for r in fitted if r["key"] is None), 0.0)
 
 
-_WORKER: dict[str, Scorer] = {}
-
-
 def score(df: DataFrame, trained: tuple[np.ndarray, dict, float]) -> DataFrame:
     """All columns of ``df`` and ``toxicity``, the score of the restored text."""
-    import uuid
-
     shared = share(df.sparkSession, (uuid.uuid4().hex, trained))
     names = [*df.columns, "toxicity"]
     given = df.withColumn("_toxicity_text", F.coalesce(df["text"].cast("string"), F.lit("")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, parts = shared.value
-        if name not in _WORKER:
-            _WORKER.clear()
-            _WORKER[name] = Scorer(*parts)
-        scorer = _WORKER[name]
+        scorer = kept(("toxicity", name), lambda: Scorer(*parts))
         for batch in batches:
             scores = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]
