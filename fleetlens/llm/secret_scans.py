@@ -5,7 +5,7 @@ characters are judged by two first-order character models, one of random
 strings and one of ordinary identifiers: a run is a secret if its
 log-likelihood ratio reaches ``MIN_RATIO``. The models are trained from weakly
 labelled samples of all documents: the values of the base spans are random,
-runs of letters alone are ordinary. The transition table has one row per pair
+runs of letters, also joined by _ or -, are ordinary. The transition table has one row per pair
 of characters, whatever the data.
 
 Everything is DataFrame functions. Null text is an empty text and has no span.
@@ -42,7 +42,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 MIN_RATIO = 10.0
 # Letters alone must be this surprising per character too: long ordinary words exist.
 MIN_RATIO_PER_CHARACTER = 0.5
-SMOOTHING = 0.5
+# Added to the count of each character, and the weight of characters alone beside pairs.
+SMOOTHING, BACKOFF = 0.5, 20.0
 
 Model = list[float]
 
@@ -122,7 +123,7 @@ def train(scans: DataFrame) -> Model:
     spans = {k: F.col(k) for k in KINDS}
     ordinary = F.filter(
         F.transform(_other(spans, F.col("candidates")), lambda s: s["value"]),
-        lambda v: v.rlike("^[A-Za-z]+$"),
+        lambda v: v.rlike("^[A-Za-z]+([_-][A-Za-z]+)*$"),
     )
     samples = F.concat(
         F.transform(base, lambda v: F.struct(v.alias("value"), F.lit("random").alias("label"))),
@@ -136,19 +137,24 @@ def train(scans: DataFrame) -> Model:
         (r["label"], r["pair"]): r["count"]
         for r in counted.where(F.col("pair").rlike(f"^{known}{known}$")).collect()
     }
-    n = len(ALPHABET)
+    n, labels = len(ALPHABET), ("random", "ordinary")
+    alone = {
+        label: [sum(counts.get((label, a + b), 0) for a in ALPHABET) + SMOOTHING for b in ALPHABET]
+        for label in labels
+    }
+    single = {label: [x / sum(own) for x in own] for label, own in alone.items()}
+    # random strings may also be of an alphabet that no sample has
+    single["random"] = [(x + 1 / n) / 2 for x in single["random"]]
     ratio: Model = []
     for a in ALPHABET:
-        totals = {
-            label: sum(counts.get((label, a + b), 0) for b in ALPHABET) + SMOOTHING * n
-            for label in ("random", "ordinary")
-        }
-        for b in ALPHABET:
-            random, ordinary_ = (
-                (counts.get((label, a + b), 0) + SMOOTHING) / totals[label]
-                for label in ("random", "ordinary")
-            )
-            ratio.append(math.log(random / ordinary_))
+        logs = {}
+        for label in labels:
+            row = [counts.get((label, a + b), 0) for b in ALPHABET]
+            whole = sum(row) + BACKOFF
+            logs[label] = [
+                math.log((x + BACKOFF * p) / whole) for x, p in zip(row, single[label])
+            ]
+        ratio += [x - y for x, y in zip(logs["random"], logs["ordinary"])]
     return ratio
 
 

@@ -1,0 +1,132 @@
+import hashlib
+import re
+from collections import defaultdict
+
+from fleetlens.llm import mixing, quality_rules, secret_scans
+from fleetlens.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_counts(text):
+    text = text or ""
+    words, places = WORD.findall(text), defaultdict(list)
+    for i in range(len(words) - 7):
+        places[tuple(words[i : i + 8])].append(i)
+    covered = {j for p in places.values() if len(p) > 1 for i in p for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(covered),
+    )
+
+
+def test_base_counts(docs, rows, empty):
+    out = quality_rules.quality(docs).collect()
+    got = sorted((r["doc_id"] or -1, *r[1:6]) for r in out)
+    assert got == sorted((i or -1, *base_counts(t)) for i, t, *_ in rows)
+    for r in out:
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert quality_rules.quality(empty).count() == 0
+
+
+def test_thresholds_follow_the_group(spark):
+    plain = [(i, " ".join(f"w{i}x{j}" for j in range(40)), "en", "a", 0) for i in range(80)]
+    odd = [(999, " ".join("#$%#$%" + "y" * 30 + str(j) for j in range(40)), "en", "a", 0)]
+    df = spark.createDataFrame(plain + odd, "doc_id long, text string, lang string, source string, n long")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality(df).collect()}
+    assert not kept[999] and all(kept[i] for i in range(80))
+
+
+BASE = {
+    "assign": (r"(?a:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+    "access": (r"AKIA[A-Z0-9]+", 0, 20),
+    "hex": (r"[0-9a-f]+", 0, 24),
+}
+
+
+def base_spans(text):
+    return sorted(
+        (m.start(), k, m.end(), kind)
+        for k, (kind, (pattern, group, least)) in enumerate(BASE.items())
+        for m in re.finditer(pattern, text or "")
+        if len(m.group(group)) >= least
+    )
+
+
+def test_base_spans(docs, rows, empty):
+    found = secret_scans.find_secrets(docs)
+    text = secret_scans.spans_text(secret_scans.all_spans([*secret_scans.KINDS]))
+    got = sorted((r[0] or -1, r[1]) for r in found.select("doc_id", text).collect())
+    want = [
+        (i or -1, ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in base_spans(t))) for i, t, *_ in rows
+    ]
+    assert got == sorted(want)
+    assert secret_scans.find_secrets(empty).count() == 0
+
+
+def test_random_runs_are_added_and_words_are_not(spark):
+    rows = [(i, f"token={hashlib.sha1(str(i).encode()).hexdigest()} information_about_the_organisation") for i in range(200)]
+    key = "qZ8vX2kLp0WmT5rYbN4c"
+    rows += [(1000, f"an internationalization {key} here"), (1001, "counterrevolutionaries everywhere")]
+    rows += [(1002, "the " + "misrepresentation " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [s["value"] for s in r["random"]] for r in secret_scans.find_secrets(df).collect()}
+    assert found[1000] == [key] and not found[1001] and not found[1002]
+    clean = {r["doc_id"]: r["text"] for r in secret_scans.redacted(df).collect()}
+    assert clean[1000] == "an internationalization [SECRET] here"
+    assert clean[0] == "[SECRET] information_about_the_organisation"
+
+
+def test_redaction_keeps_rows_and_columns(docs, empty):
+    out = secret_scans.redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    kept = {r["doc_id"]: r for r in out.collect()}
+    assert kept[4]["text"] is None and kept[12]["text"].count("[SECRET]") == 3
+    assert kept[12]["n_chars"] == len(kept[12]["text"])
+    assert secret_scans.redacted(empty).count() == 0
+
+
+def sources_of(mix):
+    by = defaultdict(lambda: [0, 0.0, 0])
+    for r in mix:
+        by[r["source"]][0] += r["taken"]
+        by[r["source"]][1:] = [r["target"], r["source_size"]]
+    return by
+
+
+def test_mix_reaches_its_targets(spark, docs, rows, empty):
+    mix = mixing.mix(docs).collect()
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in mix) == sorted(
+        (i or -1, len(WORD.findall(t or ""))) for i, t, *_ in rows
+    )
+    by = sources_of(mix)
+    total = sum(v[2] for v in by.values())
+    assert abs(sum(v[1] for v in by.values()) - 1.5 * total) < 1e-6
+    for r in mix:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    for taken, target, size in by.values():
+        assert target <= 2 * size and abs(taken - target) <= 2
+    assert sorted(map(str, mix)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixed_rows_are_what_the_mix_takes(docs, empty):
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got, want = defaultdict(int), defaultdict(int)
+    for r in out.collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert got == {k: v for k, v in want.items() if v}
+    assert mixing.mixed(empty).count() == 0
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
