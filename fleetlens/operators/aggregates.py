@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.ordering import GROUP_ROWS, paged_groups
+from fleetlens.operators.ordering import page_of, paged_groups
 
 
 def _durations(jobs: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def host_aliases(
     domain: str = S.HOST_ALIAS_DOMAIN,
     as_text: bool = False,
     text_suffix: str = S.HOST_ALIAS_TEXT_SUFFIX,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """The aliases on each host, sorted; the key is the host text as stored.
 
@@ -51,4 +51,4 @@ def host_aliases(
         aliases = F.array_join(aliases, ",")
     rows = instances.select("id", "host", "db_name")
     groups, _ = paged_groups(rows, ["host"], ["id"], group_rows, aliases.alias("aliases"))
-    return groups.select("host", "page", "aliases")
+    return groups.select("host", *page_of(groups), "aliases")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.ordering import GROUP_ROWS, join_unique
+from fleetlens.operators.ordering import join_unique, page_of
 from fleetlens.operators.views import Catalog, attribute_map, directory_rules, metadata_view
 from fleetlens.session import stored
 
@@ -82,7 +82,7 @@ def instance_attributes(
     requests: DataFrame,
     instances: DataFrame,
     attribute: DataFrame,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """All attributes of a named instance as a map; no row where it has none."""
     asked = requests.select("request_id", "db_name")
@@ -90,7 +90,7 @@ def instance_attributes(
         resolve_instance_id(asked, instances).where(F.col("instance_id").isNotNull())
     )
     maps, _ = attribute_map(asked_rows(attribute, resolved, ["instance_id"]), group_rows)
-    return resolved.join(maps, "instance_id").select("request_id", "page", "attributes")
+    return resolved.join(maps, "instance_id").select("request_id", *page_of(maps), "attributes")
 
 
 def _wanted_hosts(name: Column) -> Column:
@@ -121,14 +121,14 @@ def _metadata_of(matches: DataFrame, catalog: Catalog, group_rows: int) -> DataF
 
 
 def instances_on_hosts(
-    requests: DataFrame, catalog: Catalog, group_rows: int | None = GROUP_ROWS
+    requests: DataFrame, catalog: Catalog, group_rows: int | None = None
 ) -> DataFrame:
     """Metadata of all instances on a host; ``a,b`` asks for both hosts."""
     return _metadata_of(match_hosts(requests, catalog["instances"]), catalog, group_rows)
 
 
 def metadata_lookup(
-    requests: DataFrame, catalog: Catalog, group_rows: int | None = GROUP_ROWS
+    requests: DataFrame, catalog: Catalog, group_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Answer ``request_id, class, name`` requests: the rows, and a status per request.
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.session import stored
 
-# Rows one group may bring together in one output row or one window.
-GROUP_ROWS = 100_000
-# Oversized groups whose keys are small enough to be sent to every executor.
+# Rows of a key after which its window is cut into runs; the result is the same.
+CHUNK_ROWS = 100_000
+# With a page size: oversized groups whose keys may be sent to every executor.
 HOT_KEYS = 10_000
 
 
@@ -82,7 +82,7 @@ def _hot_groups(
 
 
 def has_hot_groups(
-    df: DataFrame, keys: list[str], group_rows: int | None = GROUP_ROWS
+    df: DataFrame, keys: list[str], group_rows: int | None = CHUNK_ROWS
 ) -> bool:
     """Whether any group has more rows than one task should hold."""
     return _hot_groups(df, keys, group_rows)[1]
@@ -100,15 +100,17 @@ def paged_groups(
     *aggregates: Column,
     merge: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> tuple[DataFrame, bool]:
-    """Group by ``keys``, in pages of about ``group_rows`` rows.
-
-    Almost every group is one page, number 0, and the result keeps the
-    partitioning by ``keys``. If there are larger groups they are spread by the
-    hash of ``spread_by`` over as many pages as they need, so no task gets a
-    whole one; no row is lost. ``merge`` may shorten the rows of a page before
-    they are brought together. Returns the groups with ``page``, and whether
-    any has more than one.
+    """Group by ``keys``; with a page size in pages of about ``group_rows`` rows.
+
+    Without a page size there is one row per key, at every size of the data, and
+    nothing is counted. With one, the groups have a ``page``: larger ones are
+    spread by the hash of ``spread_by`` over as many pages as they need, so no
+    task gets a whole one; no row is lost. ``merge`` may shorten the rows of a
+    page before they are brought together. Returns the groups and whether any
+    has more than one page.
     """
+    if group_rows is None:
+        return df.groupBy(*keys).agg(*aggregates), False
     groups, some, short = _hot_groups(df, keys, group_rows)
     if not some:
         return df.groupBy(*keys).agg(*aggregates).withColumn("page", F.lit(0)), False
@@ -124,26 +126,22 @@ def paged_groups(
     return rows.groupBy(*by_page).agg(*aggregates), True
 
 
-def join_unique(
-    df: DataFrame, table: DataFrame, on: list[str], group_rows: int | None = GROUP_ROWS
-) -> DataFrame:
+def join_unique(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """Left join to a table that has at most one row per key.
 
-    Rows of a key that has more than ``group_rows`` of them stay where they are:
-    the one row they match is sent to them. The other rows are shuffled.
+    A hot key of ``df`` is split by Spark's adaptive skew join: its rows are not
+    brought together afterwards, results go back by their request.
     """
-    groups, some, short = _hot_groups(df, on, group_rows)
-    if not some or not short:
-        return df.join(table, on, "left")
-    hot = F.broadcast(groups)
-    few = F.broadcast(table.join(hot, _is_hot(table, groups, on), "left_semi"))
-    rest = df.join(hot, _is_hot(df, groups, on), "left_anti")
-    of_hot = df.join(hot, _is_hot(df, groups, on), "left_semi")
-    return rest.join(table, on, "left").unionByName(of_hot.join(few, on, "left"))
+    return df.join(table, on, "left")
+
+
+def page_of(df: DataFrame) -> list[str]:
+    """The page column, where a page size was asked for."""
+    return ["page"] if "page" in df.columns else []
 
 
 def chunked(
-    df: DataFrame, keys: list[str], order: list[str], group_rows: int | None = GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], group_rows: int | None = CHUNK_ROWS
 ) -> tuple[DataFrame, bool]:
     """Add ``_chunk``, which cuts the ordered rows of a key into runs in order.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
-from fleetlens.operators.ordering import GROUP_ROWS, paged_groups
+from fleetlens.operators.ordering import page_of, paged_groups
 
 Catalog = dict[str, DataFrame]
 
@@ -27,7 +27,6 @@ METADATA_COLUMNS = [
     "datadir",
     "logdir",
     "socket",
-    "page",
 ]
 
 
@@ -64,11 +63,11 @@ def owner_view(owners: DataFrame) -> DataFrame:
 
 
 def attribute_map(
-    attribute: DataFrame, group_rows: int | None = GROUP_ROWS
+    attribute: DataFrame, group_rows: int | None = None
 ) -> tuple[DataFrame, bool]:
     """One map of attributes per instance; of a repeated name the smallest id counts.
 
-    An instance with more than ``group_rows`` rows is spread over several pages
+    With a page size an instance with more rows is spread over several pages
     by attribute name; its repeated names are merged before the shuffle.
     """
 
@@ -91,16 +90,16 @@ def attribute_map(
     )
     entries = F.transform(first_of_name, lambda pair: F.struct(pair["name"], pair["value"]))
     return (
-        nested.select("instance_id", "page", F.map_from_entries(entries).alias("attributes")),
+        nested.select("instance_id", *page_of(nested), F.map_from_entries(entries).alias("attributes")),
         several,
     )
 
 
-def volume_array(volume: DataFrame, group_rows: int | None = GROUP_ROWS) -> tuple[DataFrame, bool]:
+def volume_array(volume: DataFrame, group_rows: int | None = None) -> tuple[DataFrame, bool]:
     """One array of volume rows per instance, in id order; several pages as above."""
     listed = F.array_sort(F.collect_list(F.struct(*S.VOLUME.columns))).alias("volumes")
     nested, several = paged_groups(volume, ["instance_id"], ["id"], group_rows, listed)
-    return nested.select("instance_id", "page", "volumes"), several
+    return nested.select("instance_id", *page_of(nested), "volumes"), several
 
 
 def no_volumes():
@@ -124,28 +123,23 @@ def with_attribute(
 
 
 def with_attributes(
-    df: DataFrame, attribute: DataFrame, id_col: str = "id", group_rows: int | None = GROUP_ROWS
+    df: DataFrame, attribute: DataFrame, id_col: str = "id", group_rows: int | None = None
 ) -> DataFrame:
-    """Add the attribute map (and its page); NULL where the instance has none."""
+    """Add the attribute map; NULL where the instance has none."""
     maps, _ = attribute_map(attribute, group_rows)
     maps = maps.withColumnRenamed("instance_id", "_instance_id")
-    return (
-        df.join(maps, df[id_col] == maps["_instance_id"], "left")
-        .drop("_instance_id")
-        .withColumn("page", F.coalesce("page", F.lit(0)))
-    )
+    return df.join(maps, df[id_col] == maps["_instance_id"], "left").drop("_instance_id")
 
 
 def with_volumes(
-    df: DataFrame, volume: DataFrame, id_col: str = "id", group_rows: int | None = GROUP_ROWS
+    df: DataFrame, volume: DataFrame, id_col: str = "id", group_rows: int | None = None
 ) -> DataFrame:
-    """Add the volume array (and its page); an empty array where there is none."""
+    """Add the volume array; an empty array where there is none."""
     arrays, _ = volume_array(volume, group_rows)
     arrays = arrays.withColumnRenamed("instance_id", "_instance_id")
     return (
         df.join(arrays, df[id_col] == arrays["_instance_id"], "left")
         .drop("_instance_id")
-        .withColumn("page", F.coalesce("page", F.lit(0)))
         .withColumn("volumes", F.coalesce("volumes", no_volumes()))
     )
 
@@ -161,19 +155,26 @@ def with_directories(
 ) -> DataFrame:
     """Add the five directories; needs ``db_name``, ``db_type``, ``version``, ``port``.
 
-    A row of unknown type is dropped. ``keep_unknown=True`` keeps it with NULL
-    directories.
+    A row of unknown type is dropped. ``keep_unknown=True`` keeps it with the
+    default directories.
     """
     if rules is None:
         # Fixed table of five rows, so it can go to every executor.
         rules = F.broadcast(directory_rules(df.sparkSession))
     paths = S.DIRECTORY_COLUMNS[1:]
-    templates = rules.select("db_type", *[F.col(p).alias(f"_{p}") for p in paths])
+    templates = rules.select(
+        "db_type", F.lit(True).alias("_known"), *[F.col(p).alias(f"_{p}") for p in paths]
+    )
     name, version, port = F.col("db_name"), F.col("version"), F.col("port")
+    joined = df.join(templates, "db_type", "left" if keep_unknown else "inner")
+    if keep_unknown:
+        default = dict(zip(paths, S.DEFAULT_DIRECTORIES))
+        joined = joined.withColumns(
+            {f"_{p}": F.when(F.col("_known"), F.col(f"_{p}")).otherwise(default[p]) for p in paths}
+        )
     return (
-        df.join(templates, "db_type", "left" if keep_unknown else "inner")
-        .withColumns({p: E.fill_path(F.col(f"_{p}"), name, version, port) for p in paths})
-        .drop(*[f"_{p}" for p in paths])
+        joined.withColumns({p: E.fill_path(F.col(f"_{p}"), name, version, port) for p in paths})
+        .drop("_known", *[f"_{p}" for p in paths])
     )
 
 
@@ -194,15 +195,15 @@ def metadata_view(
     catalog: Catalog,
     only: DataFrame | None = None,
     keep_unknown: bool = False,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Every instance with its hosts, attributes, port, volumes and directories.
 
     ``only`` (a table with a distinct ``id``) keeps the view to these instances;
     the child rows of others are dropped before they are grouped. Instances of
     unknown type are left out unless ``keep_unknown`` is set. Output has one row
-    per instance, page 0; an instance with more than ``group_rows`` child rows
-    has further pages that repeat its own columns.
+    per instance. With a page size, ``group_rows``, there is a ``page``, and an
+    instance with more child rows has further pages that repeat its own columns.
     """
     instances, attribute, volume = catalog["instances"], catalog["attribute"], catalog["volume"]
     if only is not None:
@@ -229,13 +230,14 @@ def metadata_view(
         rows = (
             base.join(maps.drop("page").withColumnRenamed("instance_id", "id"), "id", "left")
             .join(arrays.drop("page").withColumnRenamed("instance_id", "id"), "id", "left")
-            .withColumn("page", F.lit(0))
             .withColumn("port", F.try_element_at("attributes", F.lit("port")))
         )
-    rows = rows.withColumn("volumes", F.coalesce("volumes", no_volumes())).withColumn(
-        "page", F.coalesce("page", F.lit(0))
-    )
-    return with_directories(rows, keep_unknown=keep_unknown).select(*METADATA_COLUMNS)
+    rows = rows.withColumn("volumes", F.coalesce("volumes", no_volumes()))
+    columns = [*METADATA_COLUMNS]
+    if group_rows is not None:
+        page = F.coalesce("page", F.lit(0)) if "page" in rows.columns else F.lit(0)
+        rows, columns = rows.withColumn("page", page), [*columns, "page"]
+    return with_directories(rows, keep_unknown=keep_unknown).select(*columns)
 
 
 def node_inventory(

@@ -135,7 +135,7 @@ CTES: dict[str, str] = {
         SELECT i.id, i.username, i.db_name, i.category AS class, i.db_type, i.version,
                i.host AS hosts, m.attributes, d.port, coalesce(v.volumes, '') AS volumes,
                coalesce(v.n_volumes, 0) AS n_volumes,
-               d.basedir, d.bindir, d.datadir, d.logdir, d.socket, 0 AS page
+               d.basedir, d.bindir, d.datadir, d.logdir, d.socket
         FROM instances i JOIN instance_paths d ON d.id = i.id
         LEFT JOIN attribute_maps m ON m.instance_id = i.id
         LEFT JOIN volume_lists v ON v.instance_id = i.id
@@ -151,7 +151,7 @@ CTES: dict[str, str] = {
                '{S.HOST_ALIAS_PREFIX}' || db_name || '{S.HOST_ALIAS_TEXT_SUFFIX}' AS plain
         FROM instances""",
     "host_lists": """
-        SELECT host, 0 AS page, string_agg(alias, ',' ORDER BY alias) AS aliases
+        SELECT host, string_agg(alias, ',' ORDER BY alias) AS aliases
         FROM host_alias GROUP BY host""",
     "last_nodes": """
         SELECT * FROM (
@@ -499,7 +499,7 @@ COUNTED = [
 ]
 
 _METADATA = "id, username, db_name, class, db_type, version, hosts, attributes, port, volumes, " \
-    "n_volumes, basedir, bindir, datadir, logdir, socket, page"
+    "n_volumes, basedir, bindir, datadir, logdir, socket"
 
 _BODIES: dict[str, str] = {
     "s1_catalog_scan": " UNION ALL ".join(
@@ -534,15 +534,15 @@ _BODIES: dict[str, str] = {
         SELECT db_name AS name, hostname, username, category AS type, db_type AS subcategory,
                port, tags FROM last_nodes""",
     "s6_alias_documents": """
-        SELECT request_id, 0 AS page, count(*) AS n_rows,
+        SELECT request_id, count(*) AS n_rows,
                '{"response":[' || string_agg('{"dns_name":"' || dns_name || '","alias":"'
                    || alias || '"}', ',' ORDER BY dns_name) || ']}' AS document
         FROM name_requests JOIN functional_aliases USING (db_name) GROUP BY request_id""",
     "s6_owner_documents": """
-        SELECT request_id, 0 AS page, count(*) AS n_rows, min(owner_login) AS owner_login
+        SELECT request_id, count(*) AS n_rows, min(owner_login) AS owner_login
         FROM name_requests JOIN owners ON db_name = instance_name GROUP BY request_id""",
     "s6_metadata_documents": """
-        SELECT request_id, 0 AS page, count(*) AS n_rows,
+        SELECT request_id, count(*) AS n_rows,
                arg_min(m.db_name, m.id) AS first_db_name
         FROM host_matches h JOIN metadata m ON m.id = h.id GROUP BY request_id""",
     "p1_instance_view": f"""
@@ -572,14 +572,14 @@ _BODIES: dict[str, str] = {
         SELECT request_id, id, name, memory FROM host_name_requests JOIN host ON name = first_host
         WHERE second_host IS NULL""",
     "f1_host_aliases_by_host": """
-        SELECT request_id, host, page, aliases FROM host_name_requests JOIN host_lists
+        SELECT request_id, host, aliases FROM host_name_requests JOIN host_lists
         ON host = first_host || coalesce(',' || second_host, '')""",
     "f2_attribute_value": """
         SELECT r.request_id, r.db_name, r.name, a.value FROM write_requests r
         JOIN instances i ON i.db_name = r.db_name
         JOIN attribute a ON a.instance_id = i.id AND a.name = r.name""",
     "f2_all_attributes": """
-        SELECT request_id, 0 AS page, attributes FROM name_requests r
+        SELECT request_id, attributes FROM name_requests r
         JOIN instances i ON i.db_name = r.db_name JOIN attribute_maps ON instance_id = i.id""",
     "f3_instances_on_hosts": f"""
         SELECT request_id, {", ".join("m." + c.strip() for c in _METADATA.split(","))}
@@ -600,14 +600,24 @@ _BODIES: dict[str, str] = {
     "j2_port_of_instance": """
         SELECT id, db_name, port FROM instances LEFT JOIN ports ON instance_id = id""",
     "j3_attributes_of_instance": """
-        SELECT id, db_name, 0 AS page, attributes FROM instances
+        SELECT id, db_name, attributes FROM instances
         LEFT JOIN attribute_maps ON instance_id = id""",
     "j4_volumes_of_instance": """
-        SELECT id, db_name, 0 AS page, coalesce(volumes, '') AS volumes FROM instances
+        SELECT id, db_name, coalesce(volumes, '') AS volumes FROM instances
         LEFT JOIN volume_lists ON instance_id = id""",
     "j5_directories": """
         SELECT * FROM instance_paths WHERE db_type IN (SELECT db_type FROM directories)""",
-    "j5_directories_keep_unknown": "SELECT * FROM instance_paths",
+    "j5_directories_keep_unknown": """
+        SELECT id, db_name, db_type, version, port,
+               CASE WHEN known THEN basedir ELSE '/#BASEDIR#/' || version END AS basedir,
+               CASE WHEN known THEN bindir ELSE '/#BASEDIR#/' || version || '/bin' END AS bindir,
+               CASE WHEN known THEN datadir
+                    ELSE '/ORA/dbs03/' || upper(db_name) || '/data' END AS datadir,
+               CASE WHEN known THEN logdir
+                    ELSE '/ORA/dbs02/' || upper(db_name) || '/pg_xlog' END AS logdir,
+               CASE WHEN known THEN socket ELSE '/tmp' END AS socket
+        FROM (SELECT *, coalesce(db_type IN (SELECT db_type FROM directories), false) AS known
+              FROM instance_paths)""",
     "j6_host_names": """
         SELECT o_orderkey AS list_id, coalesce(string_agg(h.name, ',' ORDER BY h.id), '') AS hosts
         FROM orders LEFT JOIN host h ON o_orderkey % 8 <> 0
@@ -623,12 +633,12 @@ _BODIES: dict[str, str] = {
     "a1_job_stats": f"""
         SELECT db_name, command_name, {DURATIONS} FROM jobs GROUP BY db_name, command_name""",
     "a2_command_stats": f"SELECT command_name, {DURATIONS} FROM jobs GROUP BY command_name",
-    "a3_host_aliases": "SELECT host, page, aliases FROM host_lists",
+    "a3_host_aliases": "SELECT host, aliases FROM host_lists",
     "a4_host_aliases_text": """
-        SELECT host, 0 AS page, string_agg(plain, ',' ORDER BY plain) AS aliases
+        SELECT host, string_agg(plain, ',' ORDER BY plain) AS aliases
         FROM host_alias GROUP BY host""",
-    "a5_attribute_map": "SELECT instance_id, 0 AS page, attributes FROM attribute_maps",
-    "a6_volume_array": "SELECT instance_id, 0 AS page, n_volumes, volumes FROM volume_lists",
+    "a5_attribute_map": "SELECT instance_id, attributes FROM attribute_maps",
+    "a6_volume_array": "SELECT instance_id, n_volumes, volumes FROM volume_lists",
     "l1_next_free": "SELECT dns_name FROM free_names WHERE nth = 1",
     "l2_nodes_sorted": "SELECT * FROM nodes ORDER BY db_name, hostname",
     "l3_latest_alias": """

@@ -166,7 +166,7 @@ def s6_owner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sent = export.to_documents(rows, "request_id", envelope="data")
     owner = F.get_json_object("document", "$.data[0].owner_login")
-    return sent.select("request_id", "page", "n_rows", owner.alias("owner_login"))
+    return sent.select("request_id", "n_rows", owner.alias("owner_login"))
 
 
 @query("s6_metadata_documents")
@@ -174,9 +174,9 @@ def s6_metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lookup.instances_on_hosts(
         binding.host_name_requests(spark, sf_dir), _view_tables(spark, sf_dir)
     )
-    sent = export.to_documents(rows.drop("page"), "request_id", order=["id"])
+    sent = export.to_documents(rows, "request_id", order=["id"])
     first = F.get_json_object("document", "$.response[0].db_name")
-    return sent.select("request_id", "page", "n_rows", first.alias("first_db_name"))
+    return sent.select("request_id", "n_rows", first.alias("first_db_name"))
 
 
 # -- projections --------------------------------------------------------------------
@@ -449,7 +449,6 @@ def a6_volume_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays, _ = views.volume_array(binding.volume(spark, sf_dir))
     return arrays.select(
         "instance_id",
-        "page",
         F.size("volumes").alias("n_volumes"),
         _volumes_text(F.col("volumes")).alias("volumes"),
     )

@@ -26,6 +26,13 @@ SERVICE_UNAVAILABLE = 503
 # taken as they are, {NAME} is the upper-cased and {name} the lower-cased
 # instance name. A NULL in a hole makes the whole path NULL.
 DIRECTORY_COLUMNS = ["db_type", "basedir", "bindir", "datadir", "logdir", "socket"]
+DEFAULT_DIRECTORIES = [  # of a type without a rule
+    "/#BASEDIR#/{version}",
+    "/#BASEDIR#/{version}/bin",
+    "/ORA/dbs03/{NAME}/data",
+    "/ORA/dbs02/{NAME}/pg_xlog",
+    "/tmp",
+]
 DIRECTORY_RULES = [
     (
         "MYSQL",
@@ -232,6 +239,7 @@ COMMAND_PARAMS = Table(
         _text("value"),
         _text("category", 20),
     ),
+    unique=(("username", "db_name", "command_name", "type", "creation_date", "name"),),
 )
 
 INSTANCE_CHANGES = Table(
@@ -245,6 +253,7 @@ INSTANCE_CHANGES = Table(
         _text("old_value", 1024),
         _text("new_value", 1024),
     ),
+    unique=(("username", "db_name", "attribute", "change_date"),),
 )
 
 UPGRADES = Table(
@@ -255,6 +264,7 @@ UPGRADES = Table(
         _text("version_from", 128, True),
         _text("version_to", 128, True),
     ),
+    unique=(("db_type", "category", "version_from"),),
 )
 
 OWNERS = Table(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as E
 from fleetlens.operators.lookup import latest_per_key
-from fleetlens.operators.ordering import GROUP_ROWS, paged_groups
+from fleetlens.operators.ordering import page_of, paged_groups
 
 # The attributes of a node and the column each one shows.
 NODE_ATTRIBUTES = [
@@ -60,7 +60,7 @@ def to_documents(
     key: str,
     envelope: str = "response",
     order: list[str] | None = None,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """One JSON document per key with its rows in a list under ``envelope``.
 
@@ -77,7 +77,7 @@ def to_documents(
         F.count(F.lit(1)).alias("n_rows"), texts.alias("_texts"),
     )
     document = F.concat(F.lit(f'{{"{envelope}":['), F.col("_texts"), F.lit("]}"))
-    return groups.select(key, "page", "n_rows", document.alias("document"))
+    return groups.select(key, *page_of(groups), "n_rows", document.alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens import schemas as S
-from fleetlens.operators.ordering import GROUP_ROWS, chunked
+from fleetlens.operators.ordering import CHUNK_ROWS, chunked
 from fleetlens.operators.outcomes import SUCCESS
 from fleetlens.sources.snapshots import read_if_present
 
@@ -75,7 +75,7 @@ def _with_existed(state: DataFrame, writes: DataFrame, group_rows: int) -> DataF
     return rows.withColumn("existed", F.coalesce(last_left, F.col("_start")))
 
 
-def judge_feed(state: DataFrame, feed: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFrame:
+def judge_feed(state: DataFrame, feed: DataFrame, group_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """The writes of a feed with their status, as if they came one by one."""
     columns = ["request_id", "ts", "instance_id", "op", "name", "value"]
     known = feed.where(F.col("op").isin(*OPS)).select(*columns)
@@ -111,7 +111,7 @@ def _outcomes(judged: DataFrame) -> DataFrame:
 
 
 def apply_feed(
-    state: DataFrame, feed: DataFrame, group_rows: int | None = GROUP_ROWS
+    state: DataFrame, feed: DataFrame, group_rows: int | None = CHUNK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """Apply creates, updates and deletes of single attributes in feed order.
 
@@ -189,7 +189,7 @@ def stream_feed(
     state_path: str,
     checkpoint: str,
     files_per_batch: int | None = None,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = CHUNK_ROWS,
 ) -> StreamingQuery:
     """Apply all waiting feed files to the stored state, batch by batch.
 

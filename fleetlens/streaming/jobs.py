@@ -57,9 +57,10 @@ def _decide(limit_us: int, retention_us: int):
                 continue
             first = int(rows["us"].min())
             start = first if start is None else min(start, first)
-            ended = rows[rows["exec_completed"]].sort_values(["us", "exec_state"])
+            ended = rows[rows["exec_completed"].fillna(False).astype(bool)].sort_values(["us", "exec_state"], na_position="first")
             if len(ended) and (done is None or ended["us"].iloc[0] < done):
-                done, exec_state = int(ended["us"].iloc[0]), str(ended["exec_state"].iloc[0])
+                told = ended["exec_state"].iloc[0]
+                done, exec_state = int(ended["us"].iloc[0]), None if pd.isna(told) else str(told)
         deadline = start + limit_us
         watermark = state.getCurrentWatermarkMs()
         report = not reported and deadline // 1000 <= watermark
@@ -87,9 +88,9 @@ def _deciding_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if rows.empty:
             continue
-        ordered = rows.sort_values(["ts", "exec_state"])
+        ordered = rows.sort_values(["ts", "exec_state"], na_position="first")
         first = ~ordered.duplicated("exec_id")
-        completed = ordered[ordered["exec_completed"]]
+        completed = ordered[ordered["exec_completed"].fillna(False).astype(bool)]
         first_completed = completed.index[~completed.duplicated("exec_id")]
         kept = ordered.index[first].union(first_completed).union(ordered.index[-1:])
         yield rows.loc[kept]

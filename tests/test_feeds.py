@@ -65,7 +65,7 @@ def several_partitions(spark):
     spark.conf.set(key, "true")
 
 
-@pytest.mark.parametrize("group_rows", [ordering.GROUP_ROWS, 50])
+@pytest.mark.parametrize("group_rows", [ordering.CHUNK_ROWS, 50])
 def test_feed_equals_one_by_one(spark, several_partitions, group_rows):
     writes = random_feed(1500, 40)
     df = spark.createDataFrame(writes, S.ATTRIBUTE_FEED).repartition(4)
@@ -117,7 +117,7 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     feed.write_base(as_state(spark, SEED), state_path)
     first = spark.createDataFrame(random_feed(100, 9, seed=5), S.ATTRIBUTE_FEED)
     for _ in range(2):
-        feed._apply_batch(first, 0, state_path, ordering.GROUP_ROWS)
+        feed._apply_batch(first, 0, state_path, ordering.CHUNK_ROWS)
     wanted_state, wanted = one_by_one(SEED, random_feed(100, 9, seed=5))
     assert as_dict(feed.read_state(spark, state_path)) == wanted_state
     assert feed.read_outcomes(spark, state_path).count() == len(wanted)
@@ -175,3 +175,24 @@ def test_job_outcomes_as_a_stream(spark, tmp_path):
     batch = jobs.job_outcomes(observations(spark, OBSERVED), LIMIT)
     got = spark.read.parquet(out).where(F.col("exec_id") < 8)
     assert rows(got, "exec_id", "outcome", "ended") == rows(batch, "exec_id", "outcome", "ended")
+
+
+def test_a_stream_with_null_states_equals_the_batch(spark, tmp_path):
+    seen = [*OBSERVED, (11, 1, None, None), (11, 2, True, None), (12, 1, None, "succeeded")]
+    ordered = sorted(seen, key=lambda o: o[1])
+    source = str(tmp_path / "in")
+    observations(spark, ordered).coalesce(1).write.parquet(source)
+    observations(spark, [(8, 500, True, "succeeded")]).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(S.JOB_OBSERVATIONS).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    (
+        jobs.stream_job_outcomes(stream, LIMIT)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start(out)
+        .awaitTermination()
+    )
+    batch = jobs.job_outcomes(observations(spark, seen), LIMIT)
+    got = spark.read.parquet(out).where(F.col("exec_id") != 8)
+    assert rows(got, "exec_id", "outcome", "ended") == rows(batch, "exec_id", "outcome", "ended")

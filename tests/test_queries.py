@@ -21,10 +21,11 @@ def oracle():
 
 
 def test_every_query_has_a_counterpart():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    own = {n for n in entry.queries() if n not in entry.LLM_QUERIES}
+    assert own == {n for n in entry.oracle_sql() if n not in entry.LLM_QUERIES}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_oracle(spark, oracle, name):
     _, difference = compare.compare(spark, oracle, name, SF_DIR)
     assert difference is None

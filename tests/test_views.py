@@ -27,7 +27,26 @@ def test_unknown_type_is_only_missing_in_metadata(fleet, metadata):
     names = {r["db_name"] for r in views.instance_view(fleet["instances"]).collect()}
     assert "odd_one" in names
     kept = views.metadata_view(fleet, keep_unknown=True).where("db_name = 'odd_one'").first()
-    assert kept["basedir"] is None and kept["socket"] is None
+    assert kept["basedir"] == f"/#BASEDIR#/{kept['version']}" and kept["socket"] == "/tmp"
+    assert kept["bindir"] == kept["basedir"] + "/bin"
+    assert kept["datadir"] == "/ORA/dbs03/ODD_ONE/data"
+    assert kept["logdir"] == "/ORA/dbs02/ODD_ONE/pg_xlog"
+
+
+def test_children_of_both_kinds_and_no_page(fleet):
+    both = views.with_volumes(
+        views.with_attributes(fleet["instances"], fleet["attribute"]), fleet["volume"]
+    )
+    assert "page" not in both.columns and both.count() == fleet["instances"].count()
+
+
+def test_one_row_for_a_very_large_key(spark, fleet):
+    many = spark.range(120_000).selectExpr(
+        "id + 1000 AS id", "CAST(1 AS BIGINT) AS instance_id", "concat('a', id) AS name", "'v' AS value"
+    )
+    catalog_ = {**fleet, "attribute": many.select(*fleet["attribute"].columns)}
+    one = views.metadata_view(catalog_).where("id = 1").selectExpr("size(attributes) AS n").collect()
+    assert [r["n"] for r in one] == [120_000]
 
 
 def test_children_of_an_instance(metadata):
@@ -147,7 +166,7 @@ def test_pages_of_an_oversized_instance_hold_all_children(spark, monkeypatch, ho
     assert volumes == [v["id"] for v in whole[1]["volumes"]] and len(volumes) == 42
     for r in paged:
         if r["id"] != 1:
-            assert r == whole[r["id"]]
+            assert r["page"] == 0 and r[: len(r) - 1] == tuple(whole[r["id"]])
 
 
 def test_pages_of_an_oversized_host(spark):
@@ -260,7 +279,7 @@ def test_join_unique_with_a_hot_key(spark):
     table_ = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
     wanted = sorted((i, k or "", v) for i, k, v in map(tuple, df.join(table_, "k", "left").select(
         "id", F.coalesce("k", F.lit("")), F.coalesce("v", F.lit(0))).collect()))
-    got = ordering.join_unique(df, table_, ["k"], group_rows=10)
+    got = ordering.join_unique(df, table_, ["k"])
     assert rows(got, "id", F.coalesce("k", F.lit("")), F.coalesce("v", F.lit(0))) == wanted
     assert len(wanted) == 75
 
