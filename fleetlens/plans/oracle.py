@@ -399,7 +399,11 @@ def _with_ctes(body: str) -> str:
                 visit(CTES[word])
 
     visit(body)
-    listed = [f"{name} AS ({sql})" for name, sql in CTES.items() if name in needed]
+    listed = [
+        f"{name} AS {'MATERIALIZED ' if name == 'metadata' else ''}({sql})"
+        for name, sql in CTES.items()
+        if name in needed
+    ]
     return f"WITH {', '.join(listed)} {body}" if listed else body
 
 
