@@ -1,4 +1,4 @@
-"""A small fleet with the edge rows that the operators have to get right."""
+"""A small fleet of a shop and its books, with the edge rows that operators have to get right."""
 
 from __future__ import annotations
 
@@ -6,35 +6,46 @@ import datetime
 
 from fleetlens import schemas as S
 
-DAY = datetime.date(2016, 7, 20)
+DAY = datetime.date(2023, 3, 14)
 
-# Five instances with their children, as the test facts need them.
-BASE_INSTANCES = [
-    (1, "user01", "db01", "TEST", "MYSQL", "5.6.17", "host01"),
-    (2, "user01", "db02", "PROD", "PG", "9.4.4", "host03"),
-    (3, "user02", "db03", "TEST", "MYSQL", "5.5", "host01"),
-    (4, "user03", "db04", "PROD", "PG", "9.4.5", "host01"),
-    (5, "user04", "db05", "TEST", "MYSQL", "5.6.17", "host01"),
+INSTANCES = [
+    (1, "lena", "orders_eu", "PROD", "PG", "14.2", "rack-a1"),
+    (2, "omar", "orders_us", "PROD", "PG", "15.1", "rack-b7"),
+    (3, "omar", "ledger", "PROD", "MYSQL", "8.0.31", "rack-a1"),
+    (4, "ines", "sandbox", "DEV", "MYSQL", "8.0.20", "rack-c3"),
+    (5, "ines", "gauges", "TEST", "InfluxDB", "1.8", "rack-b7"),
+    (6, "yuki", "archive", "ACC", "MYSQL", "5.7.44", "rack-a1,rack-b7"),
 ]
-BASE_PORTS = {1: "5501", 2: "6603", 3: "5510", 4: "6601", 5: "5500"}
-BASE_VOLUMES = [
-    (1, "rw,bg,hard", "/MNT/data1"),
-    (1, "rw", "/MNT/bin"),
-    (2, "rw,bg,hard", "/MNT/data2"),
-    (4, "rw,bg,hard,tcp", "/MNT/data4"),
-    (5, "rw,bg,hard", "/MNT/data5"),
-    (5, "rw", "/MNT/bin"),
+ATTRIBUTES = [
+    (1, 1, "port", "5432"),
+    (2, 1, "collation", "C"),
+    (3, 3, "port", "3306"),
+    (4, 5, "port", "8086"),
+    (5, 2, "port", "5433"),
+    (6, 6, "port", "3307"),
+    (7, 6, "read_only", "yes"),
 ]
-BASE_HOSTS = [("host01", 12), ("host02", 24), ("host03", 64), ("host04", 256)]
-BASE_ALIASES = [
-    ("dns01", "db01", "alias-01.example.org"),
-    ("dns02", "db02", "alias-02.example.org"),
-    ("dns03", "db03", "alias-03.example.org"),
-    ("dns04", "db04", "alias-04.example.org"),
-    ("dns05", None, None),
+# id, instance and path; the owner and server follow from the instance.
+VOLUMES = [
+    (1, 3, "/srv/ledger/data"),
+    (2, 3, "/srv/ledger/log"),
+    (3, 3, "/srv/ledger/tmp"),
+    (4, 2, "/srv/orders/us"),
+    (5, 6, "/srv/archive/cold"),
+    (6, 6, "/srv/archive/index"),
+    (7, 1, "/srv/orders/eu"),
+    (8, 5, "/srv/gauges"),
+]
+HOSTS = [(1, "rack-a1", 48), (2, "rack-b7", 32), (3, "rack-c3", 8)]
+# Two names of the pool are free.
+ALIASES = [
+    ("eu-orders", "orders_eu", "orders-eu.shop.test"),
+    ("books", "ledger", "books.shop.test"),
+    ("us-orders", "orders_us", "orders-us.shop.test"),
+    ("spare-b", None, None),
+    ("spare-a", None, None),
 ]
 
-# Edge rows of our own.
 EDGE_INSTANCES = [
     (11, "u", "Influx_One", "TEST", "InfluxDB", "1.0", "host09"),
     (12, "u", "ora_one", "TEST", "ORACLE", None, "host09"),
@@ -43,6 +54,11 @@ EDGE_INSTANCES = [
     (15, "u", "no_port", "TEST", "MYSQL", "5.5", ""),
     (16, "u", "two_hosts", "TEST", "PG", None, "host08,host09"),
 ]
+EDGE_ATTRIBUTES = [
+    (21, 16, "port", "7000"),
+    (22, 16, "port", "7001"),
+    (23, 16, "opt", "a,b={c}"),
+]
 
 
 def table(spark, name, rows, columns):
@@ -55,28 +71,20 @@ def table(spark, name, rows, columns):
 def catalog(spark, edge: bool = False):
     """The seed catalog; ``edge`` adds the edge rows."""
     columns = ["id", "username", "db_name", "category", "db_type", "version", "host"]
-    rows = BASE_INSTANCES + (EDGE_INSTANCES if edge else [])
-    instances = table(
-        spark, "instances", [(*r, DAY) for r in rows], [*columns, "creation_date"]
-    )
-    ports = [(i, i, "port", p) for i, p in BASE_PORTS.items()]
-    if edge:
-        ports += [(21, 16, "port", "7000"), (22, 16, "port", "7001"), (23, 16, "opt", "a,b={c}")]
+    found = INSTANCES + (EDGE_INSTANCES if edge else [])
+    users = {r[0]: r[1] for r in INSTANCES}
     volumes = [
-        (n + 1, i, "0755", "TSM", "ownergroup", "NAS-server", options, path)
-        for n, (i, options, path) in enumerate(BASE_VOLUMES)
+        (i, of, "0700", users[of], "dba", f"filer-{of % 2}", "rw,noatime", path)
+        for i, of, path in VOLUMES
     ]
-    return {
-        "instances": instances,
-        "attribute": table(spark, "attribute", ports, S.ATTRIBUTE.columns),
-        "volume": table(spark, "volume", volumes, S.VOLUME.columns),
-        "host": table(
-            spark, "host", [(n + 1, *h) for n, h in enumerate(BASE_HOSTS)], S.HOST.columns
-        ),
-        "functional_aliases": table(
-            spark, "functional_aliases", BASE_ALIASES, S.FUNCTIONAL_ALIASES.columns
-        ),
+    given = {
+        "instances": ([(*r, DAY) for r in found], [*columns, "creation_date"]),
+        "attribute": (ATTRIBUTES + (EDGE_ATTRIBUTES if edge else []), S.ATTRIBUTE.columns),
+        "volume": (volumes, S.VOLUME.columns),
+        "host": (HOSTS, S.HOST.columns),
+        "functional_aliases": (ALIASES, S.FUNCTIONAL_ALIASES.columns),
     }
+    return {name: table(spark, name, *of) for name, of in given.items()}
 
 
 def rows(df, *columns):

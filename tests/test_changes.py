@@ -20,26 +20,26 @@ from fleetlens.operators.instance_changes import (
 )
 
 VOLUME = {
-    "group": "ownergroup",
-    "file_mode": "0755",
-    "server": "NAS-server",
-    "mount_options": "rw,bg,hard",
-    "owner": "TSM",
-    "mounting_path": "/MNT/data1",
+    "mounting_path": "/srv/wiki/pages",
+    "server": "filer-7",
+    "owner": "noor",
+    "group": "web",
+    "file_mode": "0750",
+    "mount_options": "ro",
 }
 
 
 def document(**changes):
     doc = {
-        "username": "testuser",
-        "class": "TEST",
-        "creation_date": "2016-07-20",
-        "version": "5.6.17",
-        "db_type": "MYSQL",
-        "hosts": ["testhost"],
-        "db_name": "testdb",
-        "volumes": [VOLUME, {**VOLUME, "mounting_path": "/MNT/bin"}],
-        "attributes": {"port": "5505"},
+        "db_name": "wiki",
+        "db_type": "PG",
+        "version": "16.0",
+        "class": "DEV",
+        "username": "noor",
+        "creation_date": "2024-02-29",
+        "hosts": ["rack-e5"],
+        "attributes": {"port": "5440", "locale": "de"},
+        "volumes": [VOLUME],
     }
     doc.update(changes)
     return json.dumps({k: v for k, v in doc.items() if v is not ...})
@@ -74,11 +74,12 @@ def test_create_read_delete(spark, fleet):
     created = create_instances(fleet, bodies(spark, document()))
     assert statuses(created) == {0: 201} and affected(created) == {0: 4}
     state = created.state(fleet)
-    got = views.metadata_view(state).where("db_name = 'testdb'").collect()
-    assert len(got) == 1 and got[0]["id"] == 6
-    assert [v["id"] for v in got[0]["volumes"]] == [7, 8]
-    assert got[0]["attributes"] == {"port": "5505"} and got[0]["hosts"] == ["testhost"]
-    asked = requests(spark, [(1, "testdb"), (2, "nobody")], "request_id long, db_name string")
+    got = views.metadata_view(state).where("db_name = 'wiki'").collect()
+    assert len(got) == 1 and got[0]["id"] == 7
+    assert [v["id"] for v in got[0]["volumes"]] == [9]
+    assert got[0]["attributes"] == {"port": "5440", "locale": "de"}
+    assert got[0]["hosts"] == ["rack-e5"]
+    asked = requests(spark, [(1, "wiki"), (2, "nobody")], "request_id long, db_name string")
     deleted = delete_instances(state, asked)
     assert statuses(deleted) == {1: 204, 2: 404}
     after = deleted.state(state)
@@ -88,7 +89,7 @@ def test_create_read_delete(spark, fleet):
 
 def test_create_verdicts(spark, fleet):
     docs = [
-        document(db_name="db01"),  # 0 in use
+        document(db_name="ledger"),  # 0 in use
         document(db_type=...),  # 1 required field absent
         "{broken",  # 2
         None,  # 3
@@ -97,7 +98,7 @@ def test_create_verdicts(spark, fleet):
         document(db_name="new"),  # 6 wins
         document(db_name="new", attributes={}),  # 7 repeated
         document(db_name="new", attributes={"a": None}),  # 8 repeated before bad child
-        document(db_name="db02", volumes=[{}]),  # 9 in use before bad child
+        document(db_name="gauges", volumes=[{}]),  # 9 in use before bad child
         document(db_name="x" * 129),  # 10 too long
         document(db_name="other", unknown=1),  # 11 no such column
         document(db_name="sized", db_size="100"),  # 12
@@ -116,22 +117,25 @@ def test_create_verdicts(spark, fleet):
     assert change.append_only
     added = change.representation("instances")
     assert rows(added, "id", "db_name", "host") == [
-        (6, "new", "testhost"), (7, "sized", "testhost"), (8, "plain", "h1,h2"),
+        (7, "new", "rack-e5"), (8, "sized", "rack-e5"), (9, "plain", "h1,h2"),
     ]
     assert rows(added.where("db_size is not null"), "db_size") == [(100,)]
-    assert rows(change.changed["volume"], "id", "instance_id") == [(7, 6), (8, 6), (9, 7), (10, 7)]
-    assert rows(change.changed["attribute"], "id", "instance_id") == [(6, 6), (7, 7)]
+    assert rows(change.changed["volume"], "id", "instance_id") == [(9, 7), (10, 8)]
+    assert rows(change.changed["attribute"], "instance_id", "name") == [
+        (7, "locale"), (7, "port"), (8, "locale"), (8, "port"),
+    ]
+    assert [i for (i,) in rows(change.changed["attribute"], "id")] == [8, 9, 10, 11]
 
 
 def test_two_hosts_are_stored_as_one_text(spark, fleet):
     state = create_instances(fleet, bodies(spark, document(hosts=["a", "b"]))).state(fleet)
-    assert rows(state["instances"].where("db_name = 'testdb'"), "host") == [("a,b",)]
-    one = views.metadata_view(state).where("db_name = 'testdb'").first()
+    assert rows(state["instances"].where("db_name = 'wiki'"), "host") == [("a,b",)]
+    one = views.metadata_view(state).where("db_name = 'wiki'").first()
     assert one["hosts"] == ["a", "b"]
 
 
 def test_repeated_attribute_name_in_a_document_takes_the_last(spark, fleet):
-    body = document().replace('"port": "5505"', '"port": "1", "x": "2", "port": "3"')
+    body = document().replace('"port": "5440", "locale": "de"', '"port": "1", "x": "2", "port": "3"')
     added = create_instances(fleet, bodies(spark, body)).changed["attribute"]
     assert rows(added, "name", "value") == [("port", "3"), ("x", "2")]
 
@@ -144,12 +148,12 @@ def test_patch_columns_and_children(spark, fleet):
         fleet,
         patches(
             spark,
-            ("db01", {"version": "9", "description": "x", "status": "3"}),
-            ("db01", {"version": "10", "master": None}),
-            ("db02", {"volumes": [], "hosts": ["p", "q"]}),
-            ("db03", {"volumes": [VOLUME], "attributes": {"a": "1", "b": "2"}}),
-            ("db04", {"db_name": "renamed"}),
-            ("db05", {}),
+            ("orders_eu", {"version": "9", "description": "x", "status": "3"}),
+            ("orders_eu", {"version": "10", "master": None}),
+            ("ledger", {"volumes": [], "hosts": ["p", "q"]}),
+            ("archive", {"volumes": [VOLUME], "attributes": {"a": "1", "b": "2"}}),
+            ("sandbox", {"db_name": "renamed"}),
+            ("gauges", {}),
             ("nobody", {"version": "1"}),
         ),
     )
@@ -157,13 +161,13 @@ def test_patch_columns_and_children(spark, fleet):
     state = change.state(fleet)
     got = {r["id"]: r for r in state["instances"].collect()}
     assert (got[1]["version"], got[1]["description"], got[1]["status"]) == ("10", "x", "3")
-    assert got[2]["host"] == "p,q" and got[4]["db_name"] == "renamed"
-    assert got[5]["username"] == "user04" and len(got) == 5
-    assert rows(state["volume"], "instance_id", "id") == [(1, 1), (1, 2), (3, 7), (4, 4), (5, 5), (5, 6)]
-    assert rows(state["attribute"].where("instance_id = 3"), "id", "name", "value") == [
-        (6, "a", "1"), (7, "b", "2"),
+    assert got[3]["host"] == "p,q" and got[4]["db_name"] == "renamed"
+    assert got[5]["username"] == "ines" and len(got) == 6
+    assert rows(state["volume"], "instance_id", "id") == [(1, 7), (2, 4), (5, 8), (6, 9)]
+    assert rows(state["attribute"].where("instance_id = 6"), "id", "name", "value") == [
+        (8, "a", "1"), (9, "b", "2"),
     ]
-    assert rows(change.representation("instances"), "id") == [(1,), (2,), (3,), (4,), (5,)]
+    assert rows(change.representation("instances"), "id") == [(1,), (3,), (4,), (5,), (6,)]
 
 
 def test_patch_refusals(spark, fleet):
@@ -171,17 +175,17 @@ def test_patch_refusals(spark, fleet):
         fleet,
         patches(
             spark,
-            ("db01", "not json"),
-            ("db01", {"hosts": []}),
-            ("db01", {"volumes": None}),
-            ("db01", {"username": None}),
-            ("db01", {"db_name": "db02"}),
-            ("db01", {"db_name": "db01"}),
-            ("db02", {"db_name": "fresh"}),
-            ("db03", {"db_name": "fresh"}),
-            ("db02", {"db_name": "fresh", "state": "S"}),
-            ("db04", {"attributes": {"a": None}}),
-            ("db04", {"nothing": 1}),
+            ("archive", "not json"),
+            ("archive", {"hosts": []}),
+            ("archive", {"volumes": None}),
+            ("archive", {"username": None}),
+            ("archive", {"db_name": "ledger"}),
+            ("archive", {"db_name": "archive"}),
+            ("orders_us", {"db_name": "fresh"}),
+            ("gauges", {"db_name": "fresh"}),
+            ("orders_us", {"db_name": "fresh", "state": "S"}),
+            ("ledger", {"attributes": {"a": None}}),
+            ("ledger", {"nothing": 1}),
             ("nobody", {"nothing": 1}),
             ("nobody", "[]"),
         ),
@@ -191,7 +195,7 @@ def test_patch_refusals(spark, fleet):
         9: 400, 10: 400, 11: 404, 12: 400,
     }
     got = {r["id"]: r for r in change.tables["instances"].collect()}
-    assert got[2]["db_name"] == "fresh" and got[2]["state"] == "S" and got[3]["db_name"] == "db03"
+    assert got[2]["db_name"] == "fresh" and got[2]["state"] == "S" and got[5]["db_name"] == "gauges"
     assert rows(change.tables["volume"], "id") == rows(fleet["volume"], "id")
 
 
@@ -203,17 +207,17 @@ def test_insert_attributes(spark, fleet):
         fleet,
         patches(
             spark,
-            ("db01", {"a": "1", "b": "2"}),  # 0
-            ("db01", {"port": "1", "c": "3"}),  # 1 port is there: nothing added
-            ("db01", {}),  # 2
-            ("db01", None),  # 3
+            ("ledger", {"a": "1", "b": "2"}),  # 0
+            ("ledger", {"port": "1", "c": "3"}),  # 1 port is there: nothing added
+            ("ledger", {}),  # 2
+            ("ledger", None),  # 3
             ("nobody", {"a": "1"}),  # 4
-            ("db02", {"a": None}),  # 5
-            ("db02", {"a": "x", "n": 5}),  # 6
-            ("db02", {"a": "y"}),  # 7 later than 6
+            ("sandbox", {"a": None}),  # 5
+            ("sandbox", {"a": "x", "n": 5}),  # 6
+            ("sandbox", {"a": "y"}),  # 7 later than 6
             ("nobody", {}),  # 8
-            ("db03", {"a": "x" * 251}),  # 9
-            ("db03", "[1]"),  # 10
+            ("gauges", {"a": "x" * 251}),  # 9
+            ("gauges", "[1]"),  # 10
         ),
     )
     assert statuses(change) == {
@@ -221,7 +225,7 @@ def test_insert_attributes(spark, fleet):
     }
     assert affected(change)[0] == 2 and affected(change)[7] == 0
     assert rows(change.representation("attribute"), "id", "instance_id", "name", "value") == [
-        (6, 1, "a", "1"), (7, 1, "b", "2"), (8, 2, "a", "x"), (9, 2, "n", "5"),
+        (8, 3, "a", "1"), (9, 3, "b", "2"), (10, 4, "a", "x"), (11, 4, "n", "5"),
     ]
 
 
@@ -232,40 +236,42 @@ def test_update_attributes(spark, fleet):
     asked = requests(
         spark,
         [
-            (1, "db01", "port", "6611"),
-            (2, "db01", "port", "6612"),
-            (3, "db01", "none", "1"),
+            (1, "archive", "read_only", "no"),
+            (2, "archive", "read_only", "later"),
+            (3, "archive", "none", "1"),
             (4, "nobody", "port", "1"),
-            (5, "db02", "port", ""),
-            (6, "db02", "port", None),
-            (7, "db03", "port", 'a "quoted" one'),
+            (5, "ledger", "port", ""),
+            (6, "ledger", "port", None),
+            (7, "orders_eu", "collation", 'a "quoted" one'),
             (8, "nobody", "port", None),
         ],
         WRITES,
     )
     change = update_attributes(fleet, asked)
     assert statuses(change) == {1: 204, 2: 204, 3: 404, 4: 404, 5: 400, 6: 400, 7: 204, 8: 400}
-    got = dict(rows(change.tables["attribute"], "instance_id", "value"))
-    assert got == {1: "6612", 2: "6603", 3: 'a "quoted" one', 4: "6601", 5: "5500"}
-    assert rows(change.representation("attribute"), "id") == [(1,), (3,)]
+    got = dict(rows(change.tables["attribute"], "id", "value"))
+    assert got == {
+        1: "5432", 2: 'a "quoted" one', 3: "3306", 4: "8086", 5: "5433", 6: "3307", 7: "later",
+    }
+    assert rows(change.representation("attribute"), "id") == [(2,), (7,)]
 
 
 def test_delete_attributes(spark, fleet):
     asked = requests(
         spark,
         [
-            (1, "db01", "port", None),
-            (2, "db01", "port", None),
-            (3, "db01", "none", None),
+            (1, "gauges", "port", None),
+            (2, "gauges", "port", None),
+            (3, "gauges", "none", None),
             (4, "nobody", "port", None),
-            (5, "db02", None, None),
+            (5, "ledger", None, None),
             (6, None, "port", None),
         ],
         WRITES,
     )
     change = delete_attributes(fleet, asked)
     assert statuses(change) == {1: 204, 2: 204, 3: 404, 4: 404, 5: 400, 6: 400}
-    assert rows(change.tables["attribute"], "id") == [(2,), (3,), (4,), (5,)]
+    assert rows(change.tables["attribute"], "id") == [(1,), (2,), (3,), (5,), (6,), (7,)]
 
 
 # -- hosts ---------------------------------------------------------------------------
@@ -277,7 +283,7 @@ def test_hosts(spark, fleet):
     asked = requests(
         spark,
         [
-            (1, "host01", "12"),
+            (1, "rack-c3", "8"),
             (2, "new", "42"),
             (3, "new", "43"),
             (4, "newer", "forty-two"),
@@ -291,21 +297,21 @@ def test_hosts(spark, fleet):
     inserted = insert_hosts(fleet, asked)
     assert statuses(inserted) == {1: 409, 2: 201, 3: 409, 4: 400, 5: 400, 6: 201, 7: 400, 8: 400}
     assert rows(inserted.representation("host"), "id", "name", "memory") == [
-        (5, "new", 42), (6, "newer", 7),
+        (4, "new", 42), (5, "newer", 7),
     ]
     updated = update_hosts(
         fleet,
         requests(
             spark,
-            [(1, "host01", "1"), (2, "host01", "2"), (3, "host01", "x"), (4, "nobody", "5")],
+            [(1, "rack-b7", "1"), (2, "rack-b7", "2"), (3, "rack-b7", "x"), (4, "nobody", "5")],
             HOST_WRITES,
         ),
     )
     assert statuses(updated) == {1: 200, 2: 200, 3: 400, 4: 404}
-    assert rows(updated.tables["host"], "id", "memory") == [(1, 2), (2, 24), (3, 64), (4, 256)]
-    deleted = delete_hosts(fleet, requests(spark, [(1, "host02", None), (2, "none", None)], HOST_WRITES))
+    assert rows(updated.tables["host"], "id", "memory") == [(1, 48), (2, 2), (3, 8)]
+    deleted = delete_hosts(fleet, requests(spark, [(1, "rack-c3", None), (2, "none", None)], HOST_WRITES))
     assert statuses(deleted) == {1: 200, 2: 404}
-    assert rows(deleted.tables["host"], "id") == [(1,), (3,), (4,)]
+    assert rows(deleted.tables["host"], "id") == [(1,), (2,)]
 
 
 # -- aliases -------------------------------------------------------------------------
@@ -317,28 +323,29 @@ def test_allocate_and_release(spark, fleet):
     asked = requests(
         spark,
         [
-            (1, "db01", "a"),  # has one
-            (2, "testdb", None),  # no alias
-            (3, "testdb", "t"),  # takes the last free name
-            (4, "db02", "b"),  # the pool is empty by now
-            (5, "late", "l"),
+            (1, "ledger", "a"),  # has one
+            (2, "wiki", None),  # no alias
+            (3, "wiki", "w"),  # takes the first free name
+            (4, "gauges", "g"),  # takes the last one
+            (5, "orders_eu", "b"),  # the pool is empty by now
+            (6, "late", "l"),
         ],
         ALIAS_WRITES,
     )
     change = allocate_aliases(fleet, asked)
-    assert statuses(change) == {1: 409, 2: 400, 3: 201, 4: 503, 5: 503}
+    assert statuses(change) == {1: 409, 2: 400, 3: 201, 4: 201, 5: 503, 6: 503}
     assert rows(change.representation("functional_aliases"), "dns_name", "db_name", "alias") == [
-        ("dns05", "testdb", "t")
+        ("spare-a", "wiki", "w"), ("spare-b", "gauges", "g"),
     ]
     state = change.state(fleet)
-    assert statuses(allocate_aliases(state, asked)) == {1: 503, 2: 400, 3: 503, 4: 503, 5: 503}
+    assert statuses(allocate_aliases(state, asked)) == {1: 503, 2: 400, 3: 503, 4: 503, 5: 503, 6: 503}
     released = release_aliases(
         state,
-        requests(spark, [(1, "testdb", None), (2, "nobody", None), (3, "testdb", None)], ALIAS_WRITES),
+        requests(spark, [(1, "wiki", None), (2, "nobody", None), (3, "wiki", None)], ALIAS_WRITES),
     )
     assert statuses(released) == {1: 204, 2: 400, 3: 204}
     assert rows(lookup.free_pool(released.tables["functional_aliases"]), "dns_name") == [
-        ("dns05",)
+        ("spare-a",)
     ]
 
 

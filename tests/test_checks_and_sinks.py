@@ -29,8 +29,8 @@ def test_checks(spark, fleet):
     assert rows(checks.overlong(long, S.FUNCTIONAL_ALIASES.limits), "rule", "key", "n") == [
         ("length", "db_name", 1)
     ]
-    lost = checks.orphans(fleet["volume"], fleet["instances"].where("id <> 5"))
-    assert rows(lost, "key", "n") == [("5", 2)]
+    lost = checks.orphans(fleet["volume"], fleet["instances"].where("id <> 3"))
+    assert rows(lost, "key", "n") == [("3", 3)]
     report = checks.check_catalog({**fleet, "functional_aliases": long})
     assert rows(report, "table", "rule", "key", "n") == [
         ("attribute", "unique:instance_id,name", "16|port", 2),
@@ -80,29 +80,30 @@ def test_xml_node_list(spark, fleet, tmp_path, single):
     text = "".join(f.read_text() for f in files)
     assert "<project>" in text and (len(files) == 1 or not single)
     names = re.findall(r'<node name="([^"]+)" description="" hostname="([^"]+)"', text)
-    assert [n for n, _ in names] == ["db01", "db02", "db03", "db04"]
+    assert [n for n, _ in names] == ["ledger", "orders_eu", "orders_us"]
 
 
 def test_json_documents(spark, fleet):
-    requests = spark.createDataFrame([(0, "host01"), (1, "host03")], "request_id long, name string")
+    requests = spark.createDataFrame([(0, "rack-b7"), (1, "rack-c3")], "request_id long, name string")
     found = lookup.instances_on_hosts(requests, fleet)
     docs = {r["request_id"]: json.loads(r["document"]) for r in export.to_documents(found, "request_id").collect()}
-    assert [i["db_name"] for i in docs[0]["response"]] == ["db01", "db03", "db04", "db05"]
-    first = docs[0]["response"][0]
-    assert first["attributes"] == {"port": "5501"} and len(first["volumes"]) == 2
-    assert docs[1]["response"][0]["hosts"] == ["host03"]
+    assert [i["db_name"] for i in docs[0]["response"]] == ["orders_us", "gauges", "archive"]
+    last = docs[0]["response"][2]
+    assert last["attributes"] == {"port": "3307", "read_only": "yes"} and len(last["volumes"]) == 2
+    assert last["hosts"] == ["rack-a1", "rack-b7"]
+    assert docs[1]["response"][0]["volumes"] == []
     paged = export.to_documents(found, "request_id", envelope="data", group_rows=2).collect()
     of_zero = [json.loads(r["document"])["data"] for r in paged if r["request_id"] == 0]
     assert len(of_zero) > 1
-    assert sorted(i["id"] for page in of_zero for i in page) == [1, 3, 4, 5]
+    assert sorted(i["id"] for page in of_zero for i in page) == [2, 5, 6]
 
 
 def test_null_fields_are_in_the_document(spark, fleet, tmp_path):
-    requests = spark.createDataFrame([(1, "db01")], "request_id long, db_name string")
+    requests = spark.createDataFrame([(1, "orders_eu")], "request_id long, db_name string")
     found = lookup.lookup(requests, views.instance_view(fleet["instances"]), {"db_name": "db_name"})
     docs = export.to_documents(found, "request_id")
     body = json.loads(docs.first()["document"])["response"][0]
-    assert body["slave"] is None and body["class"] == "TEST"
+    assert body["slave"] is None and body["class"] == "PROD"
     export.write_documents(docs, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0])["response"][0]["id"] == 1
 
@@ -116,13 +117,13 @@ def test_snapshots(spark, fleet, tmp_path):
     asked = spark.createDataFrame([(1, "new", "5")], "request_id long, name string, memory string")
     change = insert_hosts(state, asked)
     assert snapshots.commit_snapshot(change.tables, root) == 1
-    assert snapshots.read_snapshot(spark, root, tables=["host"])["host"].count() == 5
-    assert snapshots.read_snapshot(spark, root, version=0, tables=["host"])["host"].count() == 4
+    assert snapshots.read_snapshot(spark, root, tables=["host"])["host"].count() == 4
+    assert snapshots.read_snapshot(spark, root, version=0, tables=["host"])["host"].count() == 3
     # A version that was written but not committed is not current.
     fleet["host"].write.parquet(f"{root}/version=2/host")
     assert snapshots.current_version(spark, root) == 1
     snapshots.append_rows(change.changed["host"], f"{root}/version=1/host")
-    assert snapshots.read_snapshot(spark, root, tables=["host"])["host"].count() == 6
+    assert snapshots.read_snapshot(spark, root, tables=["host"])["host"].count() == 5
 
 
 def test_catalog_views(spark, fleet, tmp_path):
@@ -131,8 +132,8 @@ def test_catalog_views(spark, fleet, tmp_path):
     stored = sources.read_catalog(spark, str(tmp_path), list(fleet))
     names = sources.register_views(stored, "v_")
     assert {"v_instances", "v_instance", "v_metadata", "v_node_inventory"} <= set(names)
-    got = spark.sql("SELECT class, port FROM v_metadata WHERE db_name = 'db02'").first()
-    assert tuple(got) == ("PROD", "6603")
+    got = spark.sql("SELECT class, port FROM v_metadata WHERE db_name = 'archive'").first()
+    assert tuple(got) == ("ACC", "3307")
 
 
 def test_jdbc_options_split_the_scan():

@@ -50,11 +50,12 @@ def test_one_row_for_a_very_large_key(spark, fleet):
 
 
 def test_children_of_an_instance(metadata):
-    one = metadata["db01"]
-    assert [v["mounting_path"] for v in one["volumes"]] == ["/MNT/data1", "/MNT/bin"]
-    assert one["attributes"] == {"port": "5501"} and one["port"] == "5501"
-    assert one["socket"] == "/var/lib/mysql/mysql.sock.db01.5501"
-    assert one["datadir"] == "/ORA/dbs03/DB01/mysql"
+    one = metadata["archive"]
+    assert [v["mounting_path"] for v in one["volumes"]] == ["/srv/archive/cold", "/srv/archive/index"]
+    assert one["attributes"] == {"port": "3307", "read_only": "yes"} and one["port"] == "3307"
+    assert one["socket"] == "/var/lib/mysql/mysql.sock.archive.3307"
+    assert one["datadir"] == "/ORA/dbs03/ARCHIVE/mysql"
+    assert metadata["sandbox"]["attributes"] is None and metadata["sandbox"]["volumes"] == []
 
 
 def test_no_attributes_is_null_and_no_volumes_is_empty(metadata):
@@ -88,7 +89,7 @@ def test_host_names(spark, fleet):
         [(1, [3, 1, 1, 99]), (2, []), (3, None)], "list_id int, ids array<int>"
     )
     got = {r["list_id"]: r["hosts"] for r in views.host_names(lists, fleet["host"], "list_id", "ids").collect()}
-    assert got == {1: ["host01", "host03"], 2: [], 3: []}
+    assert got == {1: ["rack-a1", "rack-c3"], 2: [], 3: []}
 
 
 def test_node_inventory(fleet):
@@ -96,8 +97,8 @@ def test_node_inventory(fleet):
         views.node_inventory(fleet["instances"], fleet["functional_aliases"], fleet["attribute"]),
         "db_name", "hostname", "port", "username", "tags",
     )
-    assert len(got) == 4
-    assert got[0] == ("db01", "alias-01.example.org", "5501", S.NODE_USERNAME, "MYSQL,TEST")
+    assert [r[0] for r in got] == ["ledger", "orders_eu", "orders_us"]
+    assert got[0] == ("ledger", "books.shop.test", "3306", S.NODE_USERNAME, "MYSQL,PROD")
 
 
 def test_host_aliases_group_by_the_stored_text(fleet):
@@ -155,15 +156,15 @@ def test_pages_of_an_oversized_instance_hold_all_children(spark, monkeypatch, ho
     paged = views.metadata_view(fleet, group_rows=10).collect()
     of_one = [r for r in paged if r["id"] == 1]
     assert len(of_one) > 1 and len({r["page"] for r in of_one}) == len(of_one)
-    assert {r["port"] for r in of_one} == {"5501"}
+    assert {r["port"] for r in of_one} == {"5432"}
     assert {r["socket"] for r in of_one} == {whole[1]["socket"]}
     merged = {}
     for r in of_one:
         assert not merged.keys() & (r["attributes"] or {}).keys()
         merged.update(r["attributes"] or {})
-    assert merged == whole[1]["attributes"] and len(merged) == 35
+    assert merged == whole[1]["attributes"] and len(merged) == 36
     volumes = sorted(v["id"] for r in of_one for v in r["volumes"])
-    assert volumes == [v["id"] for v in whole[1]["volumes"]] and len(volumes) == 42
+    assert volumes == [v["id"] for v in whole[1]["volumes"]] and len(volumes) == 41
     for r in paged:
         if r["id"] != 1:
             assert r["page"] == 0 and r[: len(r) - 1] == tuple(whole[r["id"]])
@@ -206,10 +207,10 @@ def host_requests(spark, *names):
 
 def test_instances_on_hosts(spark, fleet):
     base = catalog(spark)
-    got = lookup.instances_on_hosts(host_requests(spark, "host01", "host03", "nowhere"), base)
-    assert rows(got, "request_id", "id") == [(0, 1), (0, 3), (0, 4), (0, 5), (1, 2)]
+    got = lookup.instances_on_hosts(host_requests(spark, "rack-b7", "rack-c3", "nowhere"), base)
+    assert rows(got, "request_id", "id") == [(0, 2), (0, 5), (0, 6), (1, 4)]
     both = lookup.instances_on_hosts(
-        host_requests(spark, "host08,host09", "host09 , host08", "host09", "host08,host01"), fleet
+        host_requests(spark, "host08,host09", "host09 , host08", "host09", "host08,rack-a1"), fleet
     )
     assert rows(both, "request_id", "id") == [(0, 16), (1, 16), (2, 11), (2, 12), (2, 16)]
 
@@ -217,41 +218,41 @@ def test_instances_on_hosts(spark, fleet):
 def test_metadata_lookup(spark, fleet):
     requests = spark.createDataFrame(
         [
-            (1, "instance", "db01"),
-            (2, "host", "host01"),
-            (3, "cluster", "host01"),
+            (1, "instance", "gauges"),
+            (2, "host", "rack-a1"),
+            (3, "cluster", "rack-a1"),
             (4, "instance", None),
             (5, "instance", "nobody"),
             (6, "instance", "odd_one"),
             (7, "host", "host09,"),
-            (8, None, "db01"),
+            (8, None, "gauges"),
         ],
         "request_id long, class string, name string",
     )
     got, outcomes = lookup.metadata_lookup(requests, fleet)
-    assert rows(got, "request_id", "id") == [(1, 1), (2, 1), (2, 3), (2, 4), (2, 5)]
+    assert rows(got, "request_id", "id") == [(1, 5), (2, 1), (2, 3), (2, 6)]
     assert rows(outcomes, "request_id", "status", "affected") == [
-        (1, 200, 1), (2, 200, 4), (3, 400, 0), (4, 400, 0),
+        (1, 200, 1), (2, 200, 3), (3, 400, 0), (4, 400, 0),
         (5, 404, 0), (6, 404, 0), (7, 400, 0), (8, 400, 0),
     ]
 
 
 def test_lookup_missing_and_attribute_value(spark, fleet):
     requests = spark.createDataFrame(
-        [(1, "db01", "port"), (2, "nobody", "port"), (3, "db02", "none")],
+        [(1, "ledger", "port"), (2, "nobody", "port"), (3, "sandbox", "none")],
         "request_id long, db_name string, name string",
     )
     found = lookup.lookup(requests, fleet["instances"], {"db_name": "db_name"}, ["id", "host"])
     assert found.columns == ["request_id", "id", "host"]
-    assert rows(found, "request_id", "id") == [(1, 1), (3, 2)]
+    assert rows(found, "request_id", "id") == [(1, 3), (3, 4)]
     gone = lookup.missing(requests, fleet["instances"], {"db_name": "db_name"})
     assert rows(gone, "request_id", "status") == [(2, 404)]
     value = lookup.attribute_value(requests, fleet["instances"], fleet["attribute"])
-    assert rows(value, "request_id", "value") == [(1, "5501")]
+    assert rows(value, "request_id", "value") == [(1, "3306")]
 
 
 def test_pool_and_latest(spark, fleet):
-    assert rows(lookup.next_free(fleet["functional_aliases"]), "dns_name") == [("dns05",)]
+    assert rows(lookup.next_free(fleet["functional_aliases"]), "dns_name") == [("spare-a",)]
     df = spark.createDataFrame(
         [("a", "x", 1), ("a", "y", 2), ("b", None, 3)], "k string, o string, v int"
     )
@@ -268,9 +269,9 @@ def test_plans_have_no_cross_join_and_push_filters(spark, tmp_path):
     stored = read_catalog(spark, path, list(catalog(spark)))
     plan = views.metadata_view(stored)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    view = views.instance_view(stored["instances"]).where("db_name = 'db01'").select("id")
+    view = views.instance_view(stored["instances"]).where("db_name = 'ledger'").select("id")
     scan = view._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(db_name,db01)" in scan and "e_group" not in scan
+    assert "EqualTo(db_name,ledger)" in scan and "e_group" not in scan
 
 
 def test_join_unique_with_a_hot_key(spark):
