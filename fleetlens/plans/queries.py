@@ -670,15 +670,6 @@ def t2_stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     binding.job_observations(spark, sf_dir).write.parquet(f"{folder}/in")
     observed = spark.readStream.schema(S.JOB_OBSERVATIONS).parquet(f"{folder}/in")
-    # The users behind the events go on for years after their first day.
-    decided = jobs.stream_job_outcomes(
-        observed, OBSERVATION_LIMIT, retention=timedelta(days=10_000)
-    )
-    (
-        decided.writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{folder}/out")
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{folder}/out")
+    state = f"{folder}/state"
+    jobs.stream_job_outcomes(observed, state, f"{folder}/checkpoint").awaitTermination()
+    return jobs.read_outcomes(spark, state, OBSERVATION_LIMIT)

@@ -2,129 +2,123 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 # Limit of the sample configuration, in seconds.
 DEFAULT_TIMEOUT = timedelta(seconds=15)
 
-OUTCOME_SCHEMA = "exec_id long, outcome string, ended_us long"
-STATE_SCHEMA = "start_us long, done_us long, exec_state string, reported boolean"
+MARKS = ("start", "done_before", "done_ok", "done_after")
+MARKS_SCHEMA = "exec_id long, " + ", ".join(f"{name} timestamp_ntz" for name in MARKS)
 
 
-def job_outcomes(observations: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT) -> DataFrame:
-    """``succeeded``, ``failed`` or ``timed_out`` per execution.
+def _marks(observations: DataFrame) -> DataFrame:
+    """What decides an execution: four least times, whatever the number of observations.
 
-    The first completed observation decides if it comes before the limit,
-    counted from the first observation. One aggregate, with partial sums.
+    These are the first observation and the first completed ones, by whether
+    their state sorts before ``succeeded`` (as NULL does), is it, or sorts after
+    it. Of completed observations at one time the least state counts.
     """
-    completed = F.col("exec_completed")
-    done_at = F.when(completed, F.col("ts"))
-    seen = observations.groupBy("exec_id").agg(
+    state = F.coalesce("exec_state", F.lit(""))
+
+    def first(condition) -> F.Column:
+        return F.min(F.when(F.col("exec_completed") & condition, F.col("ts")))
+
+    return observations.groupBy("exec_id").agg(
         F.min("ts").alias("start"),
-        F.min(F.when(completed, F.struct("ts", "exec_state"))).alias("done"),
+        first(state < "succeeded").alias("done_before"),
+        first(state == "succeeded").alias("done_ok"),
+        first(state > "succeeded").alias("done_after"),
     )
-    in_time = F.col("done.ts") < F.col("start") + F.lit(timeout)
-    outcome = (
-        F.when(in_time & (F.col("done.exec_state") == "succeeded"), "succeeded")
+
+
+def _decided(marks: DataFrame, timeout: timedelta) -> DataFrame:
+    limit = F.col("start") + F.lit(timeout)
+    done = F.least("done_before", "done_ok", "done_after")
+    in_time = F.coalesce(done < limit, F.lit(False))
+    succeeded = (F.col("done_ok") == done) & (F.col("done_before").isNull() | (F.col("done_before") > done))
+    return marks.select(
+        "exec_id",
+        F.when(in_time & succeeded, "succeeded")
         .when(in_time, "failed")
         .otherwise("timed_out")
+        .alias("outcome"),
+        F.when(in_time, done).otherwise(limit).alias("ended"),
     )
-    return seen.select(
-        "exec_id",
-        outcome.alias("outcome"),
-        F.when(in_time, F.col("done.ts"))
-        .otherwise(F.col("start") + F.lit(timeout))
-        .alias("ended"),
-    )
 
 
-def _decide(limit_us: int, retention_us: int):
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        start, done, exec_state, reported = state.get if state.exists else (None, None, None, False)
-        if reported and state.hasTimedOut:
-            state.remove()
-            return
-        for rows in batches:
-            if reported or rows.empty:
-                continue
-            first = int(rows["us"].min())
-            start = first if start is None else min(start, first)
-            ended = rows[rows["exec_completed"].fillna(False).astype(bool)].sort_values(["us", "exec_state"], na_position="first")
-            if len(ended) and (done is None or ended["us"].iloc[0] < done):
-                told = ended["exec_state"].iloc[0]
-                done, exec_state = int(ended["us"].iloc[0]), None if pd.isna(told) else str(told)
-        deadline = start + limit_us
-        watermark = state.getCurrentWatermarkMs()
-        report = not reported and deadline // 1000 <= watermark
-        reported = reported or report
-        state.update((start, done, exec_state, reported))
-        wake = deadline + (retention_us if reported else 0)
-        state.setTimeoutTimestamp(max(wake // 1000, watermark + 1))
-        if report:
-            if done is None or done >= deadline:
-                outcome, done = "timed_out", deadline
-            else:
-                outcome = "succeeded" if exec_state == "succeeded" else "failed"
-            yield pd.DataFrame({"exec_id": [key[0]], "outcome": [outcome], "ended_us": [done]})
-
-    return step
-
-
-def _deciding_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each Arrow batch only the rows that can decide an execution.
-
-    These are the first observation and the first completed one per execution;
-    the last row in time goes on too, so that the watermark is the same. An
-    execution with very many observations is short before it is shuffled.
+def job_outcomes(observations: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT) -> DataFrame:
+    """``succeeded``, ``failed`` or ``timed_out`` per execution.
+
+    The first completed observation decides if it comes before the limit,
+    counted from the first observation. One aggregate, with partial sums.
     """
-    for rows in batches:
-        if rows.empty:
-            continue
-        ordered = rows.sort_values(["ts", "exec_state"], na_position="first")
-        first = ~ordered.duplicated("exec_id")
-        completed = ordered[ordered["exec_completed"].fillna(False).astype(bool)]
-        first_completed = completed.index[~completed.duplicated("exec_id")]
-        kept = ordered.index[first].union(first_completed).union(ordered.index[-1:])
-        yield rows.loc[kept]
+    return _decided(_marks(observations), timeout)
 
 
-def stream_job_outcomes(
-    observations: DataFrame,
+# -- the stored marks of a stream ---------------------------------------------------
+
+
+def _batch_path(state_path: str, batch_id: int) -> str:
+    return f"{state_path}/marks/batch_id={batch_id}"
+
+
+def read_marks(spark: SparkSession, state_path: str) -> DataFrame:
+    """The marks of every execution the stream has seen; an error if there is no such stream."""
+    stored = spark.read.schema(MARKS_SCHEMA).parquet(f"{state_path}/marks")
+    return stored.groupBy("exec_id").agg(*[F.min(name).alias(name) for name in MARKS])
+
+
+def read_outcomes(
+    spark: SparkSession,
+    state_path: str,
     timeout: timedelta = DEFAULT_TIMEOUT,
-    lateness: str = "0 seconds",
-    retention: timedelta = timedelta(days=1),
+    until: datetime | None = None,
 ) -> DataFrame:
-    """The same as a stream: one row per execution when its limit has passed.
+    """The outcomes of a stream's executions, as ``job_outcomes`` gives them.
 
-    State per execution is four values, whatever the number of observations. It
-    is kept for ``retention`` after the report, so that further observations of
-    the execution do not start it anew.
+    With ``until`` only of those that are settled by then: completed in time,
+    or past their limit. Without it all are answered. An observation that
+    arrives late still counts, whenever it comes.
     """
-    microsecond = timedelta(microseconds=1)
-    read = observations.select(
-        "exec_id", F.col("ts").cast("timestamp").alias("ts"), "exec_completed", "exec_state"
-    )
+    decided = _decided(read_marks(spark, state_path), timeout)
+    return decided if until is None else decided.where(F.col("ended") <= F.lit(until))
+
+
+def stream_job_outcomes(
+    observations: DataFrame, state_path: str, checkpoint: str
+) -> StreamingQuery:
+    """Take in all waiting observations; ``read_outcomes`` answers at any time.
+
+    Each micro-batch is reduced to one row per execution and adds a folder of
+    its own, so its cost is that of its rows. Run again, it replaces itself.
+    """
+    spark = observations.sparkSession
+    nothing = spark.createDataFrame([], MARKS_SCHEMA)
+    nothing.write.mode("ignore").parquet(_batch_path(state_path, -1))
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        _marks(batch).write.mode("overwrite").parquet(_batch_path(state_path, batch_id))
+
     return (
-        read.mapInPandas(_deciding_rows, read.schema)
-        .withColumn("us", F.unix_micros("ts"))
-        .withWatermark("ts", lateness)
-        .groupBy("exec_id")
-        .applyInPandasWithState(
-            _decide(timeout // microsecond, retention // microsecond),
-            OUTCOME_SCHEMA,
-            STATE_SCHEMA,
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-        .select(
-            "exec_id", "outcome", F.timestamp_micros("ended_us").cast("timestamp_ntz").alias("ended")
-        )
+        observations.writeStream.foreachBatch(take_in)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+def compact_marks(
+    spark: SparkSession, state_path: str, into: str, started_from: datetime | None = None
+) -> None:
+    """Write the marks as the first batch of a new state folder.
+
+    With ``started_from`` earlier executions are forgotten: the retention.
+    """
+    marks = read_marks(spark, state_path)
+    if started_from is not None:
+        marks = marks.where(F.col("start") >= F.lit(started_from))
+    marks.write.mode("errorifexists").parquet(_batch_path(into, -1))

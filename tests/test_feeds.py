@@ -155,44 +155,68 @@ def test_job_outcomes(spark):
     assert ended[1] == START + timedelta(seconds=4) and ended[4] == START + timedelta(seconds=11)
 
 
-def test_job_outcomes_as_a_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
-    ordered = sorted(OBSERVED, key=lambda o: o[1])
-    for n in range(0, len(ordered), 4):
-        observations(spark, ordered[n : n + 4]).coalesce(1).write.mode("append").parquet(source)
-    # A last observation moves the watermark past every limit.
-    observations(spark, [(8, 500, True, "succeeded")]).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(S.JOB_OBSERVATIONS).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    (
-        jobs.stream_job_outcomes(stream, LIMIT)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
-        .trigger(availableNow=True)
-        .start(out)
-        .awaitTermination()
-    )
+def streamed(spark, tmp_path, seen, per_file):
+    """The stored marks of a stream over ``seen`` in files of ``per_file`` rows, one a batch."""
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for n in range(0, len(seen), per_file):
+        part = observations(spark, seen[n : n + per_file])
+        part.coalesce(1).write.mode("append").parquet(source)
+    reader = spark.readStream.schema(S.JOB_OBSERVATIONS).option("maxFilesPerTrigger", 1)
+    checkpoint = str(tmp_path / "checkpoint")
+    jobs.stream_job_outcomes(reader.parquet(source), state, checkpoint).awaitTermination()
+    return state
+
+
+NULL_STATES = [
+    (11, 1, None, None), (11, 2, True, None), (12, 1, None, "succeeded"),
+    # equal times: the least state counts, NULL first
+    (13, 1, True, "succeeded"), (13, 1, True, "aborted"),
+    (14, 1, True, "succeeded"), (14, 1, True, "zombie"),
+    (15, 1, True, "succeeded"), (15, 1, True, None),
+    (16, None, True, "succeeded"), (None, 1, True, "succeeded"),
+]
+
+
+def observations_with_gaps(spark, seen):
+    data = [(e, None if s is None else START + timedelta(seconds=s), c, x) for e, s, c, x in seen]
+    return spark.createDataFrame(data, S.JOB_OBSERVATIONS)
+
+
+@pytest.mark.parametrize("per_file", [1, 4, 100])
+def test_job_outcomes_as_a_stream(spark, tmp_path, per_file):
+    # In no order of time: late observations count as they do in the batch form.
+    seen = random.Random(per_file).sample(OBSERVED, len(OBSERVED))
+    state = streamed(spark, tmp_path, seen, per_file)
     batch = jobs.job_outcomes(observations(spark, OBSERVED), LIMIT)
-    got = spark.read.parquet(out).where(F.col("exec_id") < 8)
+    got = jobs.read_outcomes(spark, state, LIMIT)
     assert rows(got, "exec_id", "outcome", "ended") == rows(batch, "exec_id", "outcome", "ended")
+    # Settled after 9 seconds: done, while 3, 4, 6 and 7 still wait for their limits.
+    soon = jobs.read_outcomes(spark, state, LIMIT, until=START + timedelta(seconds=9))
+    assert [r[0] for r in rows(soon, "exec_id")] == [1, 2, 5]
 
 
-def test_a_stream_with_null_states_equals_the_batch(spark, tmp_path):
-    seen = [*OBSERVED, (11, 1, None, None), (11, 2, True, None), (12, 1, None, "succeeded")]
-    ordered = sorted(seen, key=lambda o: o[1])
-    source = str(tmp_path / "in")
-    observations(spark, ordered).coalesce(1).write.parquet(source)
-    observations(spark, [(8, 500, True, "succeeded")]).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(S.JOB_OBSERVATIONS).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    (
-        jobs.stream_job_outcomes(stream, LIMIT)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
-        .trigger(availableNow=True)
-        .start(out)
-        .awaitTermination()
-    )
+def test_null_states_and_equal_times(spark, tmp_path):
+    seen = NULL_STATES[:-2]
     batch = jobs.job_outcomes(observations(spark, seen), LIMIT)
-    got = spark.read.parquet(out).where(F.col("exec_id") != 8)
+    assert rows(batch, "exec_id", "outcome") == [
+        (11, "failed"), (12, "timed_out"), (13, "failed"), (14, "succeeded"), (15, "failed"),
+    ]
+    state = streamed(spark, tmp_path, seen, 3)
+    got = jobs.read_outcomes(spark, state, LIMIT)
     assert rows(got, "exec_id", "outcome", "ended") == rows(batch, "exec_id", "outcome", "ended")
+
+
+def test_missing_times_and_keys_are_answered(spark):
+    got = jobs.job_outcomes(observations_with_gaps(spark, NULL_STATES[-2:]), LIMIT).collect()
+    assert {(r["exec_id"], r["outcome"], r["ended"] is None) for r in got} == {
+        (16, "timed_out", True), (None, "succeeded", False),
+    }
+
+
+def test_compacted_marks_forget_old_executions(spark, tmp_path):
+    state = streamed(spark, tmp_path, OBSERVED, 5)
+    new = str(tmp_path / "new")
+    jobs.compact_marks(spark, state, new, started_from=START + timedelta(seconds=2))
+    assert [r[0] for r in rows(jobs.read_outcomes(spark, new, LIMIT), "exec_id")] == [5, 6, 7]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        jobs.read_outcomes(spark, str(tmp_path / "mistyped"), LIMIT).collect()
