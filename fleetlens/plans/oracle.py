@@ -67,8 +67,35 @@ CTES: dict[str, str] = {
                o_orderpriority AS command_name, o_orderstatus AS type,
                cast(o_orderdate AS date) AS creation_date,
                CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL
-                    ELSE cast(l_shipdate AS date) END AS completion_date
+                    ELSE cast(l_shipdate AS date) END AS completion_date,
+               'req' AS requester, 0 AS admin_action, l_returnflag AS state,
+               cast(NULL AS varchar) AS log, cast(NULL AS varchar) AS result,
+               cast(NULL AS date) AS email_sent, cast(NULL AS varchar) AS category
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "command_definition": """
+        SELECT DISTINCT o_orderpriority AS command_name, o_orderstatus AS type,
+               '/bin/run ' || o_orderpriority AS exec, cast(NULL AS varchar) AS category
+        FROM orders""",
+    "command_params": """
+        SELECT 'user' || cast(l_suppkey % 50 AS varchar) AS username,
+               'db_' || cast(l_orderkey AS varchar) || '_x' AS db_name,
+               l_returnflag AS command_name, l_linestatus AS type,
+               cast(l_shipdate AS date) AS creation_date,
+               'param' || cast(l_linenumber AS varchar) AS name,
+               cast(l_partkey AS varchar) AS value, cast(NULL AS varchar) AS category
+        FROM lineitem""",
+    "instance_changes": """
+        SELECT 'user' || cast(user_id % 50 AS varchar) AS username,
+               'db_' || cast(user_id AS varchar) || '_x' AS db_name,
+               event_type AS attribute, cast(ts AS date) AS change_date,
+               'user' || cast(user_id AS varchar) AS requester,
+               cast(NULL AS varchar) AS old_value, props AS new_value
+        FROM events""",
+    "upgrades": """
+        SELECT p_brand AS db_type, p_type AS category,
+               '5.' || cast(p_size AS varchar) AS version_from,
+               '5.' || cast(p_size + 1 AS varchar) AS version_to
+        FROM part""",
     "owners": """
         SELECT cast(c_custkey AS varchar) AS internal_id,
                'db_' || cast(c_custkey AS varchar) || '_x' AS instance_name,
@@ -468,8 +495,7 @@ def _orphan_counts(child: str, parent: str) -> str:
 
 def _catalog_report() -> str:
     parts = []
-    for name in ("instances", "attribute", "volume", "host", "functional_aliases"):
-        table = S.TABLES[name]
+    for name, table in S.TABLES.items():
         rules = [_repeats(name, key) for key in table.unique]
         rules += [_null_counts(name, table.required)]
         if table.limits:

@@ -71,9 +71,11 @@ def _flat_metadata(df: DataFrame) -> DataFrame:
 
 @query("s1_catalog_scan")
 def s1_catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = binding.bind(spark, sf_dir)
+    root = scratch_folder(spark)
+    for name, df in binding.bind(spark, sf_dir).items():
+        df.write.parquet(f"{root}/{name}")
     counts = None
-    for name, df in bound.items():
+    for name, df in catalog.read_catalog(spark, root).items():
         first = S.TABLES[name].columns[0]
         row = df.agg(
             F.count(F.lit(1)).alias("n_rows"), F.count_distinct(first).alias("n_first")
@@ -621,10 +623,7 @@ def c4_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c_catalog_report")
 def c_catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = binding.bind(
-        spark, sf_dir, "instances", "attribute", "volume", "host", "functional_aliases"
-    )
-    return checks.check_catalog(bound)
+    return checks.check_catalog(binding.bind(spark, sf_dir))
 
 
 # -- feeds --------------------------------------------------------------------------
