@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,7 +24,7 @@ def _marks(observations: DataFrame) -> DataFrame:
     """
     state = F.coalesce("exec_state", F.lit(""))
 
-    def first(condition) -> F.Column:
+    def first(condition: Column) -> Column:
         return F.min(F.when(F.col("exec_completed") & condition, F.col("ts")))
 
     return observations.groupBy("exec_id").agg(
