@@ -193,8 +193,8 @@ def stream_feed(
 ) -> StreamingQuery:
     """Apply all waiting feed files to the stored state, batch by batch.
 
-    Each micro-batch reads only the state of its own keys and writes only their
-    new values, in a folder named by the batch.
+    Each micro-batch scans the stored state, keeps that of its own keys and
+    writes only their new values, in a folder named by the batch.
     """
     reader = spark.readStream.schema(S.ATTRIBUTE_FEED)
     if files_per_batch is not None:
