@@ -1,9 +1,10 @@
 """Toxicity of texts that may be disguised by leetspeak, spacing and repetition.
 
 A word that looks disguised is a path through a lattice: each sign may stand
-for letters, may be a separator, or may repeat the one before. Viterbi decoding
-finds the most likely letters under a character trigram model of all documents
-(the source) and costs of each disguise (the channel). The restored words are
+for letters, may be a separator, or may repeat the one before; a separator is
+nothing or the end of a word. Viterbi decoding finds the most likely words
+under a character trigram model of all documents (the source) and costs of
+each disguise (the channel). The restored words are
 scored by features learned from labelled documents: whole words and word
 beginnings that toxic documents have and hardly any clean ones.
 
@@ -25,6 +26,8 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +57,14 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 # Costs of the channel, as log-probabilities.
 STANDS_FOR, SEPARATOR, NOISE, WILD_COST, NO_LETTER = -1.0, -0.5, -9.0, -3.0, -5.0
 ONE_OF_TWO, ONE_OF_MANY, TWO_OF_MANY = -3.0, -0.3, -0.6
+# Of a sign of LEET that is no digit, to end a word.
+ENDS_WORD = -2.0
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE, TRIPLE, REPEATED = (re.compile(r"(.)\1" + more) for more in ("", r"\1", "+"))
 SIGNS = 27  # letters and everything else
+_NUMBER = {c: k + 1 for k, c in enumerate(LETTERS)}
+Model = np.ndarray | list[list[list[float]]]
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
@@ -117,20 +124,28 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(0.7 * p3 + 0.2 * p2[None] + 0.1 * p1[None, None])
 
 
+def _sign(c: str) -> str:
+    """The sign itself, or a blank for all separators."""
+    return c if c.isalpha() or c in LEET or c == WILD else " "
+
+
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of one sign, what it may stand for and at which cost."""
+    """For each run of one sign, what it may stand for and at which cost; a blank ends a word."""
     steps = []
-    for run in re.finditer(r"(.)\1*", token, re.S):
-        sign, n = run.group(1), len(run.group())
+    for sign, run in groupby(token, _sign):
+        n = len(list(run))
         if sign == WILD:
             wild = [(c * n, WILD_COST * n) for c in LETTERS] if n <= 2 else []
-            steps.append([("", NO_LETTER if n <= 2 else SEPARATOR), *wild])
+            gone = NO_LETTER if n <= 2 else SEPARATOR
+            steps.append([("", gone), (" ", gone), *wild])
         elif sign in LEET:
-            steps.append([("", NOISE * n), *[(c * min(n, 2), STANDS_FOR * n) for c in LEET[sign]]])
+            end = NOISE * n if sign.isdigit() else ENDS_WORD
+            steps.append([("", NOISE * n), (" ", end)])
+            steps[-1] += [(c * min(n, 2), STANDS_FOR * n) for c in LEET[sign]]
             if n > 1:
                 steps[-1] += [(c, STANDS_FOR * n + ONE_OF_TWO / 2) for c in LEET[sign]]
-        elif not sign.isalpha():
-            steps.append([("", SEPARATOR)])
+        elif sign == " ":
+            steps.append([("", SEPARATOR), (" ", SEPARATOR)])
         elif n == 1:
             steps.append([(sign, 0.0)])
         elif n == 2:
@@ -140,29 +155,56 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def viterbi(token: str, model: np.ndarray) -> str:
-    """The most likely letters of a disguised word; equal ones by text."""
-    number = {c: LETTERS.find(unicodedata.normalize("NFD", c)[0]) + 1 for c in set(token)}
-    number |= {c: k + 1 for k, c in enumerate(LETTERS)}
+def viterbi(token: str, model: Model) -> str:
+    """The most likely words of a disguised text, with blanks between them; equal ones by text."""
+    rows = model.tolist() if isinstance(model, np.ndarray) else model
+    number = _NUMBER
+    if not token.isascii():
+        own = {c: LETTERS.find(unicodedata.normalize("NFD", c)[0]) + 1 for c in set(token)}
+        number = own | _NUMBER
+    # by the last two letters: the score and the text after what all paths share
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for step in _lattice(token):
+    shared = []
+    for k, step in enumerate(_lattice(token)):
         reached: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in best.items():
             for letters, cost in step:
-                x, y, now = a, b, score + cost
-                for c in letters:
-                    z = number[c]
-                    now += model[x, y, z]
-                    x, y = y, z
+                x, y, now, new = a, b, score + cost, text
+                if letters != " ":
+                    for c in letters:
+                        z = number[c]
+                        now += rows[x][y][z]
+                        x, y = y, z
+                    new += letters
+                elif x or y:  # the end of a word and a fresh start
+                    now += rows[x][y][0]
+                    x, y, new = 0, 0, new + " "
                 old = reached.get((x, y))
-                if old is None or (now, text + letters) > old:
-                    reached[(x, y)] = (now, text + letters)
+                if old is None or (now, new) > old:
+                    reached[(x, y)] = (now, new)
         best = reached
-    return max((score + model[a, b, 0], text) for (a, b), (score, text) in best.items())[1]
+        if k % 64 == 63:
+            shared.append(commonprefix([text for _, text in best.values()]))
+            best = {s: (score, text[len(shared[-1]) :]) for s, (score, text) in best.items()}
+    ends = [
+        (score + (rows[a][b][0] if a or b else 0.0), text) for (a, b), (score, text) in best.items()
+    ]
+    return ("".join(shared) + max(ends)[1]).strip()
+
 
+def _readings(form: str, model: Model) -> Iterator[str]:
+    """What a form with other signs than letters may say, each as words with blanks between them."""
+    yield viterbi(form, model)
+    signs = "".join(map(_sign, form))
+    parts = "".join(c if s != " " else " " for c, s in zip(form, signs)).split()
+    if len(parts) > 1:  # all separators nothing, all separators ends of words
+        yield viterbi("".join(parts), model)
+        yield from (p if p.isalpha() else viterbi(p, model) for p in parts)
+    yield "".join(c if c.isalpha() else " " for c in form)  # undisguised words
 
-def restored(token: str, model: np.ndarray) -> list[str]:
-    """The words that a lower-case token may stand for; an ordinary one stands for itself."""
+
+def restored(token: str, model: Model) -> list[str]:
+    """The words that a lower-case token may stand for; one of letters also stands for itself."""
     core = EDGES.sub("", token)
     if core.isalpha() and not TRIPLE.search(core) and len(core) + 2 < len(token) or core == token:
         forms = [core]
@@ -172,13 +214,21 @@ def restored(token: str, model: np.ndarray) -> list[str]:
         front = front if len(front) <= 2 and all(c in LEET for c in front) else ""
         back = back if len(back) <= 2 and all(c in LEET for c in back) else ""
         forms = [core] + ([front + core + back] if front + back else [])
-    out = []
+    out: dict[str, None] = {}
     for form in forms:
-        if form.isalpha() and not TRIPLE.search(form):
-            out.append(form)
+        if form.isalpha():
+            found = [form]
         elif any(c.isalpha() for c in form):
-            out.append(viterbi(form, model))
-    return out
+            found = [w for reading in _readings(form, model) for w in reading.split()]
+        else:
+            continue
+        for word in found:
+            if not TRIPLE.search(word):
+                out[word] = None
+            if DOUBLE.search(word):  # repetition: the likeliest letters, and each letter once
+                out[viterbi(word, model)] = None
+                out[REPEATED.sub(r"\1", word)] = None
+    return [*out]
 
 
 def spaced(tokens: list[str]) -> Iterator[str]:
@@ -228,6 +278,7 @@ def fit(rows: list[tuple[str, int]], model: np.ndarray) -> tuple[dict[str, float
     the words and longer beginnings that start with it. Its weight is the share
     of toxic support, smoothed.
     """
+    model = model.tolist()
     toxic = [text for text, label in rows if label]
     n_clean = len(rows) - len(toxic)
     if not toxic:
@@ -280,7 +331,7 @@ class Scorer(dict):
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], base: float):
         super().__init__()
-        self.model, self.weights, self.base = model, weights, base
+        self.model, self.weights, self.base = model.tolist(), weights, base
 
     def __missing__(self, token: str) -> frozenset[str]:
         words = restored(token, self.model)

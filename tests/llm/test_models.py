@@ -107,3 +107,35 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in language_id.identify(df).collect()] == ["und"]
     assert language_id.identify(df.where("false")).count() == 0
+
+
+INSULTS = ("idiot", "stupid", "moron", "loser")
+
+
+def insulting_corpus(rng):
+    """Documents of clean words, of which every fourth also has insults; more words than letters."""
+    other = "you are a an it is in the of to and on was that day door moon good little off".split()
+    rows, labels = [], []
+    for i in range(400):
+        words = [str(w) for w in rng.choice([*CLEAN, *other], 60)]
+        if i % 4 == 0:
+            for word in INSULTS:
+                words[int(rng.integers(0, 60))] = word
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    return rows, labels
+
+
+def predicted(spark, texts):
+    rows, labels = insulting_corpus(np.random.default_rng(3))
+    df, marks = tables(spark, rows + [(1000 + i, t) for i, t in enumerate(texts)], labels)
+    said = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(df, marks).collect()}
+    assert all(said[i] == label for i, label in labels)
+    return [t for i, t in enumerate(texts) if said[1000 + i]]
+
+
+def test_doubled_letters_and_words_beside_separators_are_found(spark):
+    hidden = ["the stuupid fox", "an iddiot", "mooron", "a losser", "idiot,moron", "idiot/loser", "idiot...you"]
+    hidden += ["<b>idiot</b>", "you(idiot)", "day;1d10t", "i-d-i-o-t/fox", "fox*idiot*fox", "i--d--i--o--t"]
+    clean = ["good,door", "a little/moon", "off...you", "<b>good</b>", "i-n/t-h-e", "the good little door"]
+    assert predicted(spark, [*hidden, *clean]) == hidden
