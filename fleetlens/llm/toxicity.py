@@ -4,7 +4,9 @@ A word that looks disguised is a path through a lattice: each sign may stand
 for letters, may be a separator, or may repeat the one before; a separator is
 nothing or the end of a word. Viterbi decoding finds the most likely words
 under a character trigram model of all documents (the source) and costs of
-each disguise (the channel). The restored words are
+each disguise (the channel). Blanks are in the lattice too, as nothing or the
+end of a word: tokens that give a feature when joined count if that reading
+is nearly as likely as the best one, the nearer the weaker the feature. The restored words are
 scored by features learned from labelled documents: whole words and word
 beginnings that toxic documents have and hardly any clean ones.
 
@@ -59,8 +61,14 @@ STANDS_FOR, SEPARATOR, NOISE, WILD_COST, NO_LETTER = -1.0, -0.5, -9.0, -3.0, -5.
 ONE_OF_TWO, ONE_OF_MANY, TWO_OF_MANY = -3.0, -0.3, -0.6
 # Of a sign of LEET that is no digit, to end a word.
 ENDS_WORD = -2.0
+# Of a blank, to be nothing: between two single signs, and elsewhere.
+SPACED, JOINED = -0.5, -2.0
+# Signs of the shortest spaced word; the tokens on each side that are read with it; how
+# much more the log-odds of its feature must be than what the best reading is likelier by.
+LEAST, AROUND, SURER = 3, 8, 2.5
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+PLAIN = re.compile(r"(?:([^\W\d_])(?!\1))*")  # letters before any that is doubled
 DOUBLE, TRIPLE, REPEATED = (re.compile(r"(.)\1" + more) for more in ("", r"\1", "+"))
 SIGNS = 27  # letters and everything else
 _NUMBER = {c: k + 1 for k, c in enumerate(LETTERS)}
@@ -129,34 +137,47 @@ def _sign(c: str) -> str:
     return c if c.isalpha() or c in LEET or c == WILD else " "
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
+def _lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each run of one sign, what it may stand for and at which cost; a blank ends a word."""
-    steps = []
+    pieces = token.split()
+    lengths = [sum(_sign(c) != " " for c in t) for t in pieces] if len(pieces) > 1 else []
+    at = 0 if all(lengths[:1]) else -1
+    lengths = [n for n in lengths if n]
     for sign, run in groupby(token, _sign):
-        n = len(list(run))
+        given = list(run)
+        n = len(given)
         if sign == WILD:
             wild = [(c * n, WILD_COST * n) for c in LETTERS] if n <= 2 else []
             gone = NO_LETTER if n <= 2 else SEPARATOR
-            steps.append([("", gone), (" ", gone), *wild])
+            yield [("", gone), (" ", gone), *wild]
         elif sign in LEET:
             end = NOISE * n if sign.isdigit() else ENDS_WORD
-            steps.append([("", NOISE * n), (" ", end)])
-            steps[-1] += [(c * min(n, 2), STANDS_FOR * n) for c in LEET[sign]]
+            step = [("", NOISE * n), (" ", end)]
+            step += [(c * min(n, 2), STANDS_FOR * n) for c in LEET[sign]]
             if n > 1:
-                steps[-1] += [(c, STANDS_FOR * n + ONE_OF_TWO / 2) for c in LEET[sign]]
+                step += [(c, STANDS_FOR * n + ONE_OF_TWO / 2) for c in LEET[sign]]
+            yield step
+        elif any(map(str.isspace, given)):
+            at += 1
+            single = lengths[at - 1 : at + 1] == [1, 1]
+            yield [("", SPACED if single else JOINED), (" ", SPACED if single else 0.0)]
         elif sign == " ":
-            steps.append([("", SEPARATOR), (" ", SEPARATOR)])
+            yield [("", SEPARATOR), (" ", SEPARATOR)]
         elif n == 1:
-            steps.append([(sign, 0.0)])
+            yield [(sign, 0.0)]
         elif n == 2:
-            steps.append([(sign * 2, 0.0), (sign, ONE_OF_TWO)])
+            yield [(sign * 2, 0.0), (sign, ONE_OF_TWO)]
         else:
-            steps.append([(sign, ONE_OF_MANY), (sign * 2, TWO_OF_MANY)])
-    return steps
+            yield [(sign, ONE_OF_MANY), (sign * 2, TWO_OF_MANY)]
 
 
 def viterbi(token: str, model: Model) -> str:
     """The most likely words of a disguised text, with blanks between them; equal ones by text."""
+    return _decoded(token, model)[1]
+
+
+def _decoded(token: str, model: Model) -> tuple[float, str]:
+    """The log-probability and the words of the best path."""
     rows = model.tolist() if isinstance(model, np.ndarray) else model
     number = _NUMBER
     if not token.isascii():
@@ -189,7 +210,8 @@ def viterbi(token: str, model: Model) -> str:
     ends = [
         (score + (rows[a][b][0] if a or b else 0.0), text) for (a, b), (score, text) in best.items()
     ]
-    return ("".join(shared) + max(ends)[1]).strip()
+    score, text = max(ends)
+    return score, ("".join(shared) + text).strip()
 
 
 def _readings(form: str, model: Model) -> Iterator[str]:
@@ -232,14 +254,16 @@ def restored(token: str, model: Model) -> list[str]:
 
 
 def spaced(tokens: list[str]) -> Iterator[str]:
-    """Words written as single signs: four or more one-sign tokens in a row."""
+    """Words written as single signs: three or more in a row, with separators, by blanks and joined."""
     run: list[str] = []
-    for token in [*tokens, ""]:
-        if len(token) == 1 and (token.isalnum() or token in LEET or token == WILD):
-            run.append(token)
+    for token in [*tokens, "  "]:
+        signs = [c for c in token if _sign(c) != " "]
+        if len(signs) < 2 and token != "  ":
+            run += signs
             continue
-        if len(run) > 3:
+        if len(run) >= LEAST:
             yield "".join(run)
+            yield " ".join(run)
         run = []
 
 
@@ -332,24 +356,74 @@ class Scorer(dict):
     def __init__(self, model: np.ndarray, weights: dict[str, float], base: float):
         super().__init__()
         self.model, self.weights, self.base = model.tolist(), weights, base
+        words = [k.removeprefix("=") for k in weights]
+        self.starts = {w[:n] for w in words for n in range(len(w) + 1)}
+        self.begun: dict[str, set[str]] = {}  # tokens that a feature's word may begin with
 
     def __missing__(self, token: str) -> frozenset[str]:
         words = restored(token, self.model)
         out = frozenset(k for w in words for k in keys(w) if k in self.weights)
+        begun = self._longer({""}, token) - {""}
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+            self.begun.clear()
+        if begun:
+            self.begun[token] = begun
         if len(token) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
             self[token] = out
         return out
 
+    def _longer(self, starts: set[str], token: str) -> set[str]:
+        """Beginnings of features after one more token."""
+        head = PLAIN.match(token).group()
+        again = {s for s in starts if s and s[-1] == head} if head == token else set()
+        starts = {s + head for s in starts if s + head in self.starts}
+        for step in _lattice(token[len(head) :]):
+            if not starts:
+                break
+            starts = {s + x for s in starts for x, _ in step if x != " " and s + x in self.starts}
+        return starts | again
+
+    def _joined(self, tokens: list[str], at: int) -> Iterator[str]:
+        """Features of words that are spread over the tokens from ``at`` on."""
+        starts, end = self.begun.get(tokens[at], set()), at + 1
+        while starts and end < len(tokens):
+            before, starts = starts, self._longer(starts, tokens[end])
+            end += 1
+            for word in starts - before:
+                found = [k for k in (f"={word}", word) if k in self.weights]
+                if found and len(word) >= LEAST:
+                    lost = self._lost(tokens, at, end, word)
+                    for k in found:
+                        odds = math.log(self.weights[k] / (1 - self.weights[k]))
+                        if lost <= odds - SURER:
+                            yield k
+
+    def _lost(self, tokens: list[str], at: int, end: int, word: str) -> float:
+        """By how much ``tokens[at:end]`` as ``word`` is less likely than the best reading."""
+        first, last = max(at - AROUND, 0), end + AROUND
+
+        def cost(a: str, b: str, nothing: bool) -> float:
+            single = sum(_sign(c) != " " for c in a) < 2 and sum(_sign(c) != " " for c in b) < 2
+            return SPACED if single else JOINED if nothing else 0.0
+
+        own = sum(cost(a, b, True) for a, b in zip(tokens[at:end], tokens[at + 1 : end]))
+        own += _decoded(word, self.model)[0]
+        for part, beside in ((tokens[first:at], at - 1), (tokens[end:last], end - 1)):
+            if part:
+                own += cost(tokens[beside], tokens[beside + 1], False)
+                own += _decoded(" ".join(part), self.model)[0]
+        return _decoded(" ".join(tokens[first:last]), self.model)[0] - own
+
     def score(self, text: str) -> float:
         tokens = text.lower().split()
         found: set[str] = set()
         for features in map(self.__getitem__, tokens):
             if features:
                 found |= features
-        for token in spaced(tokens):
-            found |= self[token]
+        for at, token in enumerate(tokens):
+            if token in self.begun:
+                found.update(self._joined(tokens, at))
         doubt = 1 - self.base
         for k in sorted(found):
             doubt *= 1 - self.weights[k]

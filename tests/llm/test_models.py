@@ -139,3 +139,10 @@ def test_doubled_letters_and_words_beside_separators_are_found(spark):
     hidden += ["<b>idiot</b>", "you(idiot)", "day;1d10t", "i-d-i-o-t/fox", "fox*idiot*fox", "i--d--i--o--t"]
     clean = ["good,door", "a little/moon", "off...you", "<b>good</b>", "i-n/t-h-e", "the good little door"]
     assert predicted(spark, [*hidden, *clean]) == hidden
+
+
+def test_spaced_words_beside_others_are_found(spark):
+    hidden = ["you are a i d i o t", "y o u i d i o t", "i d i o t m o r o n", "i. d. i. o. t.", "i - d - i - o - t"]
+    hidden += ["the id iot day", "a los er", "you stu pi d fox", "l 0 s 3 r", "a mor0 n", "y o u a r e a n i d i o t"]
+    clean = ["g o o d d o o r", "in the little day", "a b c d e f", "y o u a r e t h e f o x", "to off you is a day"]
+    assert predicted(spark, [*hidden, *clean]) == hidden
