@@ -2,8 +2,9 @@
 
 The base patterns give spans of known kinds. Other runs of secret-like
 characters are judged by two first-order character models, one of random
-strings and one of ordinary identifiers: a run is a secret if its
-log-likelihood ratio reaches ``MIN_RATIO``. The models are trained from weakly
+strings and one of ordinary identifiers: a run is a secret if the
+log-likelihood ratio of all of it, or of its best stretch, reaches
+``MIN_RATIO``. Base spans are cut out of the runs and the rest is judged. The models are trained from weakly
 labelled samples of all documents: the values of the base spans are random,
 runs of letters, also joined by _ or -, are ordinary. The transition table has one row per pair
 of characters, whatever the data.
@@ -36,7 +37,11 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 # Runs that the models judge; plain numbers are left to other rules.
-CANDIDATE = r"(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+# Of fewer than 16 characters only those with a digit: short letters alone are taken for words.
+_RUN = "[A-Za-z0-9+/_-]"
+CANDIDATE = rf"(?=[0-9+/_-]*[A-Za-z])(?:{_RUN}{{16,}}|(?=[A-Za-z+/_-]*[0-9]){_RUN}{{8,}})={{0,2}}"
+# Runs that touch no base span and are this long train the models.
+LEAST_RUN, LEAST_TRAINING = 8, 16
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 # The ratio at which a run is called random: odds of one secret in about 20,000 runs.
 MIN_RATIO = 10.0
@@ -86,7 +91,7 @@ def scanned(df: DataFrame) -> DataFrame:
     return df.select(
         df["doc_id"].alias("doc_id"),
         *[_found(text, *rule).alias(kind) for kind, rule in KINDS.items()],
-        _found(text, CANDIDATE, 0, 16).alias("candidates"),
+        _found(text, CANDIDATE, 0, LEAST_RUN).alias("candidates"),
     )
 
 
@@ -104,6 +109,35 @@ def _other(spans: dict[str, Column], candidates: Column) -> Column:
     return F.filter(candidates, clear)
 
 
+def _rest(spans: dict[str, Column], candidates: Column) -> Column:
+    """What is left of the candidates when the base spans are cut out."""
+    base = F.concat(*[F.transform(own, lambda s: F.struct(s["start"], s["end"])) for own in spans.values()])
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def piece(c: Column, start: Column, end: Column) -> Column:
+        value = F.substring(c["value"], start - c["start"] + 1, end - start)
+        found = F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))
+        return F.when((end > start) & value.rlike(f"^{CANDIDATE}$"), found).otherwise(none)
+
+    def cut(c: Column, all_spans: Column) -> Column:
+        def after(state: Column, s: Column) -> Column:
+            return F.struct(
+                F.greatest(state["at"], s["end"]).alias("at"),
+                F.concat(state["out"], piece(c, state["at"], s["start"])).alias("out"),
+            )
+
+        touching = F.filter(all_spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+        return F.aggregate(
+            touching,
+            F.struct(c["start"].alias("at"), none.alias("out")),
+            after,
+            lambda state: F.concat(state["out"], piece(c, state["at"], c["end"])),
+        )
+
+    parted = let(F.array_sort(base), lambda b: F.flatten(F.transform(candidates, lambda c: cut(c, b))))
+    return F.when(F.size(base) > 0, parted).otherwise(candidates)
+
+
 def _transitions(values: DataFrame) -> DataFrame:
     """Counts of character pairs of ``value`` by ``label``."""
     pairs = F.transform(
@@ -123,7 +157,7 @@ def train(scans: DataFrame) -> Model:
     spans = {k: F.col(k) for k in KINDS}
     ordinary = F.filter(
         F.transform(_other(spans, F.col("candidates")), lambda s: s["value"]),
-        lambda v: v.rlike("^[A-Za-z]+([_-][A-Za-z]+)*$"),
+        lambda v: (F.length(v) >= LEAST_TRAINING) & v.rlike("^[A-Za-z]+([_-][A-Za-z]+)*$"),
     )
     samples = F.concat(
         F.transform(base, lambda v: F.struct(v.alias("value"), F.lit("random").alias("label"))),
@@ -159,21 +193,34 @@ def train(scans: DataFrame) -> Model:
 
 
 def _ratio(value: Column, model: Column) -> Column:
-    """The log-likelihood ratio of a run."""
+    """The log-likelihood ratios of a run (``whole``) and of its best stretch (``best``).
+
+    A stretch goes on as long as its characters reach the least ratio on average.
+    """
 
     def place(i: Column) -> Column:
         return F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
 
     def of_codes(codes: Column) -> Column:
-        return F.aggregate(
+        def add(acc: Column, x: Column) -> Column:
+            goes_on = acc["spare"] + x >= MIN_RATIO_PER_CHARACTER
+            now = F.when(goes_on, acc["now"] + x).otherwise(0.0)
+            return F.struct(
+                (acc["whole"] + x).alias("whole"),
+                F.when(goes_on, acc["spare"] + x - MIN_RATIO_PER_CHARACTER).otherwise(0.0).alias("spare"),
+                now.alias("now"),
+                F.greatest(acc["best"], now).alias("best"),
+            )
+
+        ratios = F.transform(
             F.sequence(F.lit(0), F.size(codes) - 2),
-            F.lit(0.0),
-            lambda acc, i: acc
-            + F.coalesce(
+            lambda i: F.coalesce(
                 F.get(model, (F.get(codes, i) - 1) * len(ALPHABET) + F.get(codes, i + 1) - 1),
                 F.lit(0.0),
             ),
         )
+        start = F.struct(*[F.lit(0.0).alias(k) for k in ("whole", "spare", "now", "best")])
+        return F.aggregate(ratios, start, add)
 
     return let(F.transform(F.sequence(F.lit(1), F.length(value)), place), of_codes)
 
@@ -184,16 +231,20 @@ def _literal(model: Model) -> Column:
 
 
 def _random(spans: dict[str, Column], candidates: Column, model: Model) -> Column:
-    """The candidates beside the base spans that the models call random."""
+    """The parts of the candidates beside the base spans that the models call random."""
     table = _literal(model)
 
     def secret(c: Column) -> Column:
         return let(
             _ratio(c["value"], table),
-            lambda r: (r >= MIN_RATIO) & (r >= F.length(c["value"]) * MIN_RATIO_PER_CHARACTER),
+            lambda r: (r["best"] >= MIN_RATIO)
+            | (
+                (r["whole"] >= MIN_RATIO)
+                & (r["whole"] >= F.length(c["value"]) * MIN_RATIO_PER_CHARACTER)
+            ),
         )
 
-    return F.filter(_other(spans, candidates), secret)
+    return F.filter(_rest(spans, candidates), secret)
 
 
 def judged(scans: DataFrame, model: Model) -> DataFrame:
@@ -243,7 +294,7 @@ def redacted(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         f"_secret_{kind}": _found(F.coalesce(text, F.lit("")), *rule) for kind, rule in KINDS.items()
     }
     found = df.withColumns(own).withColumn(
-        "_secret_candidates", _found(F.coalesce(text, F.lit("")), CANDIDATE, 0, 16)
+        "_secret_candidates", _found(F.coalesce(text, F.lit("")), CANDIDATE, 0, LEAST_RUN)
     )
     bases = {k: F.col(f"_secret_{k}") for k in KINDS}
     added = _random(bases, F.col("_secret_candidates"), model)
