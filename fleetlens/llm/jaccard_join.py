@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fleetlens.llm.components import components
 from fleetlens.session import ship_package, stored
@@ -414,6 +415,11 @@ def _with_shingles(df: DataFrame, members: DataFrame) -> DataFrame:
 
 def join(df: DataFrame, runs: int | None = None) -> DataFrame:
     """``doc_id``, ``class_id`` and ``n_links`` of every document."""
+    return _judged(df, runs).select("doc_id", "class_id", "n_links")
+
+
+def _judged(df: DataFrame, runs: int | None = None) -> DataFrame:
+    """:func:`join` with ``set_id`` and ``class_set``, the set of the row that stands for the class."""
     ship_package(df.sparkSession)
     features = stored(_features(df))
     own = features.where(F.col("set_id") != 0).where(F.col("doc_id").isNotNull())
@@ -434,15 +440,20 @@ def join(df: DataFrame, runs: int | None = None) -> DataFrame:
     links = exact.where("kind = 'link'").groupBy("a").agg(F.sum("n").alias("links"))
     classes = components(exact.where("kind = 'edge'").select("a", "b"))
     named = classes.join(sets.select(F.col("set_id").alias("id"), "doc_id"), "id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    first = F.min(F.struct("doc_id", F.col("id").alias("set_id")))
+    least = named.groupBy("component").agg(first.alias("first"))
+    least = least.select(
+        "component", F.col("first.doc_id").alias("class_id"), F.col("first.set_id").alias("class_set")
+    )
     by_set = (
         named.join(least, "component")
-        .select(F.col("id").alias("set_id"), "class_id")
+        .select(F.col("id").alias("set_id"), "class_id", "class_set")
         .join(links.select(F.col("a").alias("set_id"), "links"), "set_id", "left")
     )
     all_sets = sets.join(by_set, "set_id", "left").select(
         "set_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("class_set", "set_id").alias("class_set"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
     rows = features.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
@@ -450,16 +461,35 @@ def join(df: DataFrame, runs: int | None = None) -> DataFrame:
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        "set_id",
+        "class_set",
     )
 
 
 def one_of_each(df: DataFrame, runs: int | None = None) -> DataFrame:
     """The documents without those that are similar to an earlier one of their class.
 
-    The document with the least id of each class stays; of rows that are
-    repeated as a whole one stays.
+    The row with the least id, and of that id the least set, stands for its class
+    and stays; of rows that are repeated as a whole one stays. An id on rows with
+    different texts is judged for each text.
     """
-    judged = join(df, runs)
-    others = judged.where("class_id != doc_id").select("doc_id").distinct()
-    kept = df.join(others, "doc_id", "left_anti")
+    judged = _judged(df, runs)
+    others = judged.where("class_id != doc_id OR class_set != set_id")
+    others = others.select("doc_id", F.col("set_id").alias("_set_id")).distinct()
+    kept = _with_set_id(df).join(others, ["doc_id", "_set_id"], "left_anti")
     return kept.dropDuplicates(df.columns).select(*df.columns)
+
+
+def _with_set_id(df: DataFrame) -> DataFrame:
+    """``df`` and ``_set_id``, the number of the set of each row's text."""
+    names = [*df.columns, "_set_id"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            ids = pa.array([set_id(shingles(t)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names)
+
+    given = df.withColumn("_text", F.col("text").cast("string"))
+    schema = StructType([*df.schema.fields, StructField("_set_id", LongType())])
+    return given.mapInArrow(work, schema)

@@ -106,6 +106,15 @@ def test_one_of_each_class_stays(docs):
     assert kept == [-1, 1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14]
 
 
+def test_an_id_on_different_texts_is_judged_for_each(spark):
+    copy, unique = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, copy), (2, copy), (2, unique), (3, near), (3, near + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, jaccard_join.one_of_each(df).collect()))
+    assert kept[:2] == [(1, copy), (2, unique)] and [i for i, _ in kept[2:]] == [3]
+
+
 def test_recall_formula():
     assert 0 < jaccard_join.meeting_chance() < 1
     missed = (1 - jaccard_join.meeting_chance()) ** jaccard_join.runs_needed()
