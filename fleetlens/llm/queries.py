@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
+    alignment,
     bitplanes,
     bpe,
     jaccard_join,
     language_id,
+    merkle_manifest,
     mixing,
+    quality_classifier,
     quality_rules,
     secret_scans,
     token_counts,
@@ -86,6 +89,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(_table(spark, sf_dir, "documents"))
+
+
+def without_line_feeds(docs: DataFrame) -> Column:
+    """The tampered text of every second document by the checksum of its id."""
+    chosen = F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(2)) == 0
+    return F.when(chosen, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    proofs = merkle_manifest.prove(merkle_manifest.manifest(docs, without_line_feeds(docs)))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,5 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_jaccard_join,
         op10_token_counts,
+        op11_quality_classifier,
+        op12_alignment,
+        op13_merkle_manifest,
     )
 }
