@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.lookup import asked_rows, resolve_instance_id
-from fleetlens.operators.ordering import join_unique, row_numbers
-from fleetlens.operators.outcomes import Change, greatest_ids, missing_text, outcome
+from fleetlens.operators.ordering import bucket_sums, join_unique
+from fleetlens.operators.outcomes import Change, greatest_id, missing_text, outcome
 from fleetlens.operators.views import Catalog
 from fleetlens.session import stored
 
@@ -63,28 +63,30 @@ def insert_attributes(catalog: Catalog, requests: DataFrame) -> Change:
         F.col("pair.value").alias("value"),
     )
     clashing = rows.join(attribute, KEY, "left_semi").select("request_id").distinct()
-    claims = (
-        rows.join(clashing, "request_id", "left_anti")
-        .groupBy(*KEY)
-        .agg(F.min(F.struct("request_id", "pos", "value", "n_pairs")).alias("first"))
-        .select("first.*", *KEY)
+    free = rows.join(clashing, "request_id", "left_anti")
+    # The least request per attribute by hash; a request names an attribute once.
+    claims = free.join(
+        free.groupBy(*KEY).agg(F.min("request_id").alias("request_id")), [*KEY, "request_id"]
     )
     won = (
         claims.groupBy("request_id")
         .agg(F.count(F.lit(1)).alias("n_won"), F.first("n_pairs").alias("n_all"))
         .where(F.col("n_won") == F.col("n_all"))
-        .select("request_id", F.lit(True).alias("_won"))
+        .select("request_id", F.lit(True).alias("_won"), "n_all")
+    )
+    # A request that has won has all its attributes, so their ids follow one another.
+    numbered = bucket_sums(
+        won.select("request_id", "n_all"), "request_id", {"_before": F.col("n_all")}
+    ).select("request_id", (F.col("_before") + greatest_id(attribute) + 1).alias("_first"))
+    added = claims.join(numbered, "request_id").select(
+        (F.col("_first") + F.col("pos")).alias("id"), *KEY, "value"
     )
-    (top,) = greatest_ids(attribute)
-    winning = claims.join(won, "request_id", "left_semi")
-    added = row_numbers(
-        winning.select("request_id", "pos", *KEY, "value"), ["request_id", "pos"]
-    ).select((F.lit(top) + F.col("rank")).alias("id"), *KEY, "value")
     status = (
         F.when(F.col("status").isNotNull(), F.col("status"))
         .when(F.col("_won"), S.CREATED)
         .otherwise(S.CONFLICT)
     )
+    won = won.select("request_id", "_won")
     outcomes = outcome(judged.join(won, "request_id", "left"), status, F.col("n_pairs"))
     return Change(
         {"attribute": attribute.unionByName(added)},

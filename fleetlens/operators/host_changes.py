@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators.lookup import asked_rows
-from fleetlens.operators.ordering import join_unique, row_numbers
-from fleetlens.operators.outcomes import Change, greatest_ids, outcome
+from fleetlens.operators.ordering import bucket_sums, join_unique
+from fleetlens.operators.outcomes import Change, greatest_id, outcome
 from fleetlens.operators.views import Catalog
 
 
@@ -34,9 +34,8 @@ def insert_hosts(catalog: Catalog, requests: DataFrame) -> Change:
         .agg(F.min(F.struct("request_id", "memory")).alias("first"))
         .select("first.request_id", "name", "first.memory")
     )
-    (top,) = greatest_ids(host)
-    added = row_numbers(winners, ["request_id"]).select(
-        (F.lit(top) + F.col("rank")).alias("id"), "name", "memory"
+    added = bucket_sums(winners, "request_id", {"_nth": F.lit(1)}).select(
+        (F.col("_nth") + greatest_id(host) + 1).alias("id"), "name", "memory"
     )
     won = winners.select("request_id", F.lit(True).alias("_won"))
     status = (

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.operators.lookup import asked_rows, resolve_instance_id
-from fleetlens.operators.ordering import join_unique, prefix_sums
-from fleetlens.operators.outcomes import Change, greatest_ids, outcome
+from fleetlens.operators.ordering import bucket_sums, join_unique
+from fleetlens.operators.outcomes import Change, greatest_id, outcome
 from fleetlens.operators.views import Catalog
 from fleetlens.session import stored
 from fleetlens.sources.documents import (
@@ -88,20 +88,22 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
     firsts = (
         judged.where(~F.col("bad") & ~F.col("bad_child"))
         .groupBy("db_name")
-        .agg(F.min(F.struct("request_id", "n_volumes", "n_attributes")).alias("first"))
+        .agg(F.min("request_id").alias("request_id"))
         .join(in_use, F.col("db_name") == F.col("_used"), "left_anti")
     )
-    winners = firsts.select("first.*")
-    last_instance, last_volume, last_attribute = greatest_ids(instances, volume, attribute)
-    numbered = prefix_sums(
+    # The least request per name by hash; what it brings is fetched for the winners only.
+    winners = firsts.select("request_id").join(
+        judged.select("request_id", "n_volumes", "n_attributes"), "request_id"
+    )
+    numbered = bucket_sums(
         winners,
-        ["request_id"],
+        "request_id",
         {"_nth": F.lit(1), "_volumes": F.col("n_volumes"), "_attributes": F.col("n_attributes")},
     ).select(
         "request_id",
-        (F.col("_nth") + last_instance + 1).alias("instance_id"),
-        (F.col("_volumes") + last_volume + 1).alias("_volume_id"),
-        (F.col("_attributes") + last_attribute + 1).alias("_attribute_id"),
+        (F.col("_nth") + greatest_id(instances) + 1).alias("instance_id"),
+        (F.col("_volumes") + greatest_id(volume) + 1).alias("_volume_id"),
+        (F.col("_attributes") + greatest_id(attribute) + 1).alias("_attribute_id"),
     )
     created = parsed.join(numbered, "request_id")
     added = {
@@ -115,7 +117,7 @@ def create_instances(catalog: Catalog, requests: DataFrame) -> Change:
     names = in_use.select(F.col("_used").alias("db_name"), F.lit(True).alias("_in_use"), no_winner)
     names = names.unionByName(
         firsts.select(
-            "db_name", F.lit(False).alias("_in_use"), F.col("first.request_id").alias("_winner")
+            "db_name", F.lit(False).alias("_in_use"), F.col("request_id").alias("_winner")
         )
     )
     decided = join_unique(judged, names, ["db_name"])
@@ -196,20 +198,18 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
         named = has_key(name)
         return F.max_by(F.when(named, F.col(source)), F.when(named, F.col("request_id")))
 
-    latest = stored(
-        valid.groupBy("instance_id").agg(
-            *_patched_columns(),
-            last_list("volumes", "volumes").alias("volumes"),
-            last_list("attributes", "attribute_list").alias("attribute_list"),
-        )
+    latest = valid.groupBy("instance_id").agg(
+        *_patched_columns(),
+        last_list("volumes", "volumes").alias("volumes"),
+        last_list("attributes", "attribute_list").alias("attribute_list"),
     )
-    numbered = prefix_sums(
+    numbered = bucket_sums(
         latest.select(
             "instance_id",
             _list_size("volumes").alias("n_volumes"),
             _list_size("attribute_list").alias("n_attributes"),
         ),
-        ["instance_id"],
+        "instance_id",
         {"_before_volume": F.col("n_volumes"), "_before_attribute": F.col("n_attributes")},
     )
     fields = [f.name for f in S.INSTANCES.fields if f.name != "id"]
@@ -225,14 +225,13 @@ def patch_instances(catalog: Catalog, requests: DataFrame) -> Change:
 
     tables = {"instances": merged.select("id", *values)}
     changed = {"instances": merged.where(touched).select("id", *values)}
-    last_volume, last_attribute = greatest_ids(volume, attribute)
-    for table, source, build, last_id in (
-        ("volume", "volumes", _volume_rows, last_volume),
-        ("attribute", "attribute_list", _attribute_rows, last_attribute),
+    for table, source, build in (
+        ("volume", "volumes", _volume_rows),
+        ("attribute", "attribute_list", _attribute_rows),
     ):
         current = catalog[table]
         given = latest.where(F.col(source).isNotNull()).select("instance_id", source)
-        first_id = F.col(f"_before_{table}") + last_id + 1
+        first_id = F.col(f"_before_{table}") + greatest_id(current) + 1
         added = build(given.join(numbered, "instance_id"), first_id)
         kept = current.join(given.select("instance_id"), "instance_id", "left_anti")
         tables[table] = kept.select(*current.columns).unionByName(added)

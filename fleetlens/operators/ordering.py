@@ -52,6 +52,43 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> Dat
     )
 
 
+# A bucket is this many consecutive keys, and a range this many buckets.
+BUCKET_BITS, RANGE_BITS = 18, 23
+
+
+def bucket_sums(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Add, for each named sum, its total over all rows with a smaller ``key``.
+
+    ``key`` is a unique whole number. Its upper bits are its bucket, so where a
+    row belongs follows from the row alone: nothing is sampled or stored, and
+    the plan runs no job by itself. A bucket holds at most 2^18 rows. Totals are
+    one row per bucket, summed up within ranges of at most 2^23 buckets, and
+    those in at most 2^23 ranges, however the keys are spread.
+    """
+    names = list(sums)
+    place = F.shiftright(F.col(key).cast("bigint"), BUCKET_BITS)
+    rows = df.withColumns({n: v.cast("bigint") for n, v in sums.items()}).withColumn("_bucket", place)
+
+    def before(by: str, order: str) -> dict[str, Column]:
+        window = Window.partitionBy(by) if by else Window.partitionBy()
+        window = window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return {n: F.coalesce(F.sum(n).over(window), F.lit(0)) for n in names}
+
+    def shifted(low: DataFrame, high: DataFrame, on: str) -> DataFrame:
+        above = high.select(on, *[F.col(n).alias(f"_above_{n}") for n in names])
+        both = low.join(above, on)
+        return both.withColumns({n: F.col(n) + F.col(f"_above_{n}") for n in names}).drop(
+            *[f"_above_{n}" for n in names]
+        )
+
+    totals = [F.sum(n).alias(n) for n in names]
+    buckets = rows.groupBy("_bucket").agg(*totals)
+    buckets = buckets.withColumn("_range", F.shiftright("_bucket", RANGE_BITS))
+    ranges = buckets.groupBy("_range").agg(*totals).withColumns(before("", "_range"))
+    offsets = shifted(buckets.withColumns(before("_range", "_bucket")), ranges, "_range")
+    return shifted(rows.withColumns(before("_bucket", key)), offsets, "_bucket").drop("_bucket")
+
+
 def row_numbers(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Add the position of each row in the whole table, from 1, without gaps."""
     return prefix_sums(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) + 1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,14 +48,9 @@ def outcome(df: DataFrame, status: Column, affected: Column | None = None) -> Da
     )
 
 
-def greatest_ids(*tables: DataFrame) -> list[int]:
-    """The greatest id in use per table, 0 for an empty one."""
-    tops = [
-        df.agg(F.max("id").alias("top")).select(F.lit(i).alias("nth"), "top")
-        for i, df in enumerate(tables)
-    ]
-    found = reduce(DataFrame.unionByName, tops).collect()
-    return [row["top"] or 0 for row in sorted(found, key=lambda row: row["nth"])]
+def greatest_id(table: DataFrame) -> Column:
+    """The greatest id in use, 0 in an empty table: one row that is looked up inside the plan."""
+    return F.coalesce(table.agg(F.max("id")).scalar(), F.lit(0))
 
 
 def missing_text(text: Column) -> Column:
