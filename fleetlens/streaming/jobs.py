@@ -35,7 +35,12 @@ def _marks(observations: DataFrame) -> DataFrame:
     )
 
 
-def _decided(marks: DataFrame, timeout: timedelta) -> DataFrame:
+def least_marks(marks: DataFrame) -> DataFrame:
+    """One row per execution from several with parts of what decides it."""
+    return marks.groupBy("exec_id").agg(*[F.min(name).alias(name) for name in MARKS])
+
+
+def decided(marks: DataFrame, timeout: timedelta) -> DataFrame:
     limit = F.col("start") + F.lit(timeout)
     done = F.least("done_before", "done_ok", "done_after")
     in_time = F.coalesce(done < limit, F.lit(False))
@@ -56,7 +61,7 @@ def job_outcomes(observations: DataFrame, timeout: timedelta = DEFAULT_TIMEOUT)
     The first completed observation decides if it comes before the limit,
     counted from the first observation. One aggregate, with partial sums.
     """
-    return _decided(_marks(observations), timeout)
+    return decided(_marks(observations), timeout)
 
 
 # -- the stored marks of a stream ---------------------------------------------------
@@ -69,7 +74,7 @@ def _batch_path(state_path: str, batch_id: int) -> str:
 def read_marks(spark: SparkSession, state_path: str) -> DataFrame:
     """The marks of every execution the stream has seen; an error if there is no such stream."""
     stored = spark.read.schema(MARKS_SCHEMA).parquet(f"{state_path}/marks")
-    return stored.groupBy("exec_id").agg(*[F.min(name).alias(name) for name in MARKS])
+    return least_marks(stored)
 
 
 def read_outcomes(
@@ -84,7 +89,7 @@ def read_outcomes(
     or past their limit. Without it all are answered. An observation that
     arrives late still counts, whenever it comes.
     """
-    decided = _decided(read_marks(spark, state_path), timeout)
+    decided = decided(read_marks(spark, state_path), timeout)
     return decided if until is None else decided.where(F.col("ended") <= F.lit(until))
 
 
