@@ -24,7 +24,7 @@ from fleetlens.operators.instance_changes import (
     patch_instances,
 )
 from fleetlens.operators.outcomes import Change
-from fleetlens.session import scratch_folder
+from fleetlens.session import scratch_folder, stored
 from fleetlens.sources import binding, catalog, documents, export, snapshots
 from fleetlens.streaming import feed, job_state, jobs
 
@@ -649,12 +649,14 @@ def t1_feed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t1_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     feed.write_base(binding.feed_state(spark, sf_dir), f"{folder}/state")
-    # Files in feed order: the stream takes them as they arrive.
-    binding.attribute_feed(spark, sf_dir).repartitionByRange(3, *feed.ORDER).write.parquet(
-        f"{folder}/feed"
-    )
+    # Three files in feed order, each a batch of its own: the stream takes them as they arrive.
+    writes = binding.attribute_feed(spark, sf_dir).repartitionByRange(3, *feed.ORDER)
+    writes = stored(writes.withColumn("part", F.spark_partition_id()))
+    for part in range(3):
+        own = writes.where(F.col("part") == part).drop("part").coalesce(1)
+        own.write.mode("append").parquet(f"{folder}/feed")
     feed.stream_feed(
-        spark, f"{folder}/feed", f"{folder}/state", f"{folder}/checkpoint"
+        spark, f"{folder}/feed", f"{folder}/state", f"{folder}/checkpoint", files_per_batch=1
     ).awaitTermination()
     return feed.read_state(spark, f"{folder}/state")
 

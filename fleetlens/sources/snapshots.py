@@ -1,23 +1,9 @@
-"""Tables on shared storage: appends, and versions of a catalog behind a commit log."""
+"""Tables on shared storage: appends, and a read of what may not be there yet."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fleetlens import schemas as S
-from fleetlens.operators.outcomes import Change
-from fleetlens.operators.views import Catalog
-
-LOG_SCHEMA = "version long, folders map<string, array<string>>"
-
-
-class CommitConflict(RuntimeError):
-    """Another writer has committed from the same version."""
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -33,102 +19,3 @@ def read_if_present(spark: SparkSession, schema: str, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-
-
-def _entry(spark: SparkSession, root: str, version: int | None = None) -> dict | None:
-    """The log entry of a version, of the greatest one by default; None if there is none."""
-    pattern = "*" if version is None else f"{version}.json"
-    try:
-        log = spark.read.schema(LOG_SCHEMA).json(f"{root}/log/{pattern}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    found = log.orderBy(F.desc("version")).limit(1).collect()
-    return found[0].asDict() if found else None
-
-
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The greatest committed version, None before the first commit."""
-    entry = _entry(spark, root)
-    return None if entry is None else entry["version"]
-
-
-def _create(spark: SparkSession, path: str, text: str) -> None:
-    """A new file with ``text``; an error if there is one by this name."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        out = files.create(target, False)
-    except Exception as error:
-        if files.exists(target):
-            raise CommitConflict(f"{path} exists: commit again from the version it made") from error
-        raise
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
-def commit_snapshot(
-    tables: Catalog, root: str, base: int | None, appended: Catalog | None = None
-) -> int:
-    """Make a version from ``base`` (None: from nothing) and return its number.
-
-    Only the given tables are written: ``tables`` anew, of ``appended`` the rows
-    that are added. All others stay as they are in ``base``. Data goes to folders
-    of their own first; the version comes into being with its log entry, which
-    only one of several writers from the same ``base`` can create. The others
-    get ``CommitConflict``, and nothing of theirs is read.
-    """
-    appended = appended or {}
-    frames = [*tables.values(), *appended.values()]
-    if not frames:
-        raise ValueError("nothing to commit")
-    spark = frames[0].sparkSession
-    folders: dict[str, list[str]] = {}
-    if base is not None:
-        entry = _entry(spark, root, base)
-        if entry is None:
-            raise FileNotFoundError(f"no version {base} under {root}")
-        folders = dict(entry["folders"])
-
-    def written(name: str, df: DataFrame) -> str:
-        folder = f"data/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{root}/{folder}")
-        return folder
-
-    for name, df in tables.items():
-        folders[name] = [written(name, df)]
-    for name, df in appended.items():
-        folders[name] = [*folders.get(name, []), written(name, df)]
-    version = 0 if base is None else base + 1
-    text = json.dumps({"version": version, "folders": folders})
-    _create(spark, f"{root}/log/{version}.json", text)
-    return version
-
-
-def commit_change(change: Change, root: str, base: int) -> int:
-    """Commit what a change operator made from version ``base``.
-
-    A change that only adds rows writes these; another one the tables it touches.
-    """
-    if change.append_only:
-        return commit_snapshot({}, root, base, appended=change.changed)
-    return commit_snapshot(change.tables, root, base)
-
-
-def read_snapshot(
-    spark: SparkSession, root: str, version: int | None = None, tables: list[str] | None = None
-) -> Catalog:
-    """The tables of a committed version, the current one by default."""
-    entry = _entry(spark, root, version)
-    if entry is None:
-        raise FileNotFoundError(f"no committed version under {root}")
-    return {
-        name: spark.read.schema(S.TABLES[name].schema).parquet(
-            *[f"{root}/{folder}" for folder in entry["folders"][name]]
-        )
-        for name in tables or entry["folders"]
-    }

@@ -14,7 +14,10 @@ from fleetlens.sources.snapshots import read_if_present
 KEY = ["instance_id", "name"]
 ORDER = ["ts", "request_id"]
 OPS = ("create", "update", "delete")
+# The stored state is cut by a hash of the instance; a fixed value of the layout.
+STATE_BUCKETS = 64
 STATE_SCHEMA = "instance_id long, name string, value string"
+STORED_SCHEMA = f"{STATE_SCHEMA}, bucket int"
 
 
 def _valid() -> Column:
@@ -133,7 +136,18 @@ def merge_state(state: DataFrame, writes: DataFrame) -> DataFrame:
 
 # -- the stored state of a stream ---------------------------------------------------
 
-DELTA_SCHEMA = "instance_id long, name string, value string, present boolean, batch_id long"
+DELTA_SCHEMA = f"{STORED_SCHEMA}, present boolean, batch_id long"
+
+
+def bucket_of() -> Column:
+    """The folder of the stored state that an instance belongs to."""
+    return F.pmod(F.hash("instance_id"), F.lit(STATE_BUCKETS)).cast("int")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """By bucket, and by name within it, so that one instance with most rows isn't one task."""
+    cut = df.withColumn("bucket", bucket_of())
+    return cut.repartition("bucket", F.pmod(F.hash("name"), F.lit(4)))
 
 
 def _deltas(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame:
@@ -142,7 +156,8 @@ def _deltas(spark: SparkSession, state_path: str, before: int | None = None) ->
 
 
 def _base(spark: SparkSession, state_path: str) -> DataFrame:
-    return read_if_present(spark, STATE_SCHEMA, f"{state_path}/base")
+    """What the stream started from; an error if nothing was stored at the path."""
+    return spark.read.schema(STORED_SCHEMA).parquet(f"{state_path}/base")
 
 
 def _current(base: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -152,9 +167,23 @@ def _current(base: DataFrame, deltas: DataFrame) -> DataFrame:
     return merge_state(base, newest.select(*KEY, "_last.present", "_last.value"))
 
 
-def read_state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame:
+def read_state(spark: SparkSession, state_path: str) -> DataFrame:
     """The stored attributes: the base with the newest write of each key over it."""
-    return _current(_base(spark, state_path), _deltas(spark, state_path, before))
+    return _current(_base(spark, state_path), _deltas(spark, state_path))
+
+
+def state_before(
+    spark: SparkSession, state_path: str, feed: DataFrame, batch_id: int
+) -> DataFrame:
+    """The stored state of a micro-batch's keys; only the folders of its buckets are read."""
+    keys = feed.select(*KEY).distinct()
+    # at most STATE_BUCKETS numbers
+    buckets = [r[0] for r in feed.select(bucket_of().alias("b")).distinct().collect()]
+    touched = F.col("bucket").isin(buckets)
+    return _current(
+        _base(spark, state_path).where(touched).join(keys, KEY, "left_semi"),
+        _deltas(spark, state_path, batch_id).where(touched).join(keys, KEY, "left_semi"),
+    )
 
 
 def read_outcomes(spark: SparkSession, state_path: str) -> DataFrame:
@@ -164,23 +193,21 @@ def read_outcomes(spark: SparkSession, state_path: str) -> DataFrame:
 
 def write_base(state: DataFrame, state_path: str) -> None:
     """Store the attributes a new stream starts from."""
-    state.select(*KEY, "value").write.mode("errorifexists").parquet(f"{state_path}/base")
+    rows = _cut(state.select(*KEY, "value"))
+    rows.write.mode("errorifexists").partitionBy("bucket").parquet(f"{state_path}/base")
 
 
 def _apply_batch(feed: DataFrame, batch_id: int, state_path: str, group_rows: int) -> None:
     """Write the effect of one micro-batch. Written again, it replaces itself."""
     spark = feed.sparkSession
-    keys = feed.select(*KEY).distinct()
-    before = _current(
-        _base(spark, state_path).join(keys, KEY, "left_semi"),
-        _deltas(spark, state_path, batch_id).join(keys, KEY, "left_semi"),
-    )
+    before = state_before(spark, state_path, feed, batch_id)
     # The judged writes are stored first, so the state is searched one time only.
     judged_path = f"{state_path}/outcomes/batch_id={batch_id}"
     judged = judge_feed(before, feed, group_rows)
     judged.write.mode("overwrite").parquet(judged_path)
     delta = final_writes(spark.read.schema(judged.schema).parquet(judged_path))
-    delta.write.mode("overwrite").parquet(f"{state_path}/delta/batch_id={batch_id}")
+    delta_path = f"{state_path}/delta/batch_id={batch_id}"
+    _cut(delta).write.mode("overwrite").partitionBy("bucket").parquet(delta_path)
 
 
 def stream_feed(
@@ -193,9 +220,11 @@ def stream_feed(
 ) -> StreamingQuery:
     """Apply all waiting feed files to the stored state, batch by batch.
 
-    Each micro-batch scans the stored state, keeps that of its own keys and
-    writes only their new values, in a folder named by the batch.
+    Each micro-batch reads the folders of the stored state that its instances
+    are in, and writes only the new values of its keys, in a folder named by the
+    batch. A state path without a base is an error.
     """
+    _base(spark, state_path)
     reader = spark.readStream.schema(S.ATTRIBUTE_FEED)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

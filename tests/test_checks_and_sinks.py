@@ -6,7 +6,6 @@ from seed import catalog, rows, table
 
 from fleetlens import schemas as S
 from fleetlens.operators import checks, lookup, views
-from fleetlens.operators.host_changes import insert_hosts
 from fleetlens.sources import documents, export, snapshots
 from fleetlens.sources import catalog as sources
 
@@ -108,44 +107,12 @@ def test_null_fields_are_in_the_document(spark, fleet, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0])["response"][0]["id"] == 1
 
 
-def asked_host(spark, name):
-    return spark.createDataFrame([(1, name, "5")], "request_id long, name string, memory string")
-
-
-def test_a_commit_writes_only_what_changed(spark, fleet, tmp_path):
-    root = str(tmp_path / "store")
-    assert snapshots.current_version(spark, root) is None
-    assert snapshots.commit_snapshot(fleet, root, None) == 0
-    written = {f for f in (tmp_path / "store" / "data").glob("*/*")}
-    state = snapshots.read_snapshot(spark, root)
-    assert set(state) == set(fleet)
-    n = fleet["host"].count()
-    assert snapshots.commit_change(insert_hosts(state, asked_host(spark, "new")), root, 0) == 1
-    more = {f for f in (tmp_path / "store" / "data").glob("*/*")} - written
-    assert [f.parent.name for f in more] == ["host"]
-    assert spark.read.parquet(str(*more)).count() == 1
-    now = snapshots.read_snapshot(spark, root)
-    assert now["host"].count() == n + 1
-    assert now["volume"].count() == fleet["volume"].count()
-    assert snapshots.read_snapshot(spark, root, version=0)["host"].count() == n
-    # rewritten: the folders of both versions stay readable
-    left = now["host"].where("name = 'new'")
-    assert snapshots.commit_snapshot({"host": left}, root, 1) == 2
-    assert snapshots.read_snapshot(spark, root, tables=["host"])["host"].count() == 1
-    assert snapshots.read_snapshot(spark, root, 1, ["host"])["host"].count() == n + 1
-
-
-def test_two_writers_from_one_version(spark, fleet, tmp_path):
-    root = str(tmp_path / "store")
-    snapshots.commit_snapshot({"host": fleet["host"]}, root, None)
-    state = snapshots.read_snapshot(spark, root)
-    assert snapshots.commit_change(insert_hosts(state, asked_host(spark, "one")), root, 0) == 1
-    with pytest.raises(snapshots.CommitConflict):
-        snapshots.commit_change(insert_hosts(state, asked_host(spark, "two")), root, 0)
-    names = {r["name"] for r in snapshots.read_snapshot(spark, root)["host"].collect()}
-    assert "one" in names and "two" not in names
-    with pytest.raises(FileNotFoundError):
-        snapshots.commit_snapshot({"host": fleet["host"]}, root, 7)
+def test_appended_rows_are_added(spark, fleet, tmp_path):
+    path, schema = str(tmp_path / "host"), "id long, name string, memory int"
+    assert snapshots.read_if_present(spark, schema, path).count() == 0
+    for _ in range(2):
+        snapshots.append_rows(fleet["host"].select("id", "name", "memory"), path)
+    assert snapshots.read_if_present(spark, schema, path).count() == 2 * fleet["host"].count()
 
 
 def test_catalog_views(spark, fleet, tmp_path):

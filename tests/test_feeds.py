@@ -1,5 +1,6 @@
 import datetime
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -123,6 +124,36 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert feed.read_outcomes(spark, state_path).count() == len(wanted)
 
 
+def test_a_batch_reads_the_folders_of_its_instances_only(spark, tmp_path):
+    state_path = str(tmp_path / "state")
+    writes = random_feed(50, 3, seed=2)
+    names = {w[S.ATTRIBUTE_FEED.fieldNames().index("name")] for w in writes} - {None}
+    state = {(i, name): f"v{i}" for i in range(200) for name in names}
+    feed.write_base(as_state(spark, state), state_path)
+    batch = spark.createDataFrame(writes, S.ATTRIBUTE_FEED)
+    instances = {w[S.ATTRIBUTE_FEED.fieldNames().index("instance_id")] for w in writes}
+    before = feed.state_before(spark, state_path, batch, 0)
+    plan = before._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+", plan), plan
+    asked = feed._base(spark, state_path).where(F.col("bucket").isin(
+        [r[0] for r in batch.select(feed.bucket_of()).distinct().collect()]
+    ))
+    files = asked.select(F.input_file_name()).distinct().count()
+    # an instance is in one bucket, which has at most four files
+    assert 0 < files <= 4 * len(instances) < len(feed._base(spark, state_path).inputFiles())
+    known = as_dict(before)
+    assert known and known.items() <= state.items() and {k[0] for k in known} <= instances
+
+
+def test_a_missing_state_is_an_error(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame(random_feed(5, 3, seed=2), S.ATTRIBUTE_FEED).write.parquet(source)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        feed.stream_feed(spark, source, str(tmp_path / "mistyped"), str(tmp_path / "checkpoint"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        feed.read_state(spark, str(tmp_path / "mistyped"))
+
+
 OBSERVED = [
     # fast success, then noise
     (1, 0, False, "running"), (1, 4, True, "succeeded"), (1, 6, True, "failed"),
