@@ -39,18 +39,23 @@ def tags(db_type: Column, category: Column) -> Column:
 
 
 def fill_path(template: Column, name: Column, version: Column, port: Column) -> Column:
-    """Fill a directory template; a NULL for a hole that it has gives NULL."""
-    holes = {
-        "{NAME}": F.upper(name),
-        "{name}": F.lower(name),
-        "{version}": version,
-        "{port}": port,
-    }
-    path, unfilled = template, F.lit(False)
-    for hole, value in holes.items():
-        path = F.replace(path, F.lit(hole), F.coalesce(value, F.lit("")))
-        unfilled = unfilled | (template.contains(hole) & value.isNull())
-    return F.when(~unfilled, path)
+    """Fill a directory template; a NULL for a hole that it has gives NULL.
+
+    The path is put together from the template's parts, so what a value holds is
+    never taken for a hole.
+    """
+
+    def filled(part: Column) -> Column:
+        return (
+            F.when(part == "{NAME}", F.upper(name))
+            .when(part == "{name}", F.lower(name))
+            .when(part == "{version}", version)
+            .when(part == "{port}", port)
+            .otherwise(part)
+        )
+
+    parts = F.transform(F.split(template, r"(?=\{)|(?<=\})"), filled)
+    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
 
 
 def last_entries(mapping: Column) -> Column:

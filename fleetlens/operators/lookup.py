@@ -97,18 +97,41 @@ def _wanted_hosts(name: Column) -> Column:
     return F.array_distinct(F.transform(F.split(name, ","), lambda host: F.trim(host)))
 
 
-def match_hosts(requests: DataFrame, instances: DataFrame) -> DataFrame:
-    """Pairs of ``request_id`` and instance ``id`` where all asked hosts are present.
+def on_rarest_host(requests: DataFrame, instances: DataFrame) -> DataFrame:
+    """Requests with the instances on the rarest of their hosts, before the other hosts are tested.
 
-    The join is on the first asked host only; the others are tested on the row,
-    so no pair has to be grouped.
+    Instances are counted per asked host, and the join is on the rarest host of
+    a request only; the others are tested on the row. So its rows are as many as
+    that host has instances, and no pair has to be grouped. A request for a host
+    that no instance has is out before the join.
     """
     asked = requests.select("request_id", _wanted_hosts(F.col("name")).alias("asked"))
-    asked = asked.withColumn("_host", F.get("asked", F.lit(0)))
+    each = asked.select("request_id", F.size("asked").alias("n"), F.explode("asked").alias("_on"))
     placed = instances.select("id", E.split_hosts(F.col("host")).alias("hosts"))
     placed = placed.select("id", "hosts", F.explode(F.array_distinct("hosts")).alias("_on"))
+    counts = asked_rows(placed.select("_on"), each, ["_on"]).groupBy("_on").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    rarest = (
+        each.join(counts, "_on")
+        .groupBy("request_id")
+        .agg(
+            F.min(F.struct("rows", "_on"))["_on"].alias("_on"),
+            (F.count(F.lit(1)) == F.first("n")).alias("all_known"),
+        )
+        .where("all_known")
+    )
+    return (
+        asked.join(rarest, "request_id")
+        .join(placed, "_on")
+        .select("request_id", "asked", "id", "hosts")
+    )
+
+
+def match_hosts(requests: DataFrame, instances: DataFrame) -> DataFrame:
+    """Pairs of ``request_id`` and instance ``id`` where all asked hosts are present."""
     return (
-        asked.join(placed, asked["_host"] == placed["_on"])
+        on_rarest_host(requests, instances)
         .where(F.size(F.array_except("asked", "hosts")) == 0)
         .select("request_id", "id")
     )

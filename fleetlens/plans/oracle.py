@@ -616,8 +616,13 @@ _BODIES: dict[str, str] = {
         FROM host_matches h JOIN metadata m ON m.id = h.id""",
     "f4_free_pool": "SELECT dns_name FROM free_names",
     "f5_metadata_rows": """
-        SELECT request_id, m.id, m.db_name, m.port, m.socket, m.n_volumes
-        FROM metadata_matches x JOIN metadata m ON m.id = x.id""",
+        SELECT request_id, p.id, p.db_name, p.port, p.socket,
+               cast(coalesce(v.n_volumes, 0) AS int) AS n_volumes
+        FROM metadata_matches x
+        JOIN instance_paths p ON p.id = x.id
+        LEFT JOIN (SELECT instance_id, count(*) AS n_volumes FROM volume GROUP BY 1) v
+        ON v.instance_id = p.id
+        WHERE p.db_type IN ('MYSQL', 'PG', 'InfluxDB', 'ORACLE', 'ORA')""",
     "f5_metadata_outcomes": """
         SELECT r.request_id,
                cast(CASE WHEN name IS NULL OR class = 'cluster' THEN 400

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from seed import catalog, rows, table
 
 from fleetlens import schemas as S
+from fleetlens.functions import scalars as E
 from fleetlens.operators import aggregates, lookup, ordering, views
 
 
@@ -298,3 +299,27 @@ def test_metadata_shuffles_each_table_once(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 3
+
+
+def test_hosts_are_joined_on_the_rarest_one(spark):
+    """Every instance is on ``a``, one on ``b``: the join has as many rows as ``b`` has instances."""
+    fleet_rows = [(n, f"db_{n}", "a,b" if n == 7 else "a,c" if n % 2 else "a") for n in range(400)]
+    instances = table(spark, "instances", fleet_rows, ["id", "db_name", "host"])
+    requests = host_requests(spark, "a,b", "b,a", "a,b,c", "a,nowhere", "c,a,a", "b")
+    candidates = lookup.on_rarest_host(requests, instances)
+    counted = candidates.groupBy("asked").agg(F.count("*").alias("n")).collect()
+    by_request = {tuple(r["asked"]): r["n"] for r in counted}
+    assert by_request == {("a", "b"): 1, ("b", "a"): 1, ("a", "b", "c"): 1, ("c", "a"): 199, ("b",): 1}
+    matches = lookup.match_hosts(requests, instances)
+    assert matches.where("id = 7").count() == 3 and matches.count() == 3 + 199
+
+
+def test_a_value_that_looks_like_a_hole_is_not_filled_again(spark):
+    df = spark.createDataFrame(
+        [("/x/{name}/{port}", "{port}{NAME}", "1{port}", "33"), ("{version}", "n", "{name}", None),
+         ("/a{port}b", "n", "v", None), ("{NAME}{name}/{version}.", "aB", "2", "1"), ("/plain", "n", None, None),
+         ("", "n", "v", "1")],
+        "t string, name string, version string, port string",
+    )
+    got = df.select(E.fill_path(F.col("t"), F.col("name"), F.col("version"), F.col("port"))).collect()
+    assert [r[0] for r in got] == ["/x/{port}{name}/33", "{name}", None, "ABab/2.", "/plain", ""]
