@@ -29,7 +29,9 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -61,8 +63,8 @@ def default_paths() -> tuple[str, str]:
 
 def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
     """Slices (from, to in A; from, to in B) between the ends that both lists have."""
-    a_at = {end: i + 1 for i, end in enumerate(a_ends)}
-    b_at = {end: i + 1 for i, end in enumerate(b_ends)}
+    a_at = dict(zip(a_ends, range(1, len(a_ends) + 1)))
+    b_at = dict(zip(b_ends, range(1, len(b_ends) + 1)))
     out, a, b = [], 0, 0
     for end in sorted(a_at.keys() & b_at.keys()):
         out.append((a, a_at[end], b, b_at[end]))
@@ -132,22 +134,27 @@ class Aligner(dict):
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
             raise ValueError("a piece of B reaches over a space or has a line feed")
 
-    def aligned(self, a: list[int], b: list[int], data: bytes) -> Aligned | None:
+    def aligned(self, a: list[int], b: list[int], data: bytes) -> tuple | None:
+        """The parts of :class:`Aligned` for the ids of both files; ``None`` if not given back."""
         a_parts = [self.a_bytes[i] for i in a]
         b_parts = [self.b_bytes[i] for i in b]
         if b"".join(a_parts) != data or b"".join(b_parts) != data:
             return None
-        a_ends = np.cumsum([len(p) for p in a_parts]).tolist()
-        b_ends = np.cumsum([len(p) for p in b_parts]).tolist()
-        texts, pairs, width = [], [], self.width
+        a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
+        a_texts, b_texts = list(map(str, a)), list(map(str, b))
+        texts, pairs, width = [], array("I"), self.width
         for group in groups_of(a_ends, b_ends):
             i, a_to, j, b_to = group
-            texts.append(",".join(map(str, a[i:a_to])) + "|" + ",".join(map(str, b[j:b_to])))
-            pairs += [a[i] * width + b[j] for i, j in links_of(a_ends, b_ends, group)]
-        packed = np.array(pairs, dtype="<u4").tobytes()
-        return Aligned(";".join(texts).encode(), packed, len(a) | len(b) << 40)
-
-    def _encoded(self, pieces: list[str]) -> list[Aligned | None]:
+            texts.append(f"{','.join(a_texts[i:a_to])}|{','.join(b_texts[j:b_to])}")
+            if a_to == i + 1 and b_to == j + 1:
+                pairs.append(a[i] * width + b[j])
+            else:
+                links = links_of(a_ends, b_ends, group)
+                pairs.extend([a[i] * width + b[j] for i, j in links])
+        # a plain tuple: there are many, and the garbage collector needn't follow it
+        return ";".join(texts).encode(), pairs.tobytes(), len(a) | len(b) << 40
+
+    def _encoded(self, pieces: list[str]) -> list[tuple | None]:
         """Align pieces that begin with a space or a line feed."""
         a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
         # B puts a space before what it gets; before a line feed it is a token of its own
@@ -167,7 +174,7 @@ class Aligner(dict):
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
             new = list({p for pieces in cut for p in pieces})
-        long: dict[str, Aligned | None] = {}
+        long: dict[str, tuple | None] = {}
         for piece, found in zip(new, self._encoded(new) if new else []):
             (self if len(piece) <= CACHED_CHARS else long)[piece] = found
         return [self._joined(t, p, long) for t, p in zip(texts, cut)]
@@ -183,7 +190,8 @@ class Aligner(dict):
             groups, pairs, tokens = zip(*found)
         except TypeError:  # a piece that isn't given back: judge the text as a whole
             a = self.a.encode(" " + text, add_special_tokens=False).ids
-            return self.aligned(a, self.b.encode(text), (" " + text).encode())
+            whole = self.aligned(a, self.b.encode(text), (" " + text).encode())
+            return Aligned(*whole) if whole else None
         return Aligned(b";".join(groups), b"".join(pairs), sum(tokens))
 
 
