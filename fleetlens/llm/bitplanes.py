@@ -10,7 +10,8 @@ payload.
 
 Null text is an empty text and has the end id only. Rows with the same
 ``doc_id`` follow one another, ordered by text. A null ``doc_id`` comes first.
-An empty table gives no block and no row.
+An empty table gives no block and no row. A very long text fills as many blocks
+as it needs.
 """
 
 from __future__ import annotations
@@ -69,23 +70,47 @@ def unpack(payload: bytes, ends: list[int], n: int, plane_bits: int = 8) -> np.n
 
 
 class LibraryIds(dict):
-    """Ids of pieces between white space, by the tokenizers library, as many as fit."""
+    """Ids of pieces between white space, by the tokenizers library, as many as fit.
+
+    Pieces are made of pre-tokens, each of which goes through the library once.
+    """
+
+    def __init__(self, tables: Tables):
+        super().__init__()
+        self.tables, self.words = tables, PretokenIds(tables)
+
+    def __missing__(self, piece: str) -> bytes:
+        words = self.words
+        if piece.isascii() and piece.isalpha():
+            out = words[piece]
+        elif piece.isascii() and piece[:-1].isalpha() and piece[-1] in ".,":
+            out = words[piece[:-1]] + words[piece[-1]]
+        else:
+            out = b"".join([words[part] for part in self.tables.words(piece)])
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = out
+        return out
+
+
+class PretokenIds(dict):
+    """Ids of pre-tokens; the short ones are kept, as many as fit."""
 
     def __init__(self, tables: Tables):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tables = tables
-        self.library = Tokenizer.from_str(tables.content.decode())
-        alone = tables.inner
-        self.signs = [tables.tokens[i] for i in alone]
+        self.model = Tokenizer.from_str(tables.content.decode()).model
+        self.signs = [tables.tokens[i] for i in tables.inner]
 
     def __missing__(self, word: str) -> bytes:
-        signs, ids = self.signs, array("I")
-        for part in self.tables.words(word):
-            own = "".join([signs[b] for b in self.tables.word_bytes(part)])
-            ids.extend([t.id for t in self.library.model.tokenize(own)])
-        out = ids.tobytes()
+        own = word  # a letter stands for itself
+        if not (word.isascii() and word.isalpha()):
+            signs = self.signs
+            own = "".join([signs[b] for b in self.tables.word_bytes(word)])
+        out = array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
