@@ -292,7 +292,8 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Model | None:
             [pa.array([pickle.dumps(fit(sorted(pairs)))], pa.binary())], ["model"]
         )
 
-    fitted = rows.select("text", "lang").coalesce(1).mapInArrow(work, "model binary").collect()
+    # the sample meets in one task, the scan that it is taken from doesn't
+    fitted = rows.select("text", "lang").repartition(1).mapInArrow(work, "model binary").collect()
     return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
