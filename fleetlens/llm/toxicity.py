@@ -16,8 +16,10 @@ class, taken in hash order; labels of the held-out fold are never read.
 
 Null text is an empty text. Empty texts get the score of a text without any
 feature. Repeated rows get equal scores. Without toxic training labels every
-score is 0. Only ``doc_id`` and ``text`` are read by name; extra columns don't
-matter. A null ``doc_id`` isn't held out.
+score is 0; an empty table gives an empty result. Only ``doc_id`` and ``text``
+are read; extra columns of any name and type are carried along as one struct.
+Very long texts are scored in one pass, in time proportional to their length. A
+null ``doc_id`` isn't held out.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ SAMPLE = 1500
 # by how much a word beginning must exceed what it continues to.
 MIN_SUPPORT, MIN_EVIDENCE, DOUBT, MORE_THAN_LONGER = 4, 2.5, 8.0, 1.3
 BEGINNINGS = (4, 5, 6)
-CACHE_ENTRIES = 1 << 17
+CACHE_ENTRIES = 1 << 18
 
 # What signs commonly stand for (fixed values).
 LEET = {
@@ -350,54 +352,110 @@ def fit(rows: list[tuple[str, int]], model: np.ndarray) -> tuple[dict[str, float
     return weights, (missed + 0.1) / (missed + n_clean + 1.0)
 
 
+NOTHING: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())
+
+
 class Scorer(dict):
-    """Chosen features of each token; of the tokens as many as fit are kept."""
+    """Chosen features of each token, and the beginnings of features that it may spell as a whole.
+
+    Of the tokens as many as fit are kept. A token is decoded only if one of its
+    readings comes by the word of a feature.
+    """
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], base: float):
         super().__init__()
         self.model, self.weights, self.base = model.tolist(), weights, base
-        words = [k.removeprefix("=") for k in weights]
-        self.starts = {w[:n] for w in words for n in range(len(w) + 1)}
-        self.begun: dict[str, set[str]] = {}  # tokens that a feature's word may begin with
-
-    def __missing__(self, token: str) -> frozenset[str]:
-        words = restored(token, self.model)
-        out = frozenset(k for w in words for k in keys(w) if k in self.weights)
-        begun = self._longer({""}, token) - {""}
+        self.words = {k.removeprefix("=") for k in weights}
+        self.starts = {w[:n] for w in self.words for n in range(len(w) + 1)}
+        self.steps: dict[tuple[str, str], frozenset[str]] = {}
+
+    def __missing__(self, token: str) -> tuple[frozenset[str], frozenset[str]]:
+        found: frozenset[str] = frozenset()
+        if self._reaches(token):
+            words = restored(token, self.model)
+            found = frozenset(k for w in words for k in keys(w) if k in self.weights)
+        begun = self._longer("", token) - {""}
+        out = (found, frozenset(begun)) if found or begun else NOTHING
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-            self.begun.clear()
-        if begun:
-            self.begun[token] = begun
         if len(token) <= 64:
             self[token] = out
         return out
 
-    def _longer(self, starts: set[str], token: str) -> set[str]:
+    def _reaches(self, token: str) -> bool:
+        """Whether any reading of a token comes by the word of a feature."""
+        plain = PLAIN.match(token).group()
+        if plain == token:
+            return plain in self.words or any(plain[:n] in self.words for n in BEGINNINGS)
+        at, letters_only = {""}, token.isalpha()
+        for step in _lattice(token):
+            reached = set()
+            for letters, _ in step:
+                if letters == " ":  # the end of a word, whatever it is, and a fresh start
+                    reached.add("")
+                    continue
+                for start in at:
+                    if start + letters in self.starts:
+                        reached.add(start + letters)
+            if not reached.isdisjoint(self.words):
+                return True
+            if letters_only and not reached:
+                return False
+            at = reached
+        return False
+
+    def _longer(self, start: str, token: str) -> set[str]:
         """Beginnings of features after one more token."""
         head = PLAIN.match(token).group()
-        again = {s for s in starts if s and s[-1] == head} if head == token else set()
-        starts = {s + head for s in starts if s + head in self.starts}
+        again = {start} if start and head == token == start[-1] else set()
+        starts = {start + head} if start + head in self.starts else set()
+        if not starts or head == token:
+            return starts | again
         for step in _lattice(token[len(head) :]):
             if not starts:
                 break
             starts = {s + x for s in starts for x, _ in step if x != " " and s + x in self.starts}
         return starts | again
 
-    def _joined(self, tokens: list[str], at: int) -> Iterator[str]:
-        """Features of words that are spread over the tokens from ``at`` on."""
-        starts, end = self.begun.get(tokens[at], set()), at + 1
-        while starts and end < len(tokens):
-            before, starts = starts, self._longer(starts, tokens[end])
-            end += 1
-            for word in starts - before:
-                found = [k for k in (f"={word}", word) if k in self.weights]
-                if found and len(word) >= LEAST:
-                    lost = self._lost(tokens, at, end, word)
-                    for k in found:
-                        odds = math.log(self.weights[k] / (1 - self.weights[k]))
-                        if lost <= odds - SURER:
-                            yield k
+    def _step(self, start: str, token: str) -> frozenset[str]:
+        out = self.steps.get((start, token))
+        if out is None:
+            out = frozenset(self._longer(start, token))
+            if len(self.steps) >= CACHE_ENTRIES:
+                self.steps.clear()
+            if len(token) <= 64:
+                self.steps[(start, token)] = out
+        return out
+
+    def _joined(self, tokens: list[str], begun: list[frozenset[str]]) -> Iterator[str]:
+        """Features of words that are spread over several tokens, in one pass.
+
+        Open are the beginnings of features that the tokens up to here spell,
+        each with the last place from which they do: there is one per beginning.
+        """
+        opened: dict[str, int] = {}
+        for i, (token, own) in enumerate(zip(tokens, begun)):
+            if not opened and not own:
+                continue
+            now: dict[str, int] = {}
+            for start, at in opened.items():
+                for longer in self._step(start, token):
+                    if now.get(longer, -1) < at:
+                        now[longer] = at
+            for word, at in now.items():
+                if word in self.words and len(word) >= LEAST and opened.get(word) != at:
+                    yield from self._if_likely(tokens, at, i + 1, word)
+            now.update(dict.fromkeys(own, i))
+            opened = now
+
+    def _if_likely(self, tokens: list[str], at: int, end: int, word: str) -> Iterator[str]:
+        """The features of ``word`` that its reading of ``tokens[at:end]`` is likely enough for."""
+        lost = self._lost(tokens, at, end, word)
+        for k in (f"={word}", word):
+            if k in self.weights:
+                odds = math.log(self.weights[k] / (1 - self.weights[k]))
+                if lost <= odds - SURER:
+                    yield k
 
     def _lost(self, tokens: list[str], at: int, end: int, word: str) -> float:
         """By how much ``tokens[at:end]`` as ``word`` is less likely than the best reading."""
@@ -417,13 +475,11 @@ class Scorer(dict):
 
     def score(self, text: str) -> float:
         tokens = text.lower().split()
-        found: set[str] = set()
-        for features in map(self.__getitem__, tokens):
-            if features:
-                found |= features
-        for at, token in enumerate(tokens):
-            if token in self.begun:
-                found.update(self._joined(tokens, at))
+        known = list(map(self.__getitem__, tokens))
+        found = set().union(*[features for features, _ in known if features])
+        begun = [own for _, own in known]
+        if any(begun):
+            found.update(self._joined(tokens, begun))
         doubt = 1 - self.base
         for k in sorted(found):
             doubt *= 1 - self.weights[k]
@@ -461,36 +517,41 @@ def train(df: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[np.ndar
             ["key", "weight"],
         )
 
-    sample = _sample(df, labels, size).coalesce(1)  # a bounded sample
+    # a bounded sample; the scan it is taken from stays spread over tasks
+    sample = _sample(df, labels, size).repartition(1)
     fitted = sample.mapInArrow(work, "key string, weight double").collect()  # chosen features
     weights = {r["key"]: r["weight"] for r in fitted if r["key"] is not None}
     return model, weights, next((r["weight"] for r in fitted if r["key"] is None), 0.0)
 
 
 def score(df: DataFrame, trained: tuple[np.ndarray, dict, float]) -> DataFrame:
-    """All columns of ``df`` and ``toxicity``, the score of the restored text."""
+    """``row``, all columns of ``df`` as one struct, and ``toxicity``, the score of the restored text."""
     shared = share(df.sparkSession, (uuid.uuid4().hex, trained))
-    names = [*df.columns, "toxicity"]
-    given = df.withColumn("_toxicity_text", F.coalesce(df["text"].cast("string"), F.lit("")))
+    given = df.select(
+        F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"),
+        F.coalesce(df["text"].cast("string"), F.lit("")).alias("text"),
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, parts = shared.value
         scorer = kept(("toxicity", name), lambda: Scorer(*parts))
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(scores, pa.float64())], ["row", "toxicity"]
+            )
 
-    schema = df.schema.add("toxicity", "double")
+    schema = given.select("row").schema.add("toxicity", "double")
     return given.mapInArrow(work, schema)
 
 
 def toxicity(df: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
     scored = score(df.select("doc_id", "text"), train(df, labels))
+    doc_id = F.col("row.doc_id")
     return scored.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
+        doc_id.alias("doc_id"),
+        held_out(doc_id).alias("held_out"),
         F.col("toxicity").alias("score"),
         F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
     )

@@ -1,7 +1,10 @@
 import itertools
+import time
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import language_id, toxicity
 
@@ -146,3 +149,67 @@ def test_spaced_words_beside_others_are_found(spark):
     hidden += ["the id iot day", "a los er", "you stu pi d fox", "l 0 s 3 r", "a mor0 n", "y o u a r e a n i d i o t"]
     clean = ["g o o d d o o r", "in the little day", "a b c d e f", "y o u a r e t h e f o x", "to off you is a day"]
     assert predicted(spark, [*hidden, *clean]) == hidden
+
+
+def slow_score(scorer, text):
+    """The score with every token decoded and a fresh look ahead from each of them."""
+    tokens = text.lower().split()
+    found = {
+        k for t in tokens for w in toxicity.restored(t, scorer.model) for k in toxicity.keys(w)
+        if k in scorer.weights
+    }
+    for at in range(len(tokens)):
+        starts = scorer._longer("", tokens[at]) - {""}
+        for end in range(at + 1, len(tokens)):
+            before, starts = starts, {x for s in starts for x in scorer._longer(s, tokens[end])}
+            for word in sorted(starts - before):
+                if word in scorer.words and len(word) >= toxicity.LEAST:
+                    found.update(scorer._if_likely(tokens, at, end + 1, word))
+    doubt = 1 - scorer.base
+    for k in sorted(found):
+        doubt *= 1 - scorer.weights[k]
+    return 1 - doubt
+
+
+@pytest.fixture(scope="module")
+def insults():
+    rng = np.random.default_rng(3)
+    rows, labels = insulting_corpus(rng)
+    text = "  ".join(t for _, t in rows)
+    n = toxicity.sign_numbers(f" {text} ")
+    codes = (n[:-2] * toxicity.SIGNS + n[1:-1]) * toxicity.SIGNS + n[2:]
+    model = toxicity.log_model(np.bincount(codes, minlength=toxicity.SIGNS**3))
+    weights, base = toxicity.fit(sorted((t, k) for (_, t), (_, k) in zip(rows, labels)), model)
+    return toxicity.Scorer(model, weights, base), rows
+
+
+def test_one_pass_equals_decoding_everything(insults):
+    scorer, rows = insults
+    rng = np.random.default_rng(8)
+    parts = [*CLEAN, *INSULTS, "1d10t", "xx-1diot", "i", "d", "o", "t", "-", "m*ron", "stu", "pid", "l", "0",
+             "s", "e", "r", "a", "aa", "lo", "ser.", "id", "iot", "id,iot", "(idiot", "7", "...", "ooo"]
+    texts = [t for _, t in rows[:20]] + ["", "xx-1diot", "i d i d i o t", "s t u p i d i o t"]
+    texts += [" ".join(str(w) for w in rng.choice(parts, 25)) for _ in range(150)]
+    assert insults[0].weights and all(
+        scorer.score(t) == pytest.approx(slow_score(scorer, t), abs=1e-12) for t in texts
+    )
+
+
+@pytest.mark.parametrize("piece", ["a ", "i - ", "i d i ", "a1 ", "idiot ", "i", "x" * 30 + " "])
+def test_time_grows_with_the_length_of_a_text(insults, piece):
+    scorer, _ = insults
+    began = time.perf_counter()
+    scorer.score(piece * 20_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_other_columns_of_any_name_are_carried_along(spark):
+    rows, labels = insulting_corpus(np.random.default_rng(3))
+    docs, marks = tables(spark, rows, labels)
+    names = ["toxicity", "_toxicity_text", "row", "_text", "a.b"]
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names], F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+    scored = toxicity.score(wide, toxicity.train(wide, marks))
+    assert scored.select("row.*").columns == wide.columns
+    row = scored.where("row.doc_id = 0").first()
+    assert [row["row"][n] for n in names] == names and row["row"]["map"] == {"k": 1}
+    assert row["toxicity"] >= 0.5
