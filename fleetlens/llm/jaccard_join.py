@@ -35,9 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from fleetlens.llm.components import components
+from fleetlens.llm.native import packed
 from fleetlens.session import ship_package, stored
 
 WORDS, THRESHOLD = 5, 0.8
@@ -475,21 +475,25 @@ def one_of_each(df: DataFrame, runs: int | None = None) -> DataFrame:
     """
     judged = _judged(df, runs)
     others = judged.where("class_id != doc_id OR class_set != set_id")
-    others = others.select("doc_id", F.col("set_id").alias("_set_id")).distinct()
-    kept = _with_set_id(df).join(others, ["doc_id", "_set_id"], "left_anti")
-    return kept.dropDuplicates(df.columns).select(*df.columns)
+    others = others.select("doc_id", "set_id").distinct()
+    rows = _with_set_id(df)
+    same = (rows["row.doc_id"] == others["doc_id"]) & (rows["set_id"] == others["set_id"])
+    kept = rows.join(others, same, "left_anti").select("row")
+    # a map can't be compared, its text can
+    maps = "map<" in df.schema.simpleString()
+    once = kept.withColumn("whole", F.to_json("row") if maps else F.lit(None).cast("string"))
+    return once.dropDuplicates(["whole"] if maps else ["row"]).select("row.*")
 
 
 def _with_set_id(df: DataFrame) -> DataFrame:
-    """``df`` and ``_set_id``, the number of the set of each row's text."""
-    names = [*df.columns, "_set_id"]
+    """``row``, all columns of ``df`` as one struct, and ``set_id``, the number of its text's set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            ids = pa.array([set_id(shingles(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names)
+            ids = [set_id(shingles(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.int64())], ["row", "set_id"]
+            )
 
-    given = df.withColumn("_text", F.col("text").cast("string"))
-    schema = StructType([*df.schema.fields, StructField("_set_id", LongType())])
-    return given.mapInArrow(work, schema)
+    given = packed(df, "text").withColumn("text", F.col("text").cast("string"))
+    return given.mapInArrow(work, given.select("row").schema.add("set_id", "long"))

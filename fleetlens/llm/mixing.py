@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import SPACE, WORD
+from fleetlens.llm.native import SPACE, WORD, packed, unpacked
 from fleetlens.session import stored
 
 WEIGHTS = (3, 1, 2)
@@ -196,6 +196,7 @@ def mixed(
         F.struct(F.col("source"), "epochs", "cut_key", "cut_words").alias("_mix_aim"),
         F.col("source").alias("_mix_source"),
     )
+    df = packed(df, "doc_id", "source", "text", "n_chars")
     text = df["text"].cast("string")
     rows = df.withColumn("_mix_key", key_of(df["doc_id"], text, seed)).join(
         aims, df["source"].cast("string").eqNullSafe(F.col("_mix_source"))
@@ -221,4 +222,4 @@ def mixed(
         out = out.withColumn(
             "n_chars", F.when(partial, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
         )
-    return out.select(*df.columns)
+    return unpacked(out, "text", "n_chars")

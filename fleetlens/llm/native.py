@@ -24,3 +24,18 @@ def words(text: Column) -> Column:
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """``row``, all columns of any name as one struct, and copies of those that ``df`` has of ``names``."""
+    row = F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")
+    return df.select(row, *[df[c].alias(c) for c in names if c in df.columns])
+
+
+def unpacked(df: DataFrame, *changed: str) -> DataFrame:
+    """The columns of ``row``, with the changed ones in their places."""
+    row = F.col("row")
+    for name in changed:
+        if name in df.columns:
+            row = row.withField(name, F.col(name))
+    return df.select(row.alias("row")).select("row.*")

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.native import let
+from fleetlens.llm.native import let, packed, unpacked
 from fleetlens.session import stored
 
 # The base rule (fixed by the contract): kind, pattern, group judged, least length.
@@ -289,6 +289,7 @@ def redacted(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     The models are trained first; the texts are then scanned where they are.
     """
     model = train(stored(scanned(df)))
+    df = packed(df, "text", "n_chars")
     text = df["text"].cast("string")
     own = {
         f"_secret_{kind}": _found(F.coalesce(text, F.lit("")), *rule) for kind, rule in KINDS.items()
@@ -335,4 +336,4 @@ def redacted(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         out = out.withColumn(
             "n_chars", F.when(some, F.length("_secret_text").cast(kind)).otherwise(F.col("n_chars"))
         )
-    return out.withColumn("text", F.col("_secret_text")).select(*df.columns)
+    return unpacked(out.withColumn("text", F.col("_secret_text")), "text", "n_chars")

@@ -3,7 +3,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, jaccard_join, mixing
+from fleetlens.llm import bpe, jaccard_join, mixing, secret_scans, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,3 +31,16 @@ def test_no_near_copies_stay(spark):
     kept = jaccard_join.one_of_each(docs)
     assert jaccard_join.join(kept).where(F.col("n_links") > 0).count() == 0
     assert mixing.mixed(kept).columns == docs.columns
+
+
+def test_other_columns_of_any_name_and_type_pass_all_stages(spark, docs):
+    names = ["toxicity", "_text", "_set_id", "_toxicity_text", "_secret_all", "_mix_key", "row", "a.b"]
+    wide = docs.select(
+        "*", *[F.lit(n).alias(n) for n in names], F.create_map(F.lit("k"), F.lit(1)).alias("map")
+    )
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score(wide, toxicity.train(wide, labels)).select("row.*")
+    for out in (scored, jaccard_join.one_of_each(wide), secret_scans.redacted(wide), mixing.mixed(wide)):
+        assert out.columns == wide.columns
+        for row in out.collect():
+            assert [row[n] for n in names] == names and row["map"] == {"k": 1}
