@@ -21,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the toxicity model rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.where(F.col("toxicity") < 0.5).select(*docs.columns)
+    return scored.where(F.col("toxicity") < 0.5).select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
