@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,21 +67,99 @@ def orphans(
     )
 
 
+# What a rule looks for: a key on several rows, any broken row, or a key without a parent.
+_REPEATED, _BROKEN, _ORPHAN = "repeated", "broken", "orphan"
+
+
+@dataclass(frozen=True)
+class _Rule:
+    table: str
+    rule: str
+    kind: str
+    key: str | None = None  # the text to show instead of the key's values
+
+
+def _mark(number: int, holds: Column, values: list[str], own: bool = True) -> Column:
+    shown = F.array(*[F.col(c).cast("string") for c in values]).cast("array<string>")
+    return F.when(
+        holds,
+        F.struct(F.lit(number).alias("mark"), shown.alias("values"), F.lit(own).alias("own")),
+    )
+
+
+def _report(
+    tables: Catalog,
+    unique: dict[str, tuple[tuple[str, ...], ...]],
+    children: tuple[str, ...] = (),
+) -> DataFrame:
+    """All violations from one scan per table and one aggregation.
+
+    A row becomes one mark per key it has and per rule it breaks; the marks of all
+    tables are counted together, with partial counts before the only shuffle. A
+    parent's id is a mark of the children's rules that isn't ``own``, so orphans
+    need no join. Keys are compared whole, a NULL apart from an empty text.
+    """
+    rules: list[_Rule] = []
+    marks: dict[str, list[Column]] = {name: [] for name in tables}
+
+    def add(rule: _Rule, holds: Column, values: list[str]) -> int:
+        rules.append(rule)
+        marks[rule.table].append(_mark(len(rules) - 1, holds, values))
+        return len(rules) - 1
+
+    for name in tables:
+        spec = S.TABLES[name]
+        for key in unique[name]:
+            some = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in key])
+            add(_Rule(name, "unique:" + ",".join(key), _REPEATED), some, list(key))
+        for rule, column, broken in _null(spec.required) + _over(spec.limits):
+            add(_Rule(name, rule, _BROKEN, column), broken, [])
+        if name in children:
+            lost = _Rule(name, "orphan:instance_id", _ORPHAN)
+            number = add(lost, F.col("instance_id").isNotNull(), ["instance_id"])
+            parent = _mark(number, F.col("id").isNotNull(), ["id"], own=False)
+            marks["instances"].append(parent)
+
+    marked = [
+        df.select(F.inline(F.array_compact(F.array(*marks[name]))))
+        for name, df in tables.items()
+        if marks[name]
+    ]
+    counted = (
+        reduce(DataFrame.unionByName, marked)
+        .groupBy("mark", "values")
+        .agg(F.count_if("own").alias("n"), F.count_if(~F.col("own")).alias("parents"))
+    )
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(r.table).alias("table"),
+                F.lit(r.rule).alias("rule"),
+                F.lit(r.key).cast("string").alias("key"),
+                F.lit(2 if r.kind == _REPEATED else 1).cast("bigint").alias("least"),
+            )
+            for r in rules
+        ]
+    )
+    found = counted.withColumn("rule", F.get(listed, F.col("mark")))
+    broken = (F.col("n") >= F.col("rule.least")) & (F.col("parents") == 0)
+    return found.where(broken).select(
+        "rule.rule",
+        F.coalesce("rule.key", F.array_join("values", "|", "")).alias("key"),
+        "n",
+        "rule.table",
+    )
+
+
 def check(
     df: DataFrame, table: S.Table, unique: tuple[tuple[str, ...], ...] | None = None
 ) -> DataFrame:
     """All violations of a table's declared rules. ``unique`` overrides its keys."""
-    reports = [duplicates(df, list(key)) for key in (table.unique if unique is None else unique)]
-    reports.append(_counted(df, _null(table.required) + _over(table.limits)))
-    return reduce(DataFrame.unionByName, reports).withColumn("table", F.lit(table.name))
+    return _report({table.name: df}, {table.name: table.unique if unique is None else unique})
 
 
 def check_catalog(catalog: Catalog) -> DataFrame:
     """All violations of all tables, with the children that lost their instance."""
-    reports = [check(df, S.TABLES[name]) for name, df in catalog.items()]
-    if "instances" in catalog:
-        for name in ("attribute", "volume"):
-            if name in catalog:
-                lost = orphans(catalog[name], catalog["instances"])
-                reports.append(lost.withColumn("table", F.lit(name)))
-    return reduce(DataFrame.unionByName, reports)
+    known = [name for name in ("attribute", "volume") if name in catalog]
+    children = tuple(known) if "instances" in catalog else ()
+    return _report(catalog, {name: S.TABLES[name].unique for name in catalog}, children)

@@ -38,6 +38,40 @@ def test_checks(spark, fleet):
     assert checks.check(fleet["attribute"], S.ATTRIBUTE, unique=()).count() == 0
 
 
+def test_report_reads_each_table_once(spark, fleet, tmp_path):
+    for name, df in fleet.items():
+        df.write.parquet(str(tmp_path / name))
+    report = checks.check_catalog(sources.read_catalog(spark, str(tmp_path), list(fleet)))
+    plan = report._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == len(fleet) and "Join" not in plan
+    whole = report._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange") == 1 and "SortAggregate" not in whole
+
+
+def test_report_compares_whole_keys(spark):
+    definitions = [("a|b", "c", None, None), ("a", "b|c", None, None), ("x", "y", None, None),
+                   ("x", "y", None, ""), ("x", "y", None, None), (None, None, None, None)]
+    df = table(spark, "command_definition", definitions, S.COMMAND_DEFINITION.columns)
+    assert rows(checks.check(df, S.COMMAND_DEFINITION), "rule", "key", "n") == [
+        ("not_null", "command_name", 1),
+        ("not_null", "type", 1),
+        ("unique:command_name,type,category", "x|y|", 2),
+    ]
+    assert checks.check(df.limit(0), S.COMMAND_DEFINITION).count() == 0
+
+
+def test_report_finds_orphans_of_every_size(spark, fleet):
+    hot = spark.range(3000).selectExpr("id + 1000 AS id", "77L AS instance_id")
+    more = hot.selectExpr("id", "instance_id", "concat('n', id) AS name", "'v' AS value")
+    nameless = more.limit(1).selectExpr("5000L AS id", "CAST(NULL AS long) AS instance_id", "name", "value")
+    children = fleet["attribute"].unionByName(more).unionByName(nameless)
+    report = checks.check_catalog({"instances": fleet["instances"], "attribute": children})
+    assert rows(report.where("rule <> 'unique:instance_id,name'"), "table", "rule", "key", "n") == [
+        ("attribute", "not_null", "instance_id", 1),
+        ("attribute", "orphan:instance_id", "77", 3000),
+    ]
+
+
 def test_reject_table(spark):
     good = '{"username":"u","class":"T","creation_date":"2020-01-01","db_type":"PG","db_name":"n","hosts":["a"]}'
     docs = spark.createDataFrame(
