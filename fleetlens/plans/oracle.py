@@ -350,6 +350,10 @@ CTES: dict[str, str] = {
                CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN NULL
                     ELSE cast(event_id AS int) END AS memory
         FROM events""",
+    "host_delete_requests": """
+        SELECT event_id AS request_id, 'host' || cast(user_id AS varchar)
+               || CASE WHEN user_id % 3 = 0 THEN '_gone' ELSE '' END AS name
+        FROM events""",
     "host_judged": """
         SELECT r.*, h.id AS host_id FROM host_requests r LEFT JOIN host h ON h.name = r.name""",
     "inserted_hosts": """
@@ -431,7 +435,11 @@ def _with_ctes(body: str) -> str:
         for name, sql in CTES.items()
         if name in needed
     ]
-    return f"WITH {', '.join(listed)} {body}" if listed else body
+    if not listed:
+        return body
+    own = body.strip()
+    joint = ", " + own[len("WITH ") :] if own.startswith("WITH ") else " " + own
+    return f"WITH {', '.join(listed)}{joint}"
 
 
 AFFECTED = "cast(CASE WHEN status IN (200, 201, 204) THEN {n} ELSE 0 END AS bigint) AS affected"
@@ -510,32 +518,24 @@ DURATIONS = """count(*) AS count,
     cast(round(avg(date_diff('day', creation_date, completion_date)) * 86400) AS bigint)
         AS mean_duration"""
 
-COUNTED = [
-    ("instances", "orders", "count(DISTINCT o_orderkey)"),
-    ("attribute", "attribute", "count(DISTINCT id)"),
-    ("volume", "volume", "count(DISTINCT id)"),
-    ("host", "supplier", "count(DISTINCT s_suppkey)"),
-    ("functional_aliases", "part", "count(DISTINCT p_partkey)"),
-    ("jobs", "jobs", "count(DISTINCT username)"),
-    (
-        "command_definition",
-        "(SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders)",
-        "count(DISTINCT o_orderpriority)",
-    ),
-    ("command_params", "lineitem", "count(DISTINCT l_suppkey % 50)"),
-    ("instance_changes", "events", "count(DISTINCT user_id % 50)"),
-    ("upgrades", "part", "count(DISTINCT p_brand)"),
-    ("owners", "customer", "count(DISTINCT c_custkey)"),
-]
+def _content(table: S.Table) -> str:
+    shown = " || '|' || ".join(f"coalesce(cast(\"{c}\" AS varchar), '~')" for c in table.columns)
+    return f"""
+        SELECT '{table.name}' AS table_name, count(*) AS n_rows,
+               count(DISTINCT "{table.columns[0]}") AS n_first,
+               cast(sum(cast('0x' || left(md5({shown}), 8) AS bigint)) AS bigint) AS content
+        FROM {table.name}"""
+
+
+def _document(envelope: str, row: str, order: str) -> str:
+    return f"""'{{"{envelope}":[' || string_agg({row}, ',' ORDER BY {order}) || ']}}' AS document"""
+
 
 _METADATA = "id, username, db_name, class, db_type, version, hosts, attributes, port, volumes, " \
     "n_volumes, basedir, bindir, datadir, logdir, socket"
 
 _BODIES: dict[str, str] = {
-    "s1_catalog_scan": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS n_rows, {first} AS n_first FROM {source}"
-        for name, source, first in COUNTED
-    ),
+    "s1_catalog_scan": " UNION ALL ".join(_content(t) for t in S.TABLES.values()),
     "s2_pass_through_views": """
         SELECT i.db_name, i.db_type, c.n_changes, j.n_jobs FROM instances i
         LEFT JOIN (SELECT 'db_' || cast(user_id AS varchar) || '_x' AS db_name,
@@ -546,9 +546,18 @@ _BODIES: dict[str, str] = {
     "s3_documents_good": """
         SELECT request_id, 'user' || cast(o_custkey % 50 AS varchar) AS username,
                'TEST' AS class, DATE '2016-07-20' AS creation_date, 'MYSQL' AS db_type, db_name,
-               cast(o_custkey % 100 AS int) AS db_size, host,
-               cast(n_attributes AS int) AS n_attributes, cast(n_volumes AS int) AS n_volumes
-        FROM create_requests WHERE reason IS NULL""",
+               cast(o_custkey % 100 AS int) AS db_size, '5.6.17' AS version, host,
+               coalesce(a.attributes, '') AS attributes, coalesce(v.volumes, '') AS volumes
+        FROM create_requests LEFT JOIN (
+            SELECT l_orderkey, string_agg('attr' || l_linenumber || '|' || (l_linenumber + 7000),
+                                          ';' ORDER BY l_linenumber) AS attributes
+            FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey) a
+        ON a.l_orderkey = o_orderkey LEFT JOIN (
+            SELECT l_orderkey, string_agg('grp|0755|nas|rw|own|/MNT/s' || l_suppkey,
+                                          ';' ORDER BY l_suppkey) AS volumes
+            FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY l_orderkey) v
+        ON v.l_orderkey = o_orderkey
+        WHERE reason IS NULL""",
     "s3_documents_rejected": """
         SELECT request_id, reason FROM create_requests WHERE reason IS NOT NULL""",
     "s4_append_volumes": f"""
@@ -561,20 +570,40 @@ _BODIES: dict[str, str] = {
                || {_xml("port", "port")} || {_xml("tags", "tags")} || '/>' AS line
         FROM last_nodes""",
     "s5_node_list_xml": """
-        SELECT db_name AS name, hostname, username, category AS type, db_type AS subcategory,
+        SELECT db_name AS name, '' AS description, hostname, username, category AS type, db_type AS subcategory,
                port, tags FROM last_nodes""",
     "s6_alias_documents": """
         SELECT request_id, count(*) AS n_rows,
                '{"response":[' || string_agg('{"dns_name":"' || dns_name || '","alias":"'
                    || alias || '"}', ',' ORDER BY dns_name) || ']}' AS document
         FROM name_requests JOIN functional_aliases USING (db_name) GROUP BY request_id""",
-    "s6_owner_documents": """
-        SELECT request_id, count(*) AS n_rows, min(owner_login) AS owner_login
-        FROM name_requests JOIN owners ON db_name = instance_name GROUP BY request_id""",
-    "s6_metadata_documents": """
-        SELECT request_id, count(*) AS n_rows,
-               arg_min(m.db_name, m.id) AS first_db_name
-        FROM host_matches h JOIN metadata m ON m.id = h.id GROUP BY request_id""",
+    "s6_owner_documents": f"""
+        SELECT request_id, count(*) AS n_rows, {_document("data", "row", "row")}
+        FROM (SELECT request_id, cast(json_object({", ".join(
+            f"'{c}', o.{c}" for c in S.OWNERS.columns)}) AS varchar) AS row
+              FROM name_requests r JOIN owners o ON r.db_name = o.instance_name)
+        GROUP BY request_id""",
+    "s6_metadata_documents": f"""
+        WITH attribute_docs AS (
+            SELECT instance_id, '{{' || string_agg('"' || name || '":"' || value || '"', ','
+                                                   ORDER BY name) || '}}' AS attributes
+            FROM attribute GROUP BY instance_id),
+        volume_docs AS (
+            SELECT instance_id, '[' || string_agg(cast(json_object({", ".join(
+                f"'{c}', " + chr(34) + c + chr(34) for c in S.VOLUME.columns)}) AS varchar), ','
+                                                  ORDER BY id) || ']' AS volumes
+            FROM volume GROUP BY instance_id),
+        instance_docs AS (
+            SELECT m.id, cast(json_object('id', m.id, 'username', username, 'db_name', db_name,
+                       'class', class, 'db_type', db_type, 'version', version,
+                       'hosts', string_split(hosts, ','), 'attributes', cast(a.attributes AS json),
+                       'port', port, 'volumes', cast(coalesce(v.volumes, '[]') AS json),
+                       'basedir', basedir, 'bindir', bindir, 'datadir', datadir,
+                       'logdir', logdir, 'socket', socket) AS varchar) AS row
+            FROM metadata m LEFT JOIN attribute_docs a ON a.instance_id = m.id
+            LEFT JOIN volume_docs v ON v.instance_id = m.id)
+        SELECT request_id, count(*) AS n_rows, {_document("response", "d.row", "d.id")}
+        FROM host_matches h JOIN instance_docs d ON d.id = h.id GROUP BY request_id""",
     "p1_instance_view": f"""
         SELECT {INSTANCE_COLUMNS.replace("category", "category AS class")} FROM instances""",
     "p2_attribute_view": "SELECT id, instance_id, name, value FROM attribute",
@@ -770,11 +799,13 @@ _BODIES: dict[str, str] = {
         SELECT h.id, h.name, coalesce(u.memory, h.memory) AS memory
         FROM host h LEFT JOIN updated_hosts u ON u.id = h.id""",
     "m9_host_delete_outcomes": _outcomes(
-        "host_judged", "CASE WHEN host_id IS NULL THEN 404 ELSE 200 END"
+        "(SELECT r.request_id, h.id AS host_id FROM host_delete_requests r "
+        "LEFT JOIN host h ON h.name = r.name)",
+        "CASE WHEN host_id IS NULL THEN 404 ELSE 200 END"
     ),
     "m9_host_delete_state": """
         SELECT id, name, memory FROM host
-        WHERE name NOT IN (SELECT name FROM host_requests)""",
+        WHERE name NOT IN (SELECT name FROM host_delete_requests)""",
     "m10_alias_allocate_outcomes": _outcomes("alias_judged"),
     "m10_alias_allocate_state": """
         SELECT a.dns_name, coalesce(g.db_name, a.db_name) AS db_name,
@@ -824,6 +855,7 @@ _BODIES: dict[str, str] = {
                                ('purchase', 'error')) AS state
                     FROM events GROUP BY user_id))""",
 }
+_BODIES["j9_metadata_by_key"] = _BODIES["j9_metadata"]
 _BODIES["t1_stream_state"] = _BODIES["t1_feed_state"]
 _BODIES["t2_stream_outcomes"] = _BODIES["t2_job_outcomes"]
 

@@ -55,6 +55,11 @@ def _volumes_text(volumes: Column) -> Column:
     )
 
 
+def _joined(rows: Column, fields: list[str]) -> Column:
+    """An array of structs as text: ``|`` between fields, ``;`` between rows."""
+    return F.array_join(F.transform(rows, lambda r: F.concat_ws("|", *[r[f] for f in fields])), ";")
+
+
 def _flat_metadata(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
@@ -69,6 +74,13 @@ def _flat_metadata(df: DataFrame) -> DataFrame:
 # -- sources and sinks --------------------------------------------------------------
 
 
+def _row_number(df: DataFrame) -> Column:
+    """A number made from all values of a row; sums of it compare whole tables."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]
+    digest = F.md5(F.concat_ws("|", *shown).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
 @query("s1_catalog_scan")
 def s1_catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark)
@@ -78,8 +90,10 @@ def s1_catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, df in catalog.read_catalog(spark, root).items():
         first = S.TABLES[name].columns[0]
         row = df.agg(
-            F.count(F.lit(1)).alias("n_rows"), F.count_distinct(first).alias("n_first")
-        ).select(F.lit(name).alias("table_name"), "n_rows", "n_first")
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_distinct(first).alias("n_first"),
+            F.sum(_row_number(df)).alias("content"),
+        ).select(F.lit(name).alias("table_name"), "n_rows", "n_first", "content")
         counts = row if counts is None else counts.unionByName(row)
     return counts
 
@@ -113,9 +127,10 @@ def s3_documents_good(spark: SparkSession, sf_dir: str) -> DataFrame:
         "db_type",
         "db_name",
         "db_size",
+        "version",
         "host",
-        F.size("attributes").alias("n_attributes"),
-        F.size("volumes").alias("n_volumes"),
+        _joined(F.col("attributes"), ["key", "value"]).alias("attributes"),
+        _joined(F.col("volumes"), S.VOLUME_DOC_FIELDS).alias("volumes"),
     )
 
 
@@ -145,7 +160,7 @@ def s5_node_list_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     export.write_node_list(_inventory(spark, sf_dir), path)
     fields = ", ".join(f"_{name} string" for name, _ in export.NODE_ATTRIBUTES)
     nodes = spark.read.format("xml").schema(fields).options(rowTag="node").load(path)
-    return nodes.select(*[F.col(f"_{n}").alias(n) for n, _ in export.NODE_ATTRIBUTES if n != "description"])
+    return nodes.select(*[F.col(f"_{n}").alias(n) for n, _ in export.NODE_ATTRIBUTES])
 
 
 @query("s6_alias_documents")
@@ -166,9 +181,7 @@ def s6_owner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.owner_view(binding.owners(spark, sf_dir)),
         {"db_name": "instance_name"},
     )
-    sent = export.to_documents(rows, "request_id", envelope="data")
-    owner = F.get_json_object("document", "$.data[0].owner_login")
-    return sent.select("request_id", "n_rows", owner.alias("owner_login"))
+    return export.to_documents(rows, "request_id", envelope="data")
 
 
 @query("s6_metadata_documents")
@@ -176,9 +189,7 @@ def s6_metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lookup.instances_on_hosts(
         binding.host_name_requests(spark, sf_dir), _view_tables(spark, sf_dir)
     )
-    sent = export.to_documents(rows, "request_id", order=["id"])
-    first = F.get_json_object("document", "$.response[0].db_name")
-    return sent.select("request_id", "n_rows", first.alias("first_db_name"))
+    return export.to_documents(rows, "request_id", order=["id"])
 
 
 # -- projections --------------------------------------------------------------------
@@ -416,6 +427,15 @@ def j9_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_metadata(views.metadata_view(_view_tables(spark, sf_dir)))
 
 
+@query("j9_metadata_by_key")
+def j9_metadata_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark)
+    prefix = path.rsplit("/", 1)[1].replace("-", "_") + "_"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    catalog.write_by_key(_view_tables(spark, sf_dir), path, prefix, buckets)
+    return _flat_metadata(views.metadata_view(catalog.read_by_key(spark, prefix)))
+
+
 # -- aggregates ---------------------------------------------------------------------
 
 
@@ -533,9 +553,11 @@ def _attributes_deleted(spark: SparkSession, sf_dir: str) -> Change:
     )
 
 
-def _on_hosts(operator: Callable) -> Callable[[SparkSession, str], Change]:
+def _on_hosts(
+    operator: Callable, requests: Query = binding.host_requests
+) -> Callable[[SparkSession, str], Change]:
     return lambda spark, sf_dir: operator(
-        binding.bind(spark, sf_dir, "host"), binding.host_requests(spark, sf_dir)
+        binding.bind(spark, sf_dir, "host"), requests(spark, sf_dir)
     )
 
 
@@ -570,7 +592,9 @@ _register_change("m5_attribute_update", _attributes_updated, {"attribute": "stat
 _register_change("m6_attribute_delete", _attributes_deleted, {"attribute": "state"})
 _register_change("m7_host_insert", _on_hosts(insert_hosts), {"host": "state"})
 _register_change("m8_host_update", _on_hosts(update_hosts), {"host": "state"})
-_register_change("m9_host_delete", _on_hosts(delete_hosts), {"host": "state"})
+_register_change(
+    "m9_host_delete", _on_hosts(delete_hosts, binding.host_delete_requests), {"host": "state"}
+)
 _register_change("m10_alias_allocate", _allocated, {"functional_aliases": "state"})
 _register_change("m11_alias_release", _released, {"functional_aliases": "state"})
 

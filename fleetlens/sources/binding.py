@@ -416,6 +416,15 @@ def host_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def host_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host delete per event; every third name is unknown, so that hosts stay."""
+    user = F.col("user_id")
+    ending = F.when(user % 3 == 0, "_gone").otherwise("")
+    return _read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), _text("host", user, ending).alias("name")
+    )
+
+
 def alias_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alias for each customer's database, a second one for every fifth."""
     key = F.col("c_custkey")

@@ -19,6 +19,9 @@ PASS_THROUGH = [
     "owners",
 ]
 
+# The tables that are joined by instance, and the column that names it.
+BY_INSTANCE = {"instances": "id", "attribute": "instance_id", "volume": "instance_id"}
+
 
 def read_catalog(
     spark: SparkSession, path: str, tables: list[str] | None = None
@@ -30,6 +33,39 @@ def read_catalog(
     }
 
 
+def write_by_key(catalog: Catalog, path: str, prefix: str, buckets: int) -> list[str]:
+    """Store the tables that are joined by instance in buckets of the instance's id.
+
+    Each becomes a table ``prefix + name`` of the session's catalog with its files
+    under ``path``, sorted by the key in each of its buckets. Reads with
+    ``read_by_key`` are joined and grouped by instance without a shuffle. The
+    number of buckets has to grow with the data, up to some hundred MB each; one
+    instance's children are always in one bucket.
+    """
+    names = [name for name in BY_INSTANCE if name in catalog]
+    for name in names:
+        key = BY_INSTANCE[name]
+        (
+            catalog[name]
+            .repartition(buckets, key)  # so that each bucket is one sorted file
+            .write.mode("overwrite")
+            .bucketBy(buckets, key)
+            .sortBy(key)
+            .option("path", f"{path}/{name}")
+            .format("parquet")
+            .saveAsTable(prefix + name)
+        )
+    return [prefix + name for name in names]
+
+
+def read_by_key(spark: SparkSession, prefix: str) -> Catalog:
+    """The tables that ``write_by_key`` stored under this prefix."""
+    found = {name: prefix + name for name in BY_INSTANCE if spark.catalog.tableExists(prefix + name)}
+    if not found:
+        raise ValueError(f"no table of the catalog is stored as {prefix}...")
+    return {name: spark.table(table) for name, table in found.items()}
+
+
 def jdbc_options(
     url: str,
     table: str,

@@ -7,6 +7,7 @@ from seed import catalog, rows, table
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators import aggregates, lookup, ordering, views
+from fleetlens.sources import catalog as sources
 
 
 def alias(name):
@@ -323,3 +324,24 @@ def test_a_value_that_looks_like_a_hole_is_not_filled_again(spark):
     )
     got = df.select(E.fill_path(F.col("t"), F.col("name"), F.col("version"), F.col("port"))).collect()
     assert [r[0] for r in got] == ["/x/{port}{name}/33", "{name}", None, "ABab/2.", "/plain", ""]
+
+
+def test_metadata_by_key_has_no_shuffle(spark, tmp_path):
+    fleet = catalog(spark, edge=True)
+    names = sources.write_by_key(fleet, str(tmp_path), "keyed_", 4)
+    assert names == ["keyed_instances", "keyed_attribute", "keyed_volume"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        found = views.metadata_view(sources.read_by_key(spark, "keyed_"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the fixed directory rules are broadcast, the tables stay where they are
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert plan.count("Bucketed: true") == 3
+    assert found.count() > 0
+    columns = [c for c in found.columns if c != "attributes"]
+    expected = views.metadata_view(fleet)
+    assert rows(found, *columns) == rows(expected, *columns)
+    with pytest.raises(ValueError):
+        sources.read_by_key(spark, "nowhere_")
