@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetlens.llm.quality_rules import MEASURES, MIN_DOCS, REACH
+from fleetlens.llm.quality_rules import MEASURES, MIN_DOCS, REACH, WINDOW
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -13,27 +13,40 @@ def _bucket(value: str) -> str:
 
 
 def _quartiles(keys: str) -> str:
-    by = f"{keys}, measure" if keys else "measure"
+    group = f"{keys}, measure" if keys else "measure"
+    by = f"{group}, part"
     return f"""
-    SELECT {by}, any_value(total) AS n,
-           min(CASE WHEN up_to * 4 >= total THEN bucket END) AS q1,
-           min(CASE WHEN up_to * 4 >= total * 3 THEN bucket END) AS q3
+    SELECT {group}, max(total) AS n,
+           min(CASE WHEN up_to * 4 >= total AND part = 'value' THEN bucket END) AS q1,
+           min(CASE WHEN up_to * 4 >= total * 3 AND part = 'value' THEN bucket END) AS q3,
+           min(CASE WHEN up_to * 4 >= total * 2 AND part = 'step' THEN bucket END) AS step
     FROM (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS up_to,
                  sum(n) OVER (PARTITION BY {by}) AS total
           FROM (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY {by}, bucket))
-    GROUP BY {by}"""
+    GROUP BY {group}"""
 
 
 _VALUES = {
-    "word_length": "word_chars * 1000 // greatest(n_words, 1)",
-    "symbol_share": "n_symbols * 1000 // greatest(word_chars, 1)",
-    "line_repeats": "n_dup_lines * 1000 // greatest(n_lines, 1)",
-    "word_repeats": "n_repeat_words * 1000 // greatest(n_words, 1)",
+    "word_length": (
+        "word_chars * 1000 // greatest(n_words, 1)",
+        "word_chars * 1000 // greatest(n_words, 1) // 64",
+    ),
+    "symbol_share": ("n_symbols * 1000 // greatest(word_chars, 1)", "1000 // greatest(word_chars, 1)"),
+    "line_repeats": ("n_dup_lines * 1000 // greatest(n_lines, 1)", "1000 // greatest(n_lines, 1)"),
+    "word_repeats": (
+        "n_repeat_words * 1000 // greatest(n_words, 1)",
+        f"{2 * WINDOW * 1000} // greatest(n_words, 1)",
+    ),
 }
-_SPREADS = ", ".join(
-    f"('{name}', {float(spread)}::DOUBLE, {str(low).lower()})"
-    for name, (spread, low) in MEASURES.items()
-)
+_SIDES = ", ".join(f"('{name}', {str(low).lower()})" for name, low in MEASURES.items())
+
+
+def _picked(name: str) -> str:
+    return (
+        f"CASE WHEN o.n >= {MIN_DOCS} THEN o.{name} WHEN p.n >= {MIN_DOCS} THEN p.{name} "
+        f"ELSE q.{name} END"
+    )
+
 
 QUALITY = rf"""
 WITH split AS MATERIALIZED (
@@ -61,25 +74,29 @@ measured AS MATERIALIZED (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
 long_form AS (
     {" UNION ALL ".join(
-        f"SELECT doc_id, lang, source, base_failed, '{name}' AS measure, {value} AS value FROM measured"
-        for name, value in _VALUES.items())}),
+        f"SELECT doc_id, lang, source, base_failed, '{name}' AS measure, {value} AS value, "
+        f"{step} AS step FROM measured" for name, (value, step) in _VALUES.items())}),
 sketch AS MATERIALIZED (
-    SELECT lang, source, measure, {_bucket("value")} AS bucket, count(*) AS n
-    FROM long_form WHERE NOT base_failed GROUP BY ALL),
+    SELECT lang, source, measure, part, {_bucket("v")} AS bucket, count(*) AS n
+    FROM (SELECT lang, source, measure, 'value' AS part, value AS v
+          FROM long_form WHERE NOT base_failed
+          UNION ALL
+          SELECT lang, source, measure, 'step', step FROM long_form WHERE NOT base_failed)
+    GROUP BY ALL),
 own AS ({_quartiles("lang, source")}),
 of_lang AS ({_quartiles("lang")}),
 of_all AS ({_quartiles("")}),
 chosen AS (
     SELECT o.lang, o.source, o.measure,
-           CASE WHEN o.n >= {MIN_DOCS} THEN o.q1 WHEN p.n >= {MIN_DOCS} THEN p.q1 ELSE q.q1 END AS q1,
-           CASE WHEN o.n >= {MIN_DOCS} THEN o.q3 WHEN p.n >= {MIN_DOCS} THEN p.q3 ELSE q.q3 END AS q3
+           {_picked("q1")} AS q1, {_picked("q3")} AS q3,
+           greatest({_picked("step")}, 1)::DOUBLE AS step
     FROM own o
     JOIN of_lang p ON o.measure = p.measure AND o.lang IS NOT DISTINCT FROM p.lang
     JOIN of_all q ON o.measure = q.measure),
 limits AS (
-    SELECT c.*, CASE WHEN low THEN q1 - greatest(q3 - q1, spread) * {REACH} ELSE 0 END AS lo,
-           q3 + greatest(q3 - q1, spread) * {REACH} AS hi
-    FROM chosen c JOIN (VALUES {_SPREADS}) s(measure, spread, low) ON c.measure = s.measure),
+    SELECT c.*, CASE WHEN low THEN q1 - greatest(q3 - q1, step) * {REACH} ELSE 0 END AS lo,
+           q3 + greatest(q3 - q1, step) * {REACH} AS hi
+    FROM chosen c JOIN (VALUES {_SIDES}) s(measure, low) ON c.measure = s.measure),
 failed AS (
     SELECT doc_id, string_agg(f.measure, ',' ORDER BY f.measure) AS failed_measures
     FROM long_form f JOIN limits t ON f.measure = t.measure

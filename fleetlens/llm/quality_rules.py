@@ -4,10 +4,13 @@ Measures of every text are counted once and stored. A sketch of each measure
 per language and source is a count of logarithmic buckets (eight bits of
 precision, so quantiles are right to 1/128 of their value); sketches merge by
 adding counts, and the counts don't depend on order or partitions. Thresholds
-come from the quartiles: a document fails a measure that lies further from
-them than ``REACH`` times their distance. A group with fewer than ``MIN_DOCS``
-documents uses the merged sketch of its language, and where that is also short
-that of all documents. The thresholds are joined back to the documents.
+come from the quartiles alone: a document fails a measure that lies further from
+them than ``REACH`` times their distance. Where quartiles (nearly) coincide, as
+for measures that are mostly zero, the distance is that of one event (a line, a
+symbol, a window found twice) in the middle document of the group, from a sketch of
+its own; so limits are lower where texts are longer. A group with fewer than
+``MIN_DOCS`` documents uses the merged sketch of its language, and where that is
+also short that of all documents. The thresholds are joined back to the documents.
 
 Null text has no words. Null languages and sources are groups of their own.
 Documents that fail the base rules aren't in the sketches. Repeated rows are
@@ -29,13 +32,12 @@ MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent
 MIN_DOCS = 50
 REACH = 4.0
-# Measures in thousandths, the least distance of quartiles that counts, and
-# whether low values fail too.
+# Measures in thousandths, and whether low values fail too.
 MEASURES = {
-    "word_length": (400, True),
-    "symbol_share": (8, False),
-    "line_repeats": (120, False),
-    "word_repeats": (70, False),
+    "word_length": True,
+    "symbol_share": False,
+    "line_repeats": False,
+    "word_repeats": False,
 }
 
 
@@ -106,20 +108,28 @@ def measures(df: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def _values() -> Column:
-    """The measures of a row as an array of names and values in thousandths."""
+def _share(events: Column, of: str) -> Column:
+    return F.floor(events * 1000 / F.greatest(F.col(of), F.lit(1))).cast("bigint")
+
 
-    def share(a: str, b: str) -> Column:
-        return F.floor(F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("bigint")
+def _values() -> Column:
+    """The measures of a row as an array of names, values and steps in thousandths.
 
+    The step is what one event more adds to the value in this document; of the
+    mean word length it is two buckets of its sketch.
+    """
+    length = _share(F.col("word_chars"), "n_words")
     values = {
-        "word_length": share("word_chars", "n_words"),
-        "symbol_share": share("n_symbols", "word_chars"),
-        "line_repeats": share("n_dup_lines", "n_lines"),
-        "word_repeats": share("n_repeat_words", "n_words"),
+        "word_length": (length, F.floor(length / 64).cast("bigint")),
+        "symbol_share": (_share(F.col("n_symbols"), "word_chars"), _share(F.lit(1), "word_chars")),
+        "line_repeats": (_share(F.col("n_dup_lines"), "n_lines"), _share(F.lit(1), "n_lines")),
+        "word_repeats": (_share(F.col("n_repeat_words"), "n_words"), _share(F.lit(2 * WINDOW), "n_words")),
     }
     return F.array(
-        *[F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in values.items()]
+        *[
+            F.struct(F.lit(n).alias("measure"), v.alias("value"), step.alias("step"))
+            for n, (v, step) in values.items()
+        ]
     )
 
 
@@ -130,30 +140,42 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Counts per language, source, measure and bucket."""
-    rows = measured.where(~F.col("base_failed")).select(
-        "lang", "source", F.explode(_values()).alias("m")
+    """Counts per language, source, measure, part (``value`` or ``step``) and bucket."""
+    parts = F.array(
+        *[
+            F.struct(F.lit(part).alias("part"), F.col(f"m.{part}").alias("at"))
+            for part in ("value", "step")
+        ]
+    )
+    rows = (
+        measured.where(~F.col("base_failed"))
+        .select("lang", "source", F.explode(_values()).alias("m"))
+        .select("lang", "source", F.col("m.measure").alias("measure"), F.inline(parts))
+    )
+    by = ["lang", "source", "measure", "part"]
+    return rows.groupBy(*by, bucket(F.col("at")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    return rows.groupBy(
-        "lang", "source", F.col("m.measure").alias("measure"), bucket(F.col("m.value")).alias("bucket")
-    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``n``, ``q1`` and ``q3`` of each measure, from the merged sketches of ``keys``."""
-    by = [*keys, "measure"]
+    """``n``, ``q1``, ``q3`` and the middle ``step`` of each measure, from merged sketches."""
+    by = [*keys, "measure", "part"]
     merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket"))
     ranked = merged.withColumn("up_to", up_to).withColumn(
         "total", F.sum("n").over(Window.partitionBy(*by))
     )
 
-    def at(quarters: int) -> Column:
+    def at(part: str, quarters: int) -> Column:
         reached = F.col("up_to") * 4 >= F.col("total") * quarters
-        return F.min(F.when(reached, F.col("bucket")))
+        return F.min(F.when(reached & (F.col("part") == part), F.col("bucket")))
 
-    return ranked.groupBy(*by).agg(
-        F.first("total").alias("n"), at(1).alias("q1"), at(3).alias("q3")
+    return ranked.groupBy(*keys, "measure").agg(
+        F.max("total").alias("n"),
+        at("value", 1).alias("q1"),
+        at("value", 3).alias("q3"),
+        at("step", 2).alias("step"),
     )
 
 
@@ -181,13 +203,10 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         F.col("o.measure").alias("measure"),
         pick("q1").cast("double").alias("q1"),
         pick("q3").cast("double").alias("q3"),
+        F.greatest(pick("step"), F.lit(1)).cast("double").alias("step"),
     )
-    least, low = F.lit(0.0), F.lit(False)
-    for name, (spread, both) in MEASURES.items():
-        mine = F.col("measure") == name
-        least = F.when(mine, float(spread)).otherwise(least)
-        low = F.when(mine, F.lit(both)).otherwise(low)
-    reach = F.greatest(F.col("q3") - F.col("q1"), least) * REACH
+    low = F.col("measure").isin([name for name, both in MEASURES.items() if both])
+    reach = F.greatest(F.col("q3") - F.col("q1"), F.col("step")) * REACH
     return chosen.select(
         "lang",
         "source",

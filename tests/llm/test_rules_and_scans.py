@@ -42,6 +42,27 @@ def test_thresholds_follow_the_group(spark):
     assert not kept[999] and all(kept[i] for i in range(80))
 
 
+def test_limits_come_from_the_sketches_of_a_group(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules.measures(docs)))
+    high = defaultdict(set)
+    for r in limits.collect():
+        high[r["measure"]].add(r["high"])
+    assert all(len(high[m]) > 1 for m in ("word_length", "line_repeats", "word_repeats"))
+
+
+def test_longer_texts_have_lower_limits_for_repeats(spark):
+    def text(i, lines):
+        return "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(10)) for j in range(lines))
+
+    rows = [(i, text(i, 4 if i < 80 else 40), "en", "a" if i < 80 else "b") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules.measures(df)))
+    high = {(r["source"], r["measure"]): r["high"] for r in limits.collect()}
+    assert high["a", "line_repeats"] == 4 * 250 and high["b", "line_repeats"] == 4 * 25
+    assert high["b", "word_repeats"] < high["a", "word_repeats"]
+
+
 BASE = {
     "assign": (r"(?a:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
