@@ -29,7 +29,7 @@ def _quartiles(keys: str) -> str:
 _VALUES = {
     "word_length": (
         "word_chars * 1000 // greatest(n_words, 1)",
-        "word_chars * 1000 // greatest(n_words, 1) // 64",
+        "floor(sqrt(word_chars) * 1000 / greatest(n_words, 1))::BIGINT",
     ),
     "symbol_share": ("n_symbols * 1000 // greatest(word_chars, 1)", "1000 // greatest(word_chars, 1)"),
     "line_repeats": ("n_dup_lines * 1000 // greatest(n_lines, 1)", "1000 // greatest(n_lines, 1)"),

@@ -115,12 +115,13 @@ def _share(events: Column, of: str) -> Column:
 def _values() -> Column:
     """The measures of a row as an array of names, values and steps in thousandths.
 
-    The step is what one event more adds to the value in this document; of the
-    mean word length it is two buckets of its sketch.
+    The step is what one event more adds to the value in this document. For the mean
+    word length it is the random error that a mean over so few words has anyway
+    (with the variance of a word's length taken as its mean).
     """
-    length = _share(F.col("word_chars"), "n_words")
+    error = F.sqrt("word_chars") * 1000 / F.greatest(F.col("n_words"), F.lit(1))
     values = {
-        "word_length": (length, F.floor(length / 64).cast("bigint")),
+        "word_length": (_share(F.col("word_chars"), "n_words"), F.floor(error).cast("bigint")),
         "symbol_share": (_share(F.col("n_symbols"), "word_chars"), _share(F.lit(1), "word_chars")),
         "line_repeats": (_share(F.col("n_dup_lines"), "n_lines"), _share(F.lit(1), "n_lines")),
         "word_repeats": (_share(F.col("n_repeat_words"), "n_words"), _share(F.lit(2 * WINDOW), "n_words")),
