@@ -89,8 +89,8 @@ def read_outcomes(
     or past their limit. Without it all are answered. An observation that
     arrives late still counts, whenever it comes.
     """
-    decided = decided(read_marks(spark, state_path), timeout)
-    return decided if until is None else decided.where(F.col("ended") <= F.lit(until))
+    answered = decided(read_marks(spark, state_path), timeout)
+    return answered if until is None else answered.where(F.col("ended") <= F.lit(until))
 
 
 def stream_job_outcomes(
