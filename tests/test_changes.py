@@ -405,3 +405,17 @@ def test_allocation_equals_one_by_one(spark, free):
     assert statuses(change) == wanted
     got = {r["dns_name"]: r["db_name"] for r in change.tables["functional_aliases"].collect()}
     assert got == wanted_pool
+
+
+def test_created_documents_are_never_broadcast(spark):
+    # Their files are small however large the documents are, so a size check by files fails.
+    change = create_instances(catalog(spark), bodies(spark, document(), document(db_name="blog")))
+    for df, key, kind in (
+        (change.changed["volume"], "request_id", "Inner"),
+        (change.changed["attribute"], "request_id", "Inner"),
+        (change.outcomes, "db_name", "LeftOuter"),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.splitlines() if f"Join [{key}#" in x and kind in x]
+        assert joins and not any("Broadcast" in x for x in joins), joins
+    assert len(rows(change.changed["volume"], "id")) == 2
