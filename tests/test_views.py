@@ -7,6 +7,7 @@ from seed import catalog, rows, table
 from fleetlens import schemas as S
 from fleetlens.functions import scalars as E
 from fleetlens.operators import aggregates, lookup, ordering, views
+from fleetlens.session import stored
 from fleetlens.sources import catalog as sources
 
 
@@ -345,3 +346,37 @@ def test_metadata_by_key_has_no_shuffle(spark, tmp_path):
     assert rows(found, *columns) == rows(expected, *columns)
     with pytest.raises(ValueError):
         sources.read_by_key(spark, "nowhere_")
+
+
+def test_instances_of_a_host_are_matched_once_for_all_who_ask(spark, monkeypatch):
+    """Forty requests for a host of fifty instances: stored are its instances, not the pairs."""
+    fleet_rows = [(n, f"db_{n}", "PG", "busy" if n < 50 else "quiet") for n in range(60)]
+    fleet = {
+        "instances": table(spark, "instances", fleet_rows, ["id", "db_name", "db_type", "host"]),
+        "attribute": table(spark, "attribute", [(1, 3, "port", "5")], ["id", "instance_id", "name", "value"]),
+        "volume": table(spark, "volume", [(1, 4)], ["id", "instance_id"]),
+    }
+    asked = [(n, "host", "busy" if n % 2 else " busy") for n in range(40)]
+    asked += [(40, "host", "quiet"), (41, "host", "busy,quiet"), (42, "instance", "db_7"), (42, "instance", "db_8"),
+              (43, "host", "nowhere"), (44, "cluster", "busy"), (None, "instance", "db_9")]
+    requests = spark.createDataFrame(asked, "request_id long, class string, name string")
+    kept = []
+
+    def spied(df):
+        kept.append(df.count())
+        return stored(df)
+
+    monkeypatch.setattr(lookup, "stored", spied)
+    got, outcomes = lookup.metadata_lookup(requests, fleet)
+    on_hosts = lookup.instances_on_hosts(requests.where("class = 'host'"), fleet)
+    assert max(kept) <= 50 + 10 + 3
+    expected = sorted([(n, i) for n in range(40) for i in range(50)] + [(40, i) for i in range(50, 60)])
+    assert sorted(rows(on_hosts, "request_id", "id")) == expected
+    pairs = [tuple(r) for r in got.select("request_id", "id").collect()]
+    assert sorted(p for p in pairs if p[0] is not None) == sorted([*expected, (42, 7), (42, 8)])
+    assert [p for p in pairs if p[0] is None] == [(None, 9)]
+    counts = {r["request_id"]: (r["status"], r["affected"]) for r in outcomes.collect()}
+    assert all(counts[n] == (200, 50) for n in range(40))
+    assert [counts[n] for n in (40, 41, 42, 43, 44, None)] == [
+        (200, 10), (404, 0), (200, 2), (404, 0), (400, 0), (404, 0)
+    ]
