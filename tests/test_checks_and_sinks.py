@@ -163,3 +163,26 @@ def test_jdbc_options_split_the_scan():
     options = sources.jdbc_options("jdbc:x", "t", "id", 0, 100, 8)
     assert options["numPartitions"] == "8" and options["upperBound"] == "100"
     assert options["partitionColumn"] == "id" and options["fetchsize"] == "10000"
+
+
+def test_documents_are_joined_without_collecting_their_rows(spark):
+    """Documents within a batch, over several batches, of a null key, with nulls and signs in texts."""
+    given = [(k, n, f'{n}"é' if n % 3 else None) for k, size in ((1, 7), (2, 1), (None, 5), (3, 40), (4, 1), (5, 2))
+             for n in range(size)]
+    df = spark.createDataFrame(given, "request_id long, id long, name string").repartition(5)
+    expected = {}
+    for k, n, name in given:
+        expected.setdefault(k, []).append({"id": n, "name": name})
+    for batch in (1, 3, 8, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            docs = export.to_documents(df, "request_id", order=["id"])
+            found = docs.collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(found) == len(expected)
+        assert {r["request_id"]: json.loads(r["document"])["response"] for r in found} == expected
+        assert all(r["n_rows"] == len(expected[r["request_id"]]) for r in found)
+    assert docs.dtypes == [("request_id", "bigint"), ("n_rows", "bigint"), ("document", "string")]
+    assert "collect_list" not in docs._jdf.queryExecution().executedPlan().toString()
+    assert export.to_documents(df.where("id < 0"), "request_id").collect() == []
