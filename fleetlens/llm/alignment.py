@@ -66,9 +66,11 @@ def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int,
     a_at = dict(zip(a_ends, range(1, len(a_ends) + 1)))
     b_at = dict(zip(b_ends, range(1, len(b_ends) + 1)))
     out, a, b = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        out.append((a, a_at[end], b, b_at[end]))
-        a, b = a_at[end], b_at[end]
+    for end, a_to in a_at.items():  # ends ascend, so the shared ones are in order
+        b_to = b_at.get(end)
+        if b_to is not None:
+            out.append((a, a_to, b, b_to))
+            a, b = a_to, b_to
     return out
 
 
@@ -136,23 +138,35 @@ class Aligner(dict):
 
     def aligned(self, a: list[int], b: list[int], data: bytes) -> tuple | None:
         """The parts of :class:`Aligned` for the ids of both files; ``None`` if not given back."""
-        a_parts = [self.a_bytes[i] for i in a]
-        b_parts = [self.b_bytes[i] for i in b]
+        a_parts = list(map(self.a_bytes.__getitem__, a))
+        b_parts = list(map(self.b_bytes.__getitem__, b))
         if b"".join(a_parts) != data or b"".join(b_parts) != data:
             return None
+        width = self.width
+        if len(a) == 1 or len(b) == 1:  # one group, and every token of one covers the other's
+            groups = f"{','.join(map(str, a))}|{','.join(map(str, b))}".encode()
+            pairs = array("I", [i * width + j for i in a for j in b]).tobytes()
+            return groups, pairs, len(a) | len(b) << 40
         a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
-        a_texts, b_texts = list(map(str, a)), list(map(str, b))
-        texts, pairs, width = [], array("I"), self.width
+        if a_ends == b_ends and a_ends[0]:  # the tokens are the same, each pair is a group
+            texts = [f"{i}|{j}" for i, j in zip(a, b)]
+            pairs = array("I", [i * width + j for i, j in zip(a, b)])
+            return ";".join(texts).encode(), pairs.tobytes(), len(a) | len(b) << 40
+        texts, pairs = [], []
         for group in groups_of(a_ends, b_ends):
             i, a_to, j, b_to = group
-            texts.append(f"{','.join(a_texts[i:a_to])}|{','.join(b_texts[j:b_to])}")
             if a_to == i + 1 and b_to == j + 1:
+                texts.append(f"{a[i]}|{b[j]}")
                 pairs.append(a[i] * width + b[j])
+                continue
+            own, other = a[i:a_to], b[j:b_to]
+            texts.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
+            if len(own) == 1 or len(other) == 1:
+                pairs += [x * width + y for x in own for y in other]
             else:
-                links = links_of(a_ends, b_ends, group)
-                pairs.extend([a[i] * width + b[j] for i, j in links])
+                pairs += [a[x] * width + b[y] for x, y in links_of(a_ends, b_ends, group)]
         # a plain tuple: there are many, and the garbage collector needn't follow it
-        return ";".join(texts).encode(), pairs.tobytes(), len(a) | len(b) << 40
+        return ";".join(texts).encode(), array("I", pairs).tobytes(), len(a) | len(b) << 40
 
     def _encoded(self, pieces: list[str]) -> list[tuple | None]:
         """Align pieces that begin with a space or a line feed."""

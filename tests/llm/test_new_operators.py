@@ -321,3 +321,32 @@ def test_classifier_without_labels_and_on_odd_texts(spark, docs, rows, empty):
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (4, 5)}) == 1
     assert len({r.score for r in got if r.doc_id == 8}) == 1
     assert quality_classifier.classify(empty, labels).collect() == []
+
+
+def test_aligned_pieces_by_each_way_agree_with_brute_force():
+    """One token against several, equal ends, and groups of several on both sides."""
+    aligner = alignment.Aligner(alignment.Files())
+    aligner.a_bytes = {1: b"abc", 2: b"a", 3: b"bc", 4: b"d", 5: b"ab", 6: b"c"}
+    aligner.b_bytes = [b"", b"a", b"bc", b"abc", b"d", b"ab", b"c", b"cd"]
+    cases = [([1], [1, 2]), ([2, 3], [3]), ([2, 3, 4], [1, 2, 4]), ([5, 6, 4], [1, 2, 4]),
+             ([1, 4], [1, 2, 4]), ([2, 3, 4], [3, 4]), ([5, 6, 4, 1], [1, 2, 4, 5, 6])]
+    for a, b in cases:
+        data = b"".join(aligner.a_bytes[i] for i in a)
+
+        def spans(parts):
+            ends = [sum(map(len, parts[: n + 1])) for n in range(len(parts))]
+            return [(e - len(p), e) for e, p in zip(ends, parts)]
+
+        of_a, of_b = spans([aligner.a_bytes[i] for i in a]), spans([aligner.b_bytes[i] for i in b])
+        pairs = [x * aligner.width + y for x, (s, e) in zip(a, of_a) for y, (t, u) in zip(b, of_b) if s < u and t < e]
+        cuts = sorted({e for _, e in of_a} & {e for _, e in of_b})
+        groups, at = [], 0
+        for cut in cuts:
+            own = [",".join(str(x) for x, (s, e) in zip(ids, where) if at <= s and e <= cut)
+                   for ids, where in ((a, of_a), (b, of_b))]
+            groups.append("|".join(own))
+            at = cut
+        found = aligner.aligned(a, b, data)
+        assert found[0].decode() == ";".join(groups)
+        assert sorted(np.frombuffer(found[1], "<u4").tolist()) == sorted(pairs)
+        assert found[2] == len(a) | len(b) << 40
