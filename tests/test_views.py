@@ -380,3 +380,45 @@ def test_instances_of_a_host_are_matched_once_for_all_who_ask(spark, monkeypatch
     assert [counts[n] for n in (40, 41, 42, 43, 44, None)] == [
         (200, 10), (404, 0), (200, 2), (404, 0), (400, 0), (404, 0)
     ]
+
+
+def one_busy_host(spark, n, asked):
+    """``n`` instances on a host, and requests for it and for a few others."""
+    fleet_rows = [(i, f"db_{i}", "PG", "busy,old" if i % 3 else "busy") for i in range(n)]
+    fleet = {
+        "instances": table(spark, "instances", fleet_rows, ["id", "db_name", "db_type", "host"]),
+        "attribute": table(spark, "attribute", [(i, i, "port", str(5000 + i)) for i in range(n)],
+                           ["id", "instance_id", "name", "value"]),
+        "volume": table(spark, "volume", [(1, 4), (2, 4)], ["id", "instance_id"]),
+    }
+    return fleet, spark.createDataFrame(asked, "request_id long, class string, name string")
+
+
+def test_rows_of_requests_and_instances_are_cut_on_both_sides(spark, monkeypatch):
+    """Shares and runs of a few rows give each pair once, with the columns of the shape."""
+    for name, size in (("ROWS", 5), ("ASKERS", 4), ("RUN", 3)):
+        monkeypatch.setattr(lookup, name, size)
+    asked = [(n, "host", "busy" if n < 17 else "old , busy") for n in range(30)]
+    asked += [(40, "instance", "db_4"), (40, "instance", "db_5"), (None, "instance", "db_4"), (41, "host", "new")]
+    fleet, requests = one_busy_host(spark, 23, asked)
+    got, outcomes = lookup.metadata_lookup(
+        requests, fleet, shape=lambda view: view.select("id", F.size("volumes").alias("n"), "port")
+    )
+    assert got.columns == ["request_id", "id", "n", "port"]
+    expected = [(n, i) for n in range(30) for i in range(23) if n < 17 or i % 3]
+    expected = [(n, i, 2 * (i == 4), str(5000 + i)) for n, i in [*expected, (40, 4), (40, 5)]]
+    found = [tuple(r) for r in got.collect()]
+    assert sorted(r for r in found if r[0] is not None) == expected
+    assert [r for r in found if r[0] is None] == [(None, 4, 2, "5004")]
+    counts = {r["request_id"]: r["affected"] for r in outcomes.where("status = 200").collect()}
+    assert counts == {n: 23 if n < 17 else 15 for n in range(30)} | {40: 2}
+
+
+def test_a_file_of_requests_and_instances_is_small(spark, tmp_path):
+    """4,001 requests for a host of 300 instances: a row of the file takes half a byte at most."""
+    fleet, requests = one_busy_host(spark, 300, [(n, "host", "busy") for n in range(4001)])
+    got, _ = lookup.metadata_lookup(requests, fleet)
+    got.select("request_id", "id", "db_name", "port", "socket").write.parquet(f"{tmp_path}/rows")
+    written = spark.read.parquet(f"{tmp_path}/rows")
+    assert written.count() == written.distinct().count() == 4001 * 300
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < 4001 * 300 / 2
